@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .decontamination import DIGEST_SQL
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learning_rows(docs))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import digest, scan
+
+    return digest(scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import compression_bands
 
@@ -35,7 +42,13 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_compression_bands, op7_piece_codec)}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(C.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_compression_bands, op7_piece_codec, op8_license_scan)}
 
 #: Oracle SQL for those of QUERIES that SQL expresses.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DIGEST_SQL}
