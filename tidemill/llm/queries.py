@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .decontamination import DIGEST_SQL
+from .decontamination import DIGEST_SQL as DECONTAMINATION_SQL
+from .substring_dedup import DIGEST_SQL as SUBSTRING_SQL
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(C.table(spark, sf_dir, "documents"))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import compression_bands
 
@@ -48,7 +55,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op5_compression_bands, op7_piece_codec, op8_license_scan)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    kept = dedup_substrings(C.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_ngram_join, op5_compression_bands, op7_piece_codec, op8_license_scan, op9_substring_dedup)}
 
 #: Oracle SQL for those of QUERIES that SQL expresses.
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DIGEST_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op9_substring_dedup": SUBSTRING_SQL}
