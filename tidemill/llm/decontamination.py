@@ -103,9 +103,9 @@ WITH item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '
 win AS (SELECT item_id, array_to_string(w[s : s + 9], ' ') AS k, least(len(w), 10) AS width
         FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS s FROM item)),
 doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM doc),
+placed AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM doc),
 hit AS (SELECT DISTINCT doc_id, s, width, item_id FROM (
-          SELECT doc_id, s, d.width, array_to_string(w[s : s + d.width - 1], ' ') AS k FROM at, (SELECT DISTINCT width FROM win) d WHERE s + d.width - 1 <= len(w)) JOIN win USING (k, width)),
+          SELECT doc_id, s, d.width, array_to_string(w[s : s + d.width - 1], ' ') AS k FROM placed, (SELECT DISTINCT width FROM win) d WHERE s + d.width - 1 <= len(w)) JOIN win USING (k, width)),
 place AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + width)) AS p FROM hit) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -117,7 +117,7 @@ def phrase_places(words: Column) -> Column:
         last = F.size(words) - len(phrase)
         return F.when(last >= 0, F.transform(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), stands), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label"))))
 
-    found = [F.when(F.exists(words, lambda w, first=p[0]: w == first), at(p, label)) for p, label in BASE]
+    found = [F.when(F.array_contains(words, p[0]), at(p, label)) for p, label in BASE]
     empty = F.array().cast("array<struct<start:int,label:string>>")
     return F.concat(*[F.coalesce(x, empty) for x in found])
 
