@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: The byte classes of the contracts' word patterns.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
-ASCII_WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Bytes of text that one numpy step handles; its temporaries take about 100 times as much.
 CHUNK_BYTES = 1 << 20
@@ -67,9 +67,14 @@ def lower_az(text: Column) -> Column:
     )
 
 
+def split_words(lower: Column) -> Column:
+    """The words of a lower-cased text: what stands between gaps, less an empty first or last part."""
+    return F.array_remove(F.split(lower, ASCII_GAP), "")
+
+
 def ascii_words(text: Column) -> Column:
     """Words of the contracts that lower-case A-Z; null has none."""
-    return F.regexp_extract_all(lower_az(F.coalesce(text, F.lit(""))), F.lit(ASCII_WORD), F.lit(1))
+    return split_words(lower_az(F.coalesce(text, F.lit(""))))
 
 
 # --- numpy over Arrow string columns -------------------------------------------------------

@@ -2,7 +2,8 @@ r"""License scans by ordered signature rules (operator 8), with DataFrame functi
 
 A rule has a label, a keyword, a pattern and a weight; rules are built from a table of
 licenses and four templates (identifier tag, address, grant sentence, bare name), in order
-of priority.  A rule's pattern runs only on texts that hold its keyword, and no pattern at
+of priority.  Every match of a rule holds one of a few anchors, so a text is first squeezed to
+what lies in reach of its anchors; a pattern runs only where its keyword stands, and none at
 all on texts without a trigger.  Of the detections, one that lies inside another's interval
 is suppressed; of equal intervals the rule of higher priority stays.  Everything happens
 within the row: no shuffle, no join.
@@ -85,8 +86,12 @@ LICENSES = [
     ("all-rights-reserved", "all rights", r"all rights reserved", r"licenseref-all-rights-reserved", r"example\.invalid/all-rights-reserved"),
 ]
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided)[ \n]+under[ \n]+(?:the[ \n]+)?(?:terms[ \n]+of[ \n]+)?(?:the[ \n]+)?"
-#: Words of which a text holds at least one if any rule can match.
-TRIGGERS = ("licen", "public domain", "spdx", "rights reserved", "cc0", "cc by", "creative", "wtfpl", "apache-2", "asl", "bsd", "opensource.org")
+#: Strings of which every match of a rule holds one, white space squeezed.
+ANCHORS = ("licen", "public domain", "publicdomain", "rights reserved", "rights-reserved", "cc0", "cc by", "creative commons", "creativecommons", "wtfpl", "apache-2", "asl 2", "asl2", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc")
+#: Strings of which a text with an anchor holds one, however its white space runs.
+TRIGGERS = ("licen", "domain", "reserved", "cc0", "cc", "creative", "wtfpl", "apache-2", "asl", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc")
+#: Characters that a match may reach before and after an anchor in it; none reaches further.
+REACH = 200
 #: The phrases of the base rules and their labels.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
@@ -122,9 +127,16 @@ def phrase_places(words: Column) -> Column:
     return F.concat(*[F.coalesce(x, empty) for x in found])
 
 
+def squeezed(lower: Column) -> Column:
+    """lower with single spaces, less all that lies out of any rule's reach of an anchor."""
+    parts = F.split(F.regexp_replace(lower, r"[ \t\n\r]+", " "), "(?=" + "|".join(a.replace(".", r"\.") for a in ANCHORS) + ")")
+    cut = F.transform(parts, lambda p: F.when(F.length(p) > 2 * REACH, F.concat(F.left(p, F.lit(REACH)), F.lit("\0"), F.right(p, F.lit(REACH)))).otherwise(p))
+    return F.array_join(cut, "")
+
+
 def detections(lower: Column) -> Column:
     """(start, stop, priority, label, weight) of all rules' matches in a lower-cased text, of texts with a trigger."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?s)(.*?)({p})").alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight")) for a, k, p, n, w in rules()])
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?s)\\G(.*?)({p})").alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight")) for a, k, p, n, w in rules()])
 
     def matches(rule: Column) -> Column:
         gaps = F.transform(F.regexp_extract_all(lower, rule["pattern"], F.lit(1)), lambda x: F.length(x))
@@ -169,12 +181,12 @@ def scan(docs: DataFrame) -> DataFrame:
     trigger = F.lit(False)
     for t in TRIGGERS:
         trigger = trigger | F.contains("lower", F.lit(t))
-    words = lower.select("doc_id", "lower", F.regexp_extract_all("lower", F.lit(C.ASCII_WORD), F.lit(1)).alias("words"), trigger.alias("trigger"))
+    words = lower.select("doc_id", "lower", C.split_words(F.col("lower")).alias("words"), F.when(trigger, squeezed(F.col("lower"))).alias("near"))
     found = words.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
         F.when(F.contains("lower", F.lit("license")), phrase_places(F.col("words"))).alias("places"),
-        F.when(F.col("trigger"), surviving(detections(F.col("lower")))).alias("own"),
+        F.when(F.col("near").isNotNull(), surviving(detections(F.col("near")))).alias("own"),
     )
     starts = F.transform("places", lambda p: p["start"])
     base = F.array_sort(F.array_distinct(F.coalesce(F.transform("places", lambda p: p["label"]), F.array().cast("array<string>"))))
