@@ -55,6 +55,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that are sent to all executors at once; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (one column, doc_id; null equals null); all columns stay."""
+    gone = cut(ids.select(F.col("doc_id").alias("gone_id")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["gone_id"]), "left_anti")
+
+
 def crc_mod(column: Column, modulus: int) -> Column:
     """crc32(column as text) mod modulus; null for null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))

@@ -93,8 +93,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs whose id scan() does not find contaminated; all columns stay."""
-    bad = scan(docs, items).where(F.size("spans") > 0).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return C.without(docs, scan(docs, items).where(F.size("spans") > 0).select("doc_id"))
 
 
 #: DuckDB SQL for the digest.

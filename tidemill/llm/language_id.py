@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -138,8 +138,35 @@ def train(labelled: DataFrame) -> tuple[list[str], DataFrame]:
     return sorted(rows), counts
 
 
+def trained(labelled: DataFrame) -> tuple[list[str], list[Tree]]:
+    langs, counts = train(labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    learned = counts.toPandas() if langs else None  # at most MAX_LANGS * SAMPLE_ROWS texts' distinct strings
+    trees = []
+    for lang in langs:
+        own = learned[learned["lang"] == lang]
+        trees.append(Tree(own["width"].to_numpy(), own["gram"].to_numpy(), own["n"].to_numpy()))
+    return langs, trees
+
+
+def judge(scorer: Scorer, part: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each row of part (text, has_letter)."""
+    raw, at = C.strings(part.column("text"))
+    size, letters = np.diff(at), np.array(part.column("has_letter").to_pylist(), dtype=bool)
+    if not scorer.langs:
+        return [UNKNOWN] * len(size), np.zeros(len(size)), np.zeros(len(size))
+    length = scorer.lengths(raw, at)
+    best = length.argmin(axis=0)
+    share = 1.0 / np.exp2(np.maximum(length.min(axis=0) - length, -1000.0)).sum(axis=0)
+    names = [scorer.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+    return names, np.where(letters, share, 0.0), length.min(axis=0) / np.maximum(size, 1)
+
+
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte for each row of docs (doc_id, text).
+    """doc_id, held_out, lang_pred, score, bits_per_byte for each row of docs (doc_id, text).
 
     labelled (doc_id, text, lang) is the learning table.  score is the share of the best
     language in the sum of 2**-length over all languages; equal lengths go to the first
@@ -149,41 +176,35 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     C.tune(spark)
-    langs, counts = train(labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    learned = counts.toPandas() if langs else None  # at most MAX_LANGS * SAMPLE_ROWS texts' distinct strings
-    trees = []
-    for lang in langs:
-        own = learned[learned["lang"] == lang]
-        trees.append(Tree(own["width"].to_numpy(), own["gram"].to_numpy(), own["n"].to_numpy()))
-    model = spark.sparkContext.broadcast((langs, trees))
+    model = spark.sparkContext.broadcast(trained(labelled))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, own = model.value
-        scorer = Scorer(names, own)
+        scorer = Scorer(*model.value)
         for batch in batches:
             for part in C.chunks(batch):
-                raw, at = C.strings(part.column("text"))
-                size, letters = np.diff(at), np.array(part.column("has_letter").to_pylist(), dtype=bool)
-                if not names:
-                    best, share, bits = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
-                    letters = np.zeros(len(size), dtype=bool)
-                else:
-                    length = scorer.lengths(raw, at)
-                    best = length.argmin(axis=0)
-                    share = 1.0 / np.exp2(np.maximum(length.min(axis=0) - length, -1000.0)).sum(axis=0)
-                    bits = length.min(axis=0) / np.maximum(size, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array([names[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(np.where(size > 0, bits, 0.0))],
-                    names=[x.split()[0] for x in SCHEMA.split(", ")],
-                )
-
-    text = F.col("text").cast("string")
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.coalesce(C.crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
-        text.alias("text"),
-        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("has_letter"),
-    ).mapInArrow(score, SCHEMA)
+                names, share, bits = judge(scorer, part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(share), pa.array(bits)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    held_out = F.coalesce(C.crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out, F.col("text").cast("string").alias("text"))
+    return rows.withColumn("has_letter", has_letter()).mapInArrow(score, SCHEMA)
+
+
+def keep_known(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language: not ``und``, and coded in MAX_BITS a byte or less."""
+    spark = docs.sparkSession
+    C.tune(spark)
+    model = spark.sparkContext.broadcast(trained(labelled))
+    columns = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
+        for batch in batches:
+            for part in C.chunks(batch):
+                names, _, bits = judge(scorer, part)
+                yield part.filter(pa.array([n != UNKNOWN and b <= MAX_BITS for n, b in zip(names, bits.tolist(), strict=True)], pa.bool_())).select(columns)
+
+    return docs.withColumn("has_letter", has_letter()).mapInArrow(keep, docs.schema)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

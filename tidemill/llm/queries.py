@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .chat_format import DIGEST_SQL as CHAT_SQL
 from .decontamination import DIGEST_SQL as DECONTAMINATION_SQL
 from .substring_dedup import DIGEST_SQL as SUBSTRING_SQL
 
@@ -23,6 +24,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digest, read_back
+
+    said = r"\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = C.table(spark, sf_dir, "conversations").select(*added.columns).unionByName(added)
+    return digest(read_back(rows))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_duplicates
 
@@ -35,12 +45,16 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(C.table(spark, sf_dir, "documents"))
 
 
-def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import score
+
+    docs = C.table(spark, sf_dir, "documents")
+    held_out = F.coalesce(C.crc_mod(F.col("doc_id"), 5) == 1, F.lit(False))
+    return score(docs, docs.where(~held_out), held_out)
 
-    from .piece_codec import encode_decode
 
-    coded = encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+def coded_digest(coded: DataFrame) -> DataFrame:
+    """The counts and hashes of piece_codec.encode_decode()'s rows."""
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
@@ -49,6 +63,14 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_codec import encode_decode
+
+    return coded_digest(encode_decode(C.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan
 
@@ -62,7 +84,19 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op4_ngram_join, op5_compression_bands, op7_piece_codec, op8_license_scan, op9_substring_dedup)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(C.table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontamination, op3_chat_format, op4_ngram_join, op5_compression_bands,
+        op6_brown_lm, op7_piece_codec, op8_license_scan, op9_substring_dedup, op10_html_extraction,
+    )
+}
 
 #: Oracle SQL for those of QUERIES that SQL expresses.
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL}

@@ -177,33 +177,35 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
 
 
+def _kept(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words, removed words and kept text of each row of part (text, is_copy, windows)."""
+    raw, start, end, first, _, words = parsed(part)
+    n = np.diff(first)
+    copy = np.array(part.column("is_copy").fill_null(False).to_pylist(), dtype=bool) & (n >= WINDOW)
+    gone = copy[np.repeat(np.arange(len(n)), n)]
+    if part.column("windows").null_count < part.num_rows:
+        starts, hashes = C.window_hashes(words, first, WINDOW)
+        row = np.searchsorted(first, starts, side="right") - 1
+        starts = starts[held(hashes, part.column("windows"), row)]
+        gone = gone | C.covered(len(words), starts, starts + WINDOW)
+    # the kept words with one space after each, end to end
+    stay = ~gone
+    size = np.where(stay, end - start + 1, 0)
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum(size, out=edge[1:])
+    out = np.full(edge[-1], 0x20, dtype=np.uint8)
+    letters = np.ones(edge[-1], dtype=bool)
+    letters[edge[1:][stay] - 1] = False
+    out[letters] = raw[C.covered(len(raw), start[stay], end[stay])]
+    data, cuts = out.tobytes(), edge[first].tolist()
+    return n, C.sums(gone, first), [data[a : max(a, b - 1)].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in C.chunks(batch):
-            raw, start, end, first, _, words = parsed(part)
-            n = np.diff(first)
-            copy = np.array(part.column("is_copy").fill_null(False).to_pylist(), dtype=bool) & (n >= WINDOW)
-            rows = np.repeat(np.arange(len(n)), n)
-            gone = copy[rows]
-            if part.column("windows").null_count < part.num_rows:
-                starts, hashes = C.window_hashes(words, first, WINDOW)
-                row = np.searchsorted(first, starts, side="right") - 1
-                starts = starts[held(hashes, part.column("windows"), row)]
-                gone = gone | C.covered(len(words), starts, starts + WINDOW)
-            # the kept words with one space after each, end to end
-            stay = ~gone
-            size = np.where(stay, end - start + 1, 0)
-            edge = np.zeros(len(words) + 1, dtype=np.int64)
-            np.cumsum(size, out=edge[1:])
-            inside = C.covered(len(raw), start[stay], end[stay])
-            out = np.full(edge[-1], 0x20, dtype=np.uint8)
-            spaces = edge[1:][stay] - 1
-            letters = np.ones(edge[-1], dtype=bool)
-            letters[spaces] = False
-            out[letters] = raw[inside]
-            data, cuts = out.tobytes(), edge[first].tolist()
-            kept = [data[a : max(a, b - 1)].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(C.sums(gone, first)), pa.array(kept, pa.string())], names=[x.split()[0] for x in KEPT.split(", ")])
+            n, removed, kept = _kept(part)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(removed), pa.array(kept, pa.string())], names=[x.split()[0] for x in KEPT.split(", ")])
 
 
 def removed_windows(rows: DataFrame) -> DataFrame:
@@ -225,6 +227,11 @@ def removed_windows(rows: DataFrame) -> DataFrame:
     )
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": text, "text_hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, one space between) for each row of docs (doc_id, text).
 
@@ -234,10 +241,29 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     they are and take nothing; an empty table gives an empty one; other columns are ignored.
     """
     C.tune(docs.sparkSession)
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    lost = removed_windows(rows)
-    return rows.join(lost, "doc_id", "left").select("doc_id", "text", "is_copy", "windows").mapInArrow(_kept_rows, KEPT)
+    rows = hashed(docs.select("doc_id", "text"))
+    return rows.join(removed_windows(rows), "doc_id", "left").select("doc_id", "text", "is_copy", "windows").mapInArrow(_kept_rows, KEPT)
+
+
+def strip_substrings(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, n_chars and others) with the text of what dedup_substrings() keeps wherever it removes a word.
+
+    Texts that lose nothing stay as they are, white space included; n_chars follows the text.
+    """
+    C.tune(docs.sparkSession)
+    rows, columns = hashed(docs), docs.columns
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in C.chunks(batch):
+                _, removed, kept = _kept(part)
+                old, chars = part.column("text").to_pylist(), part.column("n_chars").to_pylist()
+                new = {"text": pa.array([k if r else t for k, r, t in zip(kept, removed, old, strict=True)], pa.string()), "n_chars": pa.array([len(k) if r else c for k, r, c in zip(kept, removed, chars, strict=True)], pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in columns], names=columns)
+
+    schema = docs.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("bigint")}).schema
+    lost = removed_windows(rows.select("doc_id", "text", "text_hash"))
+    return rows.join(lost, "doc_id", "left").select(*columns, "is_copy", "windows").mapInArrow(strip, schema)
 
 
 #: DuckDB SQL for the digest.
