@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from . import common as C
 
 WINDOW = 13
 #: Rounds of pair naming; a symbol of the last covers 2 ** ROUNDS words at most, but for runs.
-ROUNDS = 4
+ROUNDS = 3
 FAR = np.int64(1 << 60)
 PAIR = C.U(0xD6E8FEB86659FD93)
 RUN = C.U(0xBF58476D1CE4E5B9)
@@ -145,15 +146,15 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(keys), dtype=bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
             row, keys = row[fresh], keys[fresh]
-            doc, text = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("text_hash").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(doc[row]), pa.array(text[row])], names=["key", "doc", "text_hash"])
+            doc = part.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(doc[row])], names=["key", "doc"])
 
 
 def held(values: np.ndarray, of: pa.Array, row: np.ndarray) -> np.ndarray:
     """Whether values[i] is among the list of of[row[i]]."""
     of = of.combine_chunks() if isinstance(of, pa.ChunkedArray) else of
     flat = of.flatten().to_numpy(zero_copy_only=False).astype(np.int64).astype(C.U)
-    sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(of).to_pylist()], dtype=np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.list_value_length(of).to_pylist()], dtype=np.int64)
     if not len(flat) or not len(values):
         return np.zeros(len(values), dtype=bool)
     salt = C.spread(np.arange(1, len(sizes) + 1, dtype=C.U))
@@ -162,7 +163,7 @@ def held(values: np.ndarray, of: pa.Array, row: np.ndarray) -> np.ndarray:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        batch = batch.filter(pa.compute.is_valid(batch.column("keys")))
+        batch = batch.filter(pc.is_valid(batch.column("keys")))
         for part in C.chunks(batch):
             _, _, _, first, _, words = parsed(part)
             starts, keys = anchors(words, first)
@@ -212,13 +213,13 @@ def removed_windows(rows: DataFrame) -> DataFrame:
     """doc_id, is_copy, windows (hashes) of the documents of rows (doc_id, text, text_hash) that lose words."""
     known = rows.where(F.col("doc_id").isNotNull())
     ids = known.select("doc_id", "text_hash")
-    copies = ids.join(ids.groupBy("text_hash").agg(F.min("doc_id").alias("least")), "text_hash").where("doc_id > least").select("doc_id").distinct()
-    found = known.mapInArrow(_anchor_rows, "key bigint, doc bigint, text_hash bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = found.groupBy("key").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("key")
-    flags = found.join(shared, "key").groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    # copies need no verification: the text's first document stands for them
-    flags = flags.join(copies.withColumnRenamed("doc_id", "doc"), "doc", "left_anti").withColumnRenamed("doc", "doc_id")
-    windows = rows.join(flags, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_window_rows, "window bigint, doc bigint")
+    # a text's first document stands for its copies, which lose all their words
+    copies = C.cut(ids.join(ids.groupBy("text_hash").agg(F.min("doc_id").alias("least")), "text_hash").where("doc_id > least").select("doc_id").distinct())
+    found = C.without(known, copies).mapInArrow(_anchor_rows, "key bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    shared = found.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
+    flags = C.cut(found.join(shared, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("keys")))
+    found.unpersist()
+    windows = rows.join(flags, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_window_rows, "window bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
     owners = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
     lost = windows.join(owners, "window").where("doc > least").groupBy("doc").agg(F.collect_set("window").alias("windows"))
     return (
