@@ -1,30 +1,7 @@
-"""A session and small random corpora for the tests of the ten operators."""
+"""Small random corpora for the tests of the ten operators."""
 
 import random
 
-import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "3g")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
-        .getOrCreate()
-    )
-    yield session
-
-
-@pytest.fixture(scope="session")
-def sf_dir():
-    return "/root/testdata/sf0.001"
-
-
 WORDS = ["the", "of", "and", "to", "été", "für", "x", "licence", "Straße", "a,b", "niño", "日本", "end."]
 
 

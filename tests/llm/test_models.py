@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import corpus
+from corpora import corpus
 from pyspark.sql import functions as F
 from tidemill.llm import brown_lm, chat_format, html_extract
 from tidemill.llm.common import crc_mod

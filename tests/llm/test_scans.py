@@ -6,7 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import sentencepiece
-from conftest import corpus
+from corpora import corpus
 from pyspark.sql import functions as F
 from tidemill.llm import language_id, license_scan, queries, quality_rules
 from tidemill.llm.decontamination import clean, digest, scan

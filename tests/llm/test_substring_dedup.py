@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import corpus
+from corpora import corpus
 from tidemill.llm.substring_dedup import WINDOW, dedup_substrings
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
