@@ -140,11 +140,14 @@ def train(labelled: DataFrame) -> tuple[list[str], DataFrame]:
 
 def trained(labelled: DataFrame) -> tuple[list[str], list[Tree]]:
     langs, counts = train(labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    learned = counts.toPandas() if langs else None  # at most MAX_LANGS * SAMPLE_ROWS texts' distinct strings
-    trees = []
+    if not langs:
+        return [], []
+    learned = counts.toArrow()  # at most MAX_LANGS * SAMPLE_ROWS texts' distinct strings
+    of, trees = np.array(learned.column("lang").to_pylist(), dtype=object), []
+    columns = [learned.column(c).to_numpy() for c in ("width", "gram", "n")]
     for lang in langs:
-        own = learned[learned["lang"] == lang]
-        trees.append(Tree(own["width"].to_numpy(), own["gram"].to_numpy(), own["n"].to_numpy()))
+        own = of == lang
+        trees.append(Tree(*[c[own] for c in columns]))
     return langs, trees
 
 
