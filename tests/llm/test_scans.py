@@ -4,10 +4,13 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from corpora import corpus
 from pyspark.sql import functions as F
+from tidemill.llm import common as C
 from tidemill.llm import language_id, license_scan, queries, quality_rules
 from tidemill.llm.decontamination import clean, digest, scan
 from tidemill.llm.piece_codec import encode_decode
@@ -133,3 +136,22 @@ def test_language_id(spark, sf_dir):
     assert [rows[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "und", "en"]
     nothing = language_id.identify(odd, spark.createDataFrame([], "doc_id long, text string, lang string")).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_language_scorer_equals_its_trees_when_slots_collide(monkeypatch):
+    monkeypatch.setattr(language_id, "SLOTS", 6)
+    batches = [pa.record_batch({"text": [t for _, t in corpus(seed, 60)]}) for seed in (21, 22, 23)]
+    trees = []
+    for b in batches[:2]:
+        raw, at = C.strings(b.column("text"))
+        code, parts = language_id.codes(raw, at), []
+        for width in range(1, language_id.ORDER + 2):
+            gram, n = np.unique(code & np.uint64((1 << (8 * width)) - 1), return_counts=True)
+            parts.append((np.full(len(gram), width), gram.astype(np.int64), n))
+        trees.append(language_id.Tree(*map(np.concatenate, zip(*parts, strict=True))))
+    scorer = language_id.Scorer(["a", "b"], trees)
+    for b in [*batches, *batches]:
+        raw, at = C.strings(b.column("text"))
+        code = language_id.codes(raw, at)
+        want = [[t.bits(code[i:j]).sum() for i, j in zip(at[:-1], at[1:], strict=True)] for t in trees]
+        assert np.allclose(scorer.lengths(raw, at), want, rtol=1e-4)

@@ -107,21 +107,18 @@ class Scorer:
         """Code length in bits of each row (column) under each language (row)."""
         code, out = codes(raw, at), np.zeros((len(self.langs), len(at) - 1))
         slot = ((code * C.U(0x9E3779B97F4A7C15)) >> C.U(64 - SLOTS)).astype(np.int64)
-        missing = np.unique(code[self.keys[slot] != code])
-        own = np.zeros((len(self.langs), 0), dtype=np.float32)
-        if len(missing):
-            own = np.array([t.bits(missing) for t in self.trees], dtype=np.float32)
-            where = ((missing * C.U(0x9E3779B97F4A7C15)) >> C.U(64 - SLOTS)).astype(np.int64)
-            where, pick = np.unique(where, return_index=True)
-            self.keys[where], self.bits[:, where] = missing[pick], own[:, pick]
-        lost = np.flatnonzero(self.keys[slot] != code)
-        found = np.searchsorted(missing, code[lost])
+        miss = np.flatnonzero(self.keys[slot] != code)
+        missing, back = np.unique(code[miss], return_inverse=True)
+        own = np.array([t.bits(missing) for t in self.trees], dtype=np.float32)
         full = np.flatnonzero(np.diff(at))
         for k in range(len(self.langs)):
             bits = self.bits[k][slot]
-            bits[lost] = own[k][found]
+            bits[miss] = own[k][back]
             if len(full):
                 out[k, full] = np.add.reduceat(bits, at[:-1][full], dtype=np.float64)
+        # only now: a new string may take the slot of one that was just looked up
+        where, pick = np.unique(slot[miss], return_index=True)
+        self.keys[where], self.bits[:, where] = code[miss][pick], own[:, back[pick]]
         return out
 
 
