@@ -9,7 +9,6 @@ prefix sums.  Nothing here loops over words in Python.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,13 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: what joins it can split its hot keys."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Ids that are sent to all executors at once; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 

@@ -15,7 +15,7 @@ formed in every occurrence of that window, whatever surrounds it.
 
 Exact copies of a text are resolved by its hash alone.  The texts are shuffled once; every
 other shuffle carries pairs of numbers.  Hot anchors and windows are pre-aggregated on the
-map side and rejoined through sort-merge joins, whose large partitions Spark splits.
+map side; they are rejoined in one plan, so that the exchange of the texts is used twice.
 """
 
 from __future__ import annotations
@@ -221,7 +221,7 @@ def removed_windows(rows: DataFrame) -> DataFrame:
     shared = found.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
     flags = found.join(shared, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("keys"))
     windows = rows.join(flags, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_window_rows, "window bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    owners = C.written(windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least"))
+    owners = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
     lost = windows.join(owners, "window").where("doc > least").groupBy("doc").agg(F.collect_set("window").alias("windows"))
     return (
         lost.select(F.col("doc").alias("doc_id"), F.lit(False).alias("is_copy"), "windows")
