@@ -219,7 +219,8 @@ def removed_windows(rows: DataFrame) -> DataFrame:
     copies = C.cut(ids.join(ids.groupBy("text_hash").agg(F.min("doc_id").alias("least")), "text_hash").where("doc_id > least").select("doc_id").distinct())
     found = C.without(known, copies).mapInArrow(_anchor_rows, "key bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
     shared = found.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
-    flags = found.join(shared, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("keys"))
+    flags = C.cut(found.join(shared, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("keys")))
+    found.unpersist()
     windows = rows.join(flags, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_window_rows, "window bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
     owners = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
     lost = windows.join(owners, "window").where("doc > least").groupBy("doc").agg(F.collect_set("window").alias("windows"))
