@@ -3,7 +3,9 @@
 import random
 import re
 
+import pytest
 from corpora import corpus
+from tidemill.llm import ngram_join
 from tidemill.llm.ngram_join import near_duplicates
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,6 +62,23 @@ def test_dense_group_is_one_class(spark):
     assert got == {i: c for i, (c, _) in want.items()}
 
 
+@pytest.mark.parametrize("block", [256, 40])
+def test_links_of_dense_groups(spark, monkeypatch, block):
+    # copies of one text, each 0.85 like it and most of them less than 0.8 like one another
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(6)
+    hub = [f"h{rng.randrange(10**6)}" for _ in range(204)]
+    texts = [hub]
+    for c in range(150):
+        at = rng.randrange(5, 187)
+        texts.append([*hub[:at], *(f"c{c}e{k}" for k in range(12)), *hub[at + 12 :]])
+    texts += [texts[1], texts[0]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(i + 1000, t) for i, t in near_copies(4, 100, 1)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert got[0][1] == 152
+
+
 def test_empty_null_and_clashing_columns(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(5, "a b c", 1), (3, "a b c", 2), (4, None, 3), (6, "", 4), (None, "a b c", 5)]
