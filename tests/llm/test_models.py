@@ -33,6 +33,16 @@ def test_brown_lm_base(spark, monkeypatch, table):
         assert r.score < 0
 
 
+def test_brown_lm_lowers_a_to_z(spark):
+    docs = spark.createDataFrame([(1, "The the THE Été x"), (2, "tHE été Été X new")], "doc_id long, text string")
+    held = F.col("doc_id") == 2
+    got = {r.doc_id: r for r in brown_lm.score(docs, docs.where(~held), held).collect()}
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in (got[1], got[2])] == [(6, 6, 6), (6, 4, 6)]  # the, Été, x, end; été is another word
+    count = {"the": 3, "Été": 1, "x": 1, "end": 1}
+    want = sum(math.log10((count.get(x, 0) + 0.5) / (6 + 0.5 * 5)) for x in ("the", "été", "Été", "x", "new", "end"))
+    assert math.isclose(got[2].base_score, want, rel_tol=1e-9)
+
+
 def test_brown_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = crc_mod(F.col("doc_id"), 5) == 1
