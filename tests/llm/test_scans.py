@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from re import _parser as parser
 
 import numpy as np
 import public_tokenizers
@@ -127,6 +128,44 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) > 200
 
 
+def test_license_names_alone(spark):
+    alone = {
+        "X11 License": "mit", "Expat license": "mit", "ASL 2.0": "apache-2.0", "Creative Commons Zero": "cc0-1.0", "PSF license": "psf-2.0",
+        "do what the fuck you want to public license": "wtfpl", "https://joinup.ec.europa.eu/collection/eupl": "eupl-1.2",
+    }
+    far = " ".join(["word"] * 200)
+    rows = [(i, f"{far} {x} {far}") for i, x in enumerate(alone)] + [(100 + i, f"{far} {x} {far} all rights reserved") for i, x in enumerate(alone)]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(frame(spark, rows)).collect()}
+    for i, label in enumerate(alone.values()):
+        assert got[i] == [label] and got[100 + i] == sorted(["all-rights-reserved", label])
+
+
+def example(tree, pick):
+    """A string that the parsed pattern matches; branch number ``pick`` and as many repeats as are needed (odd picks: one more)."""
+    out = ""
+    for op, arg in tree:
+        if op is parser.LITERAL:
+            out += chr(arg)
+        elif op is parser.IN:
+            out += chr(arg[0][1] if arg[0][0] is parser.LITERAL else arg[0][1][0])
+        elif op is parser.BRANCH:
+            out += example(arg[1][pick // 2 % len(arg[1])], pick)
+        elif op is parser.SUBPATTERN:
+            out += example(arg[3], pick)
+        elif op is parser.MAX_REPEAT:
+            out += example(arg[2], pick) * max(arg[0], min(pick % 2, arg[1]))
+    return out
+
+
+def test_license_rules_hold_their_keywords():
+    for label, keyword, pattern, _, _ in license_scan.rules():
+        for pick in range(14):
+            text = example(parser.parse(pattern), pick)
+            assert re.search(pattern, text), (label, text)
+            near = re.sub(r"\s+", " ", text)
+            assert keyword in near and any(a in near for a in license_scan.ANCHORS) and any(t in text for t in license_scan.TRIGGERS), (label, keyword, text)
+
+
 def test_language_id(spark, sf_dir):
     got = queries.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
     held = got.where("held_out and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]

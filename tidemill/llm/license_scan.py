@@ -18,9 +18,9 @@ from . import common as C
 
 #: Label, keyword of the name, pattern of the name, pattern of the identifier, pattern of the address.
 LICENSES = [
-    ("mit", "mit", r"(?:mit|expat|x11)[ /-]+licen[cs]e", r"mit", r"opensource\.org/licenses?/mit"),
+    ("mit", "mit", r"mit[ /-]+licen[cs]e", r"mit", r"opensource\.org/licenses?/mit"),
     ("mit-0", "mit", r"mit[ -](?:no[ -]attribution|0) licen[cs]e", r"mit-0", r"opensource\.org/licenses?/mit-0"),
-    ("apache-2.0", "apache", r"apache(?: software)?,? licen[cs]e,?(?:[ \n]+version)?[ \n]+2(?:\.0)?|apache-2(?:\.0)?|asl ?2\.0", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", "apache", r"apache(?: software)?,? licen[cs]e,?(?:[ \n]+version)?[ \n]+2(?:\.0)?|apache-2(?:\.0)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e,?(?:[ \n]+version)?[ \n]+1\.1", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
     ("apache-1.0", "apache", r"apache(?: software)? licen[cs]e,?(?:[ \n]+version)?[ \n]+1\.0", r"apache-1\.0", r"apache\.org/licenses/license-1\.0"),
     ("gpl-1.0", "general public", r"(?:gnu )?general public licen[cs]e,?[ \n]+(?:version|v\.?)[ \n]*1(?:\.0)?\b", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
@@ -57,7 +57,7 @@ LICENSES = [
     ("eupl-1.1", "european union", r"european union public licen[cs]e,?[ \n]+(?:version|v\.?)?[ \n]*1\.1", r"eupl-1\.1", r"joinup\.ec\.europa\.eu/software/page/eupl/licence-eupl"),
     ("eupl-1.2", "european union", r"european union public licen[cs]e(?:,?[ \n]+(?:version|v\.?)?[ \n]*1\.2)?", r"eupl-1\.2", r"joinup\.ec\.europa\.eu/collection/eupl"),
     ("cecill-2.1", "cecill", r"cecill(?: free software)? licen[cs]e(?:[ \n]+agreement)?(?:,?[ \n]+(?:version|v\.?)?[ \n]*2\.[01])?", r"cecill-2\.[01]", r"cecill\.info/licences/licence_cecill_v2"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1\.0)?(?: universal)?|creative commons zero", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("cc0-1.0", "cc0", r"cc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero/1\.0"),
     ("cc-by", "cc by", r"cc by(?:[ -][1-4]\.[05])?", r"cc-by-[1-4]\.[05]", r"creativecommons\.org/licenses/by/"),
     ("cc-by-sa", "cc by", r"cc by-sa(?:[ -][1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-sa/"),
     ("cc-by-nc", "cc by", r"cc by-nc(?:[ -][1-4]\.[05])?", r"cc-by-nc-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc/"),
@@ -67,12 +67,12 @@ LICENSES = [
     ("creative-commons", "creative commons", r"creative commons(?: [a-z-]+){0,6} licen[cs]e", r"cc", r"creativecommons\.org/licenses"),
     ("unlicense", "unlicense", r"\bthe unlicense\b|unlicense\.org", r"unlicense", r"unlicense\.org"),
     ("public-domain", "public domain", r"(?:dedicated|released|placed|is)[ \n]+(?:to|into|in)[ \n]+the[ \n]+public domain", r"public-domain", r"creativecommons\.org/publicdomain/mark"),
-    ("wtfpl", "wtfpl", r"do what the f[u*]ck you want to public licen[cs]e|wtfpl", r"wtfpl", r"wtfpl\.net"),
+    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", r"wtfpl\.net"),
     ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e(?:,?[ \n]+(?:version|v\.?)?[ \n]*1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
     ("odbl-1.0", "open database", r"open (?:data commons open )?database licen[cs]e(?:,?[ \n]+v?1\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[cs]e(?:,?[ \n]+v?1\.0)?", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[cs]e", r"ncsa", r"opensource\.org/licenses?/ncsa"),
-    ("psf-2.0", "python", r"python software foundation licen[cs]e(?:,?[ \n]+version[ \n]*2)?|psf licen[cs]e", r"(?:psf|python)-2\.0", r"docs\.python\.org/3/license"),
+    ("psf-2.0", "python", r"python software foundation licen[cs]e(?:,?[ \n]+version[ \n]*2)?", r"(?:psf|python)-2\.0", r"docs\.python\.org/3/license"),
     ("php-3.01", "php", r"php licen[cs]e(?:,?[ \n]+(?:version|v\.?)?[ \n]*3\.01)?", r"php-3\.01", r"php\.net/license/3_01"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby", r"ruby-lang\.org/en/about/license"),
     ("vim", "vim", r"vim licen[cs]e", r"vim", r"vimdoc\.sourceforge\.net/htmldoc/uganda"),
@@ -85,11 +85,20 @@ LICENSES = [
     ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?:,?[ \n]+(?:version|v\.?)?[ \n]*1(?:\.0)?)?", r"upl-1\.0", r"opensource\.org/licenses?/upl"),
     ("all-rights-reserved", "all rights", r"all rights reserved", r"licenseref-all-rights-reserved", r"example\.invalid/all-rights-reserved"),
 ]
+#: Label, keyword and pattern of further names, which do not hold the keyword in LICENSES.
+ALIASES = [
+    ("mit", "expat", r"expat[ /-]+licen[cs]e"),
+    ("mit", "x11", r"x11[ /-]+licen[cs]e"),
+    ("apache-2.0", "asl", r"asl ?2\.0"),
+    ("cc0-1.0", "creative commons zero", r"creative commons zero"),
+    ("wtfpl", "you want to public licen", r"do what the f[u*]ck you want to public licen[cs]e"),
+    ("psf-2.0", "psf", r"psf licen[cs]e"),
+]
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided)[ \n]+under[ \n]+(?:the[ \n]+)?(?:terms[ \n]+of[ \n]+)?(?:the[ \n]+)?"
 #: Strings of which every match of a rule holds one, white space squeezed.
-ANCHORS = ("licen", "public domain", "publicdomain", "rights reserved", "rights-reserved", "cc0", "cc by", "creative commons", "creativecommons", "wtfpl", "apache-2", "asl 2", "asl2", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc")
+ANCHORS = ("licen", "public domain", "publicdomain", "rights reserved", "rights-reserved", "cc0", "cc by", "creative commons", "creativecommons", "wtfpl", "apache-2", "asl 2", "asl2", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc", "joinup.ec.europa.eu")
 #: Strings of which a text with an anchor holds one, however its white space runs.
-TRIGGERS = ("licen", "domain", "reserved", "cc0", "cc", "creative", "wtfpl", "apache-2", "asl", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc")
+TRIGGERS = ("licen", "domain", "reserved", "cc0", "cc", "creative", "wtfpl", "apache-2", "asl", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc", "joinup.ec.europa.eu")
 #: Characters that a match may reach before and after an anchor in it; none reaches further.
 REACH = 200
 #: The phrases of the base rules and their labels.
@@ -100,12 +109,13 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, weight), first the rules that win."""
     out = []
     for label, keyword, name, ident, address in LICENSES:
+        names = [(keyword, name), *(a[1:] for a in ALIASES if a[0] == label)]
         out += [
             (label, "spdx-license-identifier", rf"spdx-license-identifier:[ \t]*(?:{ident})(?![a-z0-9.+-])", 40, 1.0),
             (label, address.replace("\\", "").replace("?", "").split("/")[0], rf"https?://(?:www\.)?(?:{address})", 30, 0.9),
-            (label, keyword, rf"{GRANT}(?:{name})", 20, 0.95),
-            (label, keyword, rf"(?<![a-z0-9])(?:{name})", 10, 0.7),
         ]
+        for own, pattern in names:
+            out += [(label, own, rf"{GRANT}(?:{pattern})", 20, 0.95), (label, own, rf"(?<![a-z0-9])(?:{pattern})", 10, 0.7)]
     return sorted(out, key=lambda r: -r[3])
 
 
