@@ -1,6 +1,8 @@
 """Operators 1, 2, 5, 7 and 8 against brute-force versions."""
 
+import base64
 import hashlib
+import random
 import re
 from collections import Counter
 from re import _parser as parser
@@ -8,6 +10,7 @@ from re import _parser as parser
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 from corpora import corpus
 from pyspark.sql import functions as F
@@ -85,6 +88,16 @@ def test_compression_bands_verdicts(spark, sf_dir):
     assert got == {1: "inside", 2: "repetitive", 3: got[3]} and got[3] != "repetitive"
 
 
+@pytest.mark.parametrize("size", [900, 2000, 4096, 20000])
+def test_noise_is_incompressible(spark, sf_dir, size):
+    rng = random.Random(size)
+    noise = [rng.randbytes(size).hex()[:size], base64.b64encode(rng.randbytes(size)).decode()[:size], "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))]
+    prose = "\n".join(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' and n_chars between 2000 and 6000").limit(8).collect())[:20000]
+    rows = [*enumerate(noise), (3, prose[:size]), (4, prose[:15000] + noise[0][:4096] * (size == 4096))]
+    got = {r.doc_id: r.band for r in quality_rules.compression_bands(frame(spark, rows)).collect()}
+    assert got == {0: "incompressible" if size >= 1500 else "inside", 1: "incompressible", 2: "incompressible", 3: "inside", 4: "incompressible" if size == 4096 else "inside"}
+
+
 def test_piece_codec(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
