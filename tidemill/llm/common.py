@@ -2,13 +2,15 @@
 
 The numpy part works on whole Arrow string columns: the text bytes of a few
 hundred documents lie end to end in one array, words are byte ranges found with
-a 256-entry table, and 64-bit hashes of words and of word windows come from
-prefix sums.  Nothing here loops over words in Python.
+a 256-entry table, and 64-bit hashes of words and of word windows take in eight bytes,
+or one word, at a step for all words at once.  Only words of more than LONG_WORD bytes
+are visited one by one.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,7 @@ CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 MASK = (1 << 64) - 1
-WORD_BASE = 0x9E3779B97F4A7C15
-WINDOW_BASE = 0xD6E8FEB86659FD93
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +40,16 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where the session has none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, which the cluster (or the test's session) names.
+
+    A session of one process (master local, as in tests) that names none gets a temporary folder; on a
+    cluster it is an error to name none, for its executors' disks differ.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = f"file://{os.environ.get('TMPDIR', '/tmp')}/tidemill-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = f"file://{tempfile.gettempdir()}/tidemill-checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
@@ -91,29 +98,6 @@ def ascii_words(text: Column) -> Column:
 # --- numpy over Arrow string columns -------------------------------------------------------
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), base, dtype=U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of an odd base and of its inverse, kept and lengthened as needed."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = powers(base, 1024), powers(self.inverse, 1024)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = powers(self.base, 2 * n), powers(self.inverse, 2 * n)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS: dict[int, Powers] = {}
-
-
 def spread(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that brings every input bit to every output bit."""
     h = h ^ (h >> U(32))
@@ -124,17 +108,26 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def ranges_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A polynomial hash of values[start:end] for each pair; equal ranges have equal hashes."""
-    up, down = _POWERS.setdefault(base, Powers(base))(len(values) + 1)
-    total = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return spread((total[end] - total[start]) * down[start])
+def mix(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """h with one more value taken in; for a given h a bijection of value, and the order of values counts."""
+    h = (h ^ value) * U(0x9E3779B97F4A7C15)
+    h ^= h >> U(29)
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(32)
+    return h
 
 
-def byte_values(seed: int) -> np.ndarray:
-    """A fixed 64-bit value for each byte."""
-    return spread(np.arange(1, 257, dtype=U) * U(0xBF58476D1CE4E5B9) + U(seed * 2 + 1))
+def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A hash of values[start:end] for each pair; equal ranges have equal hashes.  As many steps as the longest range."""
+    size = end - start
+    h = spread(size.astype(U) + U(seed * GOLDEN & MASK))
+    for j in range(int(size.max()) if len(size) else 0):
+        own = np.flatnonzero(size > j)
+        if len(own) == len(h):
+            h = mix(h, values[start + j])
+        else:
+            h[own] = mix(h[own], values[start[own] + j])
+    return spread(h)
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -184,15 +177,55 @@ def word_ranges(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray = SPACES) -
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
-    return ranges_hash(byte_values(seed)[raw], start, end, WORD_BASE)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U)
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; another seed gives an independent one.  Eight bytes are taken at a time."""
+    size = end - start
+    h = spread(size.astype(U) + U((seed + 77) * GOLDEN & MASK))
+    if not len(size):
+        return h
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    lanes = np.ndarray((len(raw),), "<u8", padded, 0, (1,))
+    short = size <= LONG_WORD
+    own = np.flatnonzero(short)
+    for j in range(0, LONG_WORD, 8):
+        if j:
+            own = own[size[own] > j]
+        if not len(own):
+            break
+        lane = lanes[start[own] + j] & _LOW_BYTES[np.minimum(size[own] - j, 8)]
+        h[own] = mix(h[own], lane)
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    return spread(h)
+
+
+def window_hashes(words: np.ndarray, first: np.ndarray, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Start (index of word) and hash of each window of k words inside one row."""
-    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    starts = np.flatnonzero(np.arange(len(words)) + k <= first[1:][rows]) if len(words) else np.zeros(0, np.int64)
-    return starts, ranges_hash(words, starts, starts + k, WINDOW_BASE)
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
+    last = np.repeat(first[1:], np.diff(first))[:n]  # where the row of each word ends
+    starts = np.flatnonzero(np.arange(n) + k <= last)
+    h = np.full(n, U((seed * 31 + k) * GOLDEN & MASK), dtype=U)
+    for j in range(k):
+        h = mix(h, words[j : n + j])
+    return starts, spread(h[starts])
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it (whatever its case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:

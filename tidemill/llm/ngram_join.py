@@ -54,7 +54,7 @@ def shingles(part: pa.RecordBatch, k: int = SHINGLE) -> list[np.ndarray]:
     n = np.diff(first)
     _, hashes = C.window_hashes(words, first, k)
     edges = np.concatenate([[0], np.cumsum(np.maximum(n - k + 1, 0))])
-    short = C.ranges_hash(words, first[:-1], first[1:], C.WINDOW_BASE)
+    short = C.spans_hash(words, first[:-1], np.minimum(first[1:], first[:-1] + k))  # meant for rows of fewer than k words
     return [np.unique(hashes[a:b]) if b > a else short[i : i + 1] if n[i] else hashes[:0] for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
 
 

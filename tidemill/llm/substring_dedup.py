@@ -1,45 +1,52 @@
 """Substring deduplication by recompression (operator 9).
 
-Every document is recompressed in rounds: runs of one word get a name, then in each
-round a hash bit deals the symbols into left and right ones and every left-right pair of
-neighbours gets a name.  Names are 64-bit hashes of what they stand for, so they agree
-over the whole corpus without a dictionary.  Each symbol carries its safe span: the words
-that fix how it was parsed.  A symbol whose safe span lies inside a window of words is
-formed in every occurrence of that window, whatever surrounds it.
-
-1.  Each window of WINDOW words picks its anchor: of the highest-level symbols that are
-    safe in it, the one with the smallest name.  Few anchors serve all windows.
-2.  One aggregation over (anchor, document) finds the anchors of more than one text.
-3.  Only windows with a shared anchor are verified: their own hashes are aggregated to the
-    smallest document, and a document loses the words of its windows that a smaller one has.
-
-Exact copies of a text are resolved by its hash alone.  The texts are shuffled once; every
-other shuffle carries pairs of numbers.  Hot anchors and windows are pre-aggregated on the
-map side; they are rejoined in one plan, so that the exchange of the texts is used twice.
+Every text is recompressed in rounds: maximal runs of one symbol get a name, then a hash bit
+deals the symbols into left and right ones and every left-right pair of neighbours gets a
+name.  A name depends on nothing but what it stands for, so equal substrings have equal
+interior symbols in the whole corpus.  Spark then finds which names are shared, from the
+high levels down, in three rounds over the same blocks of documents:
+
+1.  Symbols of the levels HIGH stand for some 40, 180 and 750 words.  Where such a symbol
+    occurs in a document with a smaller doc_id too, all windows inside of it are repeats:
+    shared high-level symbols settle copies, near copies and long passages.
+2.  Each other window of WINDOW words picks an anchor: of the symbols of the first ROUNDS
+    rounds that are safe in it, the highest, then the one with the smallest name.  A symbol
+    is safe in a window that holds all words on which its parsing depended; it is formed in
+    every occurrence of the window, whatever surrounds it.  Most anchors occur in no other
+    document, and their windows are settled too.
+3.  The windows with shared anchors are verified: the smallest document of each is found.
+
+Names that decide on a removal are pairs of independent 64-bit hashes (128 bits), of words
+and of everything above.  Documents lie in blocks of BLOCK_BYTES; a name is handed on once
+per block, whatever number of documents there hold it, and comes back once per block, so a
+name that a third of all documents share is no hot key.  The texts are shuffled once; the
+other exchanges carry numbers.  All rounds are one plan, which uses the exchange of the texts again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW = 13
-#: Rounds of pair naming; a symbol of the last covers 2 ** ROUNDS words at most, but for runs.  With
-#: more rounds an anchor tells more (a mean of 5, 7, 9 words for 2, 3, 4), but fewer symbols are safe
-#: in a window and more of them become anchors (0.20, 0.24, 0.33 per word).
-ROUNDS = 2
+#: Rounds of pair naming from which anchors are taken.
+ROUNDS = 3
+#: Rounds after which symbols are looked up as wholes; a round leaves three quarters of the symbols.
+HIGH = (13, 18, 23)
+#: Text bytes of a block of documents.
+BLOCK_BYTES = 4 << 20
+#: Words of a text that are parsed at a time; longer texts are cut with an overlap of WINDOW - 1 words.
+SLICE = 200_000
 FAR = np.int64(1 << 60)
 PAIR = C.U(0xD6E8FEB86659FD93)
 RUN = C.U(0xBF58476D1CE4E5B9)
-GOLDEN = 0x9E3779B97F4A7C15
 
 Symbols = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -63,6 +70,11 @@ def name_runs(symbols: Symbols) -> Symbols:
     return named, np.where(has_left, lo[before], -1), np.where(has_right, hi[after], FAR), row[start]
 
 
+def _right(name: np.ndarray, level: int) -> np.ndarray:
+    """The side of each symbol in a round."""
+    return (C.spread(name + C.U((level + 1) * C.GOLDEN & C.MASK)) >> C.U(63)).astype(bool)
+
+
 def name_pairs(symbols: Symbols, level: int) -> Symbols:
     """Names every left symbol with a right symbol after it.
 
@@ -72,7 +84,7 @@ def name_pairs(symbols: Symbols, level: int) -> Symbols:
     """
     name, lo, hi, row = symbols
     n = len(name)
-    right = (C.spread(name + C.U((level + 1) * GOLDEN & C.MASK)) >> C.U(63)).astype(bool)
+    right = _right(name, level)
     joined = np.zeros(n, dtype=bool)
     joined[:-1] = ~right[:-1] & right[1:] & (row[1:] == row[:-1])
     head = np.ones(n, dtype=bool)
@@ -91,14 +103,62 @@ def name_pairs(symbols: Symbols, level: int) -> Symbols:
     return named, low, high, row[at]
 
 
-def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start and anchor key of each window of the rows' words (first: where each row's words start).
+def high_symbols(words: np.ndarray, other: np.ndarray, first: np.ndarray, window: int = WINDOW, levels: tuple[int, ...] = HIGH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last word + 1 and the two names of the symbols after the rounds in levels that hold more than one window.
+
+    words and other are independent hashes of the words; first tells where each row's words start.
+    """
+    name, twin, start = words, other, np.arange(len(words))
+    edge = np.zeros(len(words) + 1, dtype=bool)
+    edge[first[first < len(words)]] = True
+    out: list[tuple[np.ndarray, ...]] = []
+    for level in range(max(levels) if len(words) else 0):
+        # runs
+        opens = edge[start]
+        fresh = opens.copy()
+        fresh[0] = True
+        fresh[1:] |= (name[1:] != name[:-1]) | (twin[1:] != twin[:-1])
+        at = np.flatnonzero(fresh)
+        if len(at) < len(name):
+            size = np.diff(np.append(at, len(name))).astype(C.U)
+            long = size > 1
+            name, twin, start, opens = name[at], twin[at], start[at], opens[at]
+            name[long] = C.spread(name[long] * RUN + size[long])
+            twin[long] = C.mix(C.spread(twin[long] + C.U(5)), size[long])
+        # pairs
+        right = _right(name, level)
+        joined = ~right[:-1] & right[1:] & ~opens[1:]
+        head = np.ones(len(name), dtype=bool)
+        head[1:] = ~joined
+        at = np.flatnonzero(head)
+        two = np.flatnonzero(np.append(joined, False)[at])
+        first_of, second = at[two], at[two] + 1
+        paired = C.spread(name[first_of] * PAIR + C.spread(name[second] + C.U(7)))
+        paired_twin = C.mix(C.spread(twin[first_of] + C.U(9)), twin[second])
+        name, twin, start = name[at], twin[at], start[at]
+        name[two], twin[two] = paired, paired_twin
+        if level + 1 in levels:
+            end = np.append(start[1:], len(words))
+            wide = end - start > window
+            out.append((start[wide], end[wide], name[wide], twin[wide]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, C.U), np.zeros(0, C.U)
+    found = [np.concatenate(x) for x in zip(*out, strict=True)]
+    order = np.lexsort((found[1], found[0]))  # a symbol that no round changed stands once
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = (found[0][order][1:] == found[0][order][:-1]) & (found[1][order][1:] == found[1][order][:-1]) & (found[2][order][1:] == found[2][order][:-1])
+    return tuple(x[order][~again] for x in found)
+
+
+def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, needed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start and anchor key of each window of the rows' words (first: where each row's words start), or of those that start at needed words.
 
     The key is the hash of the words in the anchor symbol's safe span; a window without a
     safe symbol (inside a long run) has the hash of its own words.
     """
     rows, place = np.repeat(np.arange(len(first) - 1), np.diff(first)), np.arange(len(words))
-    starts = np.flatnonzero(place + window <= first[1:][rows]) if len(words) else np.zeros(0, np.int64)
+    fits = place + window <= first[1:][rows] if len(words) else np.zeros(0, bool)
+    starts = np.flatnonzero(fits if needed is None else fits & needed)
     keys = np.zeros(len(starts), dtype=C.U)
     if not len(starts):
         return starts, keys
@@ -124,115 +184,205 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds:
             best, rank = np.where(better, k, best), np.where(better, name[k], rank)
             i = i + 1
         got = best >= 0
-        keys[left[got]] = C.ranges_hash(words, lo[best[got]], hi[best[got]], C.WINDOW_BASE)
+        used, back = np.unique(best[got], return_inverse=True)
+        keys[left[got]] = C.spans_hash(words, lo[used], hi[used], 3)[back]
         left = left[~got]
-    keys[left] = C.spread(C.ranges_hash(words, starts[left], starts[left] + window, C.WINDOW_BASE) + C.U(1))
+    keys[left] = C.spans_hash(words, starts[left], starts[left] + window, 4)
     return starts, keys
 
 
-def parsed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """raw bytes, word starts and ends, words' rows' edges, row edges in bytes, word hashes."""
-    raw, at = C.strings(part.column("text"))
-    start, end, first = C.word_ranges(raw, at)
-    return raw, start, end, first, at, C.word_hashes(raw, start, end)
+class Slice:
+    """Words of one slice of a table (id, text): their places, two hashes and rows."""
 
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, doc: np.ndarray, known: np.ndarray) -> None:
+        self.words, self.other, self.first = C.word_hashes(raw, start, end, 1), C.word_hashes(raw, start, end, 2), first
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        #: The document of each word, and whether it has an id.
+        self.doc, self.known = doc[row], known[row]
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in C.chunks(batch):
-            _, _, _, first, _, words = parsed(part)
-            starts, keys = anchors(words, first)
-            row = np.searchsorted(first, starts, side="right") - 1
-            order = np.lexsort((keys, row))
-            row, keys = row[order], keys[order]
-            fresh = np.ones(len(keys), dtype=bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-            row, keys = row[fresh], keys[fresh]
-            doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(doc[row])], names=["key", "doc"])
-
-
-def held(values: np.ndarray, of: pa.Array, row: np.ndarray) -> np.ndarray:
-    """Whether values[i] is among the list of of[row[i]]."""
-    of = of.combine_chunks() if isinstance(of, pa.ChunkedArray) else of
-    flat = of.flatten().to_numpy(zero_copy_only=False).astype(np.int64).astype(C.U)
-    sizes = np.array([0 if x is None else x for x in pc.list_value_length(of).to_pylist()], dtype=np.int64)
-    if not len(flat) or not len(values):
-        return np.zeros(len(values), dtype=bool)
-    salt = C.spread(np.arange(1, len(sizes) + 1, dtype=C.U))
-    return np.isin(values ^ salt[row], flat ^ np.repeat(salt, sizes))
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        batch = batch.filter(pc.is_valid(batch.column("keys")))
-        for part in C.chunks(batch):
-            _, _, _, first, _, words = parsed(part)
-            starts, keys = anchors(words, first)
-            row = np.searchsorted(first, starts, side="right") - 1
-            mine = held(keys, part.column("keys"), row)
-            starts, row = starts[mine], row[mine]
-            hashes = C.ranges_hash(words, starts, starts + WINDOW, C.WINDOW_BASE)
-            doc = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(doc[row].astype(np.int64))], names=["window", "doc"])
+    def covered(self, shared: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """First word and last + 1 of the high symbols that a smaller document has too."""
+        start, end, name, twin = high_symbols(self.words, self.other, self.first)
+        least = looked_up(shared, name, twin)
+        gone = self.known[start] & (least < self.doc[start])
+        return start[gone], end[gone]
 
+    def open_windows(self, covered: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether a window that starts at a word lies in no covered symbol."""
+        start, end = covered
+        long = end - start >= WINDOW
+        return self.known & ~C.covered(len(self.words), start[long], end[long] - WINDOW + 1)
 
-KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, a = C.window_hashes(self.words, self.first, WINDOW, 5)
+        return starts, a, C.window_hashes(self.other, self.first, WINDOW, 6)[1]
 
 
-def _kept(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words, removed words and kept text of each row of part (text, is_copy, windows)."""
-    raw, start, end, first, _, words = parsed(part)
-    n = np.diff(first)
-    copy = np.array(part.column("is_copy").fill_null(False).to_pylist(), dtype=bool) & (n >= WINDOW)
-    gone = copy[np.repeat(np.arange(len(n)), n)]
-    if part.column("windows").null_count < part.num_rows:
-        starts, hashes = C.window_hashes(words, first, WINDOW)
-        row = np.searchsorted(first, starts, side="right") - 1
-        starts = starts[held(hashes, part.column("windows"), row)]
-        gone = gone | C.covered(len(words), starts, starts + WINDOW)
-    # the kept words with one space after each, end to end
+def slices(group: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[tuple[int, Slice]]]]:
+    """Parts of a table (id, text), the places of their words (start, end, first), and slices with the index of their first word."""
+    for batch in group.select(["id", "text"]).to_batches():
+        for part in C.chunks(batch):
+            raw, at = C.strings(part.column("text"))
+            start, end, first = C.word_ranges(raw, at)
+            ids = part.column("id")
+            doc, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+            out = []
+            if part.num_rows > 1 or len(start) <= SLICE:
+                out.append((0, Slice(raw, start, end, first, doc, known)))
+            else:
+                for a in range(0, max(1, len(start) - WINDOW + 1), SLICE):
+                    b = min(len(start), a + SLICE + WINDOW - 1)
+                    out.append((a, Slice(raw, start[a:b], end[a:b], np.array([0, b - a]), doc, known)))
+            yield part, (raw, start, end, first), out
+
+
+def table_of(group: pa.Table, kind: int) -> tuple[np.ndarray, ...]:
+    """a, b (hashes) and least of the rows of one kind, in order of a and b; the largest number of rows with one a."""
+    own = group.filter(pc.equal(group.column("kind"), kind))
+    a, b, least = (own.column(c).to_numpy() for c in ("a", "b", "least"))
+    a, b = a.astype(C.U), b.astype(C.U)
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    return a, b, least, np.array([np.unique(a, return_counts=True)[1].max() if len(a) else 0])
+
+
+def looked_up(table: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """least of each pair (a, b); the largest number where table lacks it."""
+    own_a, own_b, least, most = table
+    out = np.full(len(a), np.iinfo(np.int64).max)
+    if len(own_a) and len(a):
+        at = np.searchsorted(own_a, a)
+        for step in range(int(most[0])):
+            k = np.minimum(at + step, len(own_a) - 1)
+            hit = (own_a[k] == a) & (own_b[k] == b)
+            out[hit] = least[k[hit]]
+    return out
+
+
+def per_block(block: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> pa.Table:
+    """NAMES: each pair (a, b) of a block once, with the smallest and the largest document that holds it."""
+    order = np.lexsort((b, a))
+    a, b, doc = a[order], b[order], doc[order]
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(fresh)
+    least, most = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if len(at) else (doc, doc)
+    return pa.table([pa.array(np.full(len(at), block, np.int32)), pa.array(a[at].astype(np.int64)), pa.array(b[at].astype(np.int64)), pa.array(least), pa.array(most)], names=["block", "a", "b", "least", "most"])
+
+
+NAMES = "block int, a bigint, b bigint, least bigint, most bigint"
+KEYS = "block int, a bigint, many boolean"
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], n: int) -> list[np.ndarray]:
+    none = [np.zeros(0, C.U), np.zeros(0, C.U), np.zeros(0, np.int64)][3 - n :]
+    return [np.concatenate([x, *column]) for x, column in zip(none, zip(*parts, strict=True), strict=True)] if parts else none
+
+
+def _high(group: pa.Table) -> pa.Table:
+    found = []
+    for _, _, own in slices(group):
+        for _, s in own:
+            start, _, name, twin = high_symbols(s.words, s.other, s.first)
+            known = s.known[start]
+            found.append((name[known], twin[known], s.doc[start[known]]))
+    return per_block(group.column("block")[0].as_py(), *_joined(found, 3))
+
+
+def _keys(group: pa.Table, flags: pa.Table) -> pa.Table:
+    if not group.num_rows:
+        return pa.table({"block": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "many": pa.array([], pa.bool_())})
+    shared, found = table_of(flags, 0), []
+    for _, _, own in slices(group):
+        for _, s in own:
+            starts, keys = anchors(s.words, s.first, needed=s.open_windows(s.covered(shared)))
+            found.append((keys, s.doc[starts]))
+    keys, doc = _joined(found, 2)
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    many = np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+    return pa.table([pa.array(np.full(len(at), group.column("block")[0].as_py(), np.int32)), pa.array(keys[at].astype(np.int64)), pa.array(many)], names=["block", "a", "many"])
+
+
+def _windows(group: pa.Table, flags: pa.Table) -> pa.Table:
+    found: list[tuple[np.ndarray, ...]] = []
+    if group.num_rows:
+        shared, flagged = table_of(flags, 0), table_of(flags, 1)[0]
+        for _, _, own in slices(group):
+            for _, s in own:
+                starts, keys = anchors(s.words, s.first, needed=s.open_windows(s.covered(shared)))
+                starts = starts[np.isin(keys, flagged)]
+                all_starts, a, b = s.windows()
+                mine = np.searchsorted(all_starts, starts)
+                found.append((a[mine], b[mine], s.doc[starts]))
+    return per_block(group.column("block")[0].as_py() if group.num_rows else 0, *_joined(found, 3))
+
+
+def removed_words(part: pa.RecordBatch, places: tuple[np.ndarray, ...], own: list[tuple[int, Slice]], shared: tuple[np.ndarray, ...], lost: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether each word of part goes."""
+    gone = np.zeros(len(places[1]), dtype=bool)
+    for offset, s in own:
+        start, end = s.covered(shared)
+        starts, a, b = s.windows()
+        mine = starts[s.known[starts] & (looked_up(lost, a, b) < s.doc[starts])]
+        gone[offset : offset + len(s.words)] |= C.covered(len(s.words), np.concatenate([start, mine]), np.concatenate([end, mine + WINDOW]))
+    return gone
+
+
+def kept_texts(places: tuple[np.ndarray, ...], gone: np.ndarray) -> list[str]:
+    """The words of each row that stay, joined by one space."""
+    raw, start, end, first = places
     stay = ~gone
     size = np.where(stay, end - start + 1, 0)
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    edge = np.zeros(len(start) + 1, dtype=np.int64)
     np.cumsum(size, out=edge[1:])
     out = np.full(edge[-1], 0x20, dtype=np.uint8)
     letters = np.ones(edge[-1], dtype=bool)
     letters[edge[1:][stay] - 1] = False
     out[letters] = raw[C.covered(len(raw), start[stay], end[stay])]
     data, cuts = out.tobytes(), edge[first].tolist()
-    return n, C.sums(gone, first), [data[a : max(a, b - 1)].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [data[a : max(a, b - 1)].decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in C.chunks(batch):
-            n, removed, kept = _kept(part)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(removed), pa.array(kept, pa.string())], names=[x.split()[0] for x in KEPT.split(", ")])
-
-
-def removed_windows(rows: DataFrame) -> DataFrame:
-    """doc_id, is_copy, windows (hashes) of the documents of rows (doc_id, text, text_hash) that lose words."""
-    known = rows.where(F.col("doc_id").isNotNull())
-    ids = known.select("doc_id", "text_hash")
-    # a text's first document stands for its copies, which lose all their words
-    copies = C.cut(ids.join(ids.groupBy("text_hash").agg(F.min("doc_id").alias("least")), "text_hash").where("doc_id > least").select("doc_id").distinct())
-    found = C.without(known, copies).mapInArrow(_anchor_rows, "key bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    shared = found.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
-    flags = C.cut(found.join(shared, "key").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("key").alias("keys")))
-    found.unpersist()
-    windows = rows.join(flags, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_window_rows, "window bigint, doc bigint").persist(StorageLevel.MEMORY_AND_DISK)
-    owners = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
-    lost = windows.join(owners, "window").where("doc > least").groupBy("doc").agg(F.collect_set("window").alias("windows"))
-    return (
-        lost.select(F.col("doc").alias("doc_id"), F.lit(False).alias("is_copy"), "windows")
-        .unionByName(copies.select("doc_id", F.lit(True).alias("is_copy"), F.lit(None).cast("array<bigint>").alias("windows")))
-    )
-
-
-def hashed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": text, "text_hash": F.xxhash64(F.coalesce(text, F.lit("")))})
+def in_blocks(docs: DataFrame, others: DataFrame) -> DataFrame:
+    """others' columns, id, text and block of each row; rows of one doc_id share a block, rows without one are dealt by their text."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    return others.withColumn("block", F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("text")), F.lit(blocks)).cast("int"))
+
+
+def _over(rows: DataFrame, flags: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: object) -> DataFrame:
+    return rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(f, schema)
+
+
+def flags_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """block, kind, a, b, least: the shared high symbols (kind 0), and with them the lost windows (kind 2), of rows (id, text, block)."""
+    same = Window.partitionBy("a", "b")
+    names = rows.groupBy("block").applyInArrow(_high, NAMES)
+
+    def smaller(named: DataFrame, kind: int) -> DataFrame:
+        """Of names, those that come to their block from a smaller document somewhere."""
+        found = named.withColumn("first", F.min("least").over(same)).where(F.col("most") > F.col("first"))
+        return found.select("block", F.lit(kind).alias("kind"), "a", "b", F.col("first").alias("least"))
+
+    high = smaller(names, 0)
+    keys = _over(rows, high, _keys, KEYS).withColumn("blocks", F.count("*").over(Window.partitionBy("a"))).where("many or blocks > 1")
+    anchored = keys.select("block", F.lit(1).alias("kind"), "a", F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("least"))
+    windows = _over(rows, high.unionByName(anchored), _windows, NAMES)
+    return high, high.unionByName(smaller(windows, 2))
+
+
+KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+
+
+def _kept(group: pa.Table, flags: pa.Table) -> pa.Table:
+    shared, lost, out = table_of(flags, 0), table_of(flags, 2), [[], [], [], []]
+    for part, places, own in slices(group) if group.num_rows else ():
+        gone = removed_words(part, places, own, shared, lost)
+        for column, new in zip(out, (part.column("id").to_pylist(), np.diff(places[3]).tolist(), C.sums(gone, places[3]).tolist(), kept_texts(places, gone)), strict=True):
+            column.extend(new)
+    return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=[x.split()[0] for x in KEPT.split(", ")])
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -240,33 +390,47 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
     Words covered by a window of WINDOW words that also starts in a document with a smaller
     doc_id go.  Null and empty texts have no words; texts of fewer than WINDOW words keep all;
-    rows that repeat a doc_id take nothing from each other; rows with a null doc_id stay as
-    they are and take nothing; an empty table gives an empty one; other columns are ignored.
+    rows that repeat a doc_id take nothing from each other, each owns its windows; rows with a
+    null doc_id stay as they are and take nothing; texts of any length are handled whole, in
+    slices that overlap; an empty table gives an empty one; other columns are ignored.
     """
     C.tune(docs.sparkSession)
-    rows = hashed(docs.select("doc_id", "text"))
-    return rows.join(removed_windows(rows), "doc_id", "left").select("doc_id", "text", "is_copy", "windows").mapInArrow(_kept_rows, KEPT)
+    rows = in_blocks(docs, docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")))
+    return _over(rows, flags_of(rows)[1], _kept, KEPT)
 
 
 def strip_substrings(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, n_chars and others) with the text of what dedup_substrings() keeps wherever it removes a word.
+    """docs (doc_id, text and others) with the text of what dedup_substrings() keeps wherever it removes a word.
 
-    Texts that lose nothing stay as they are, white space included; n_chars follows the text.
+    Texts that lose nothing stay as they are, white space included; a column n_chars, if there
+    is one, follows the text.  Other columns may have any name.
     """
     C.tune(docs.sparkSession)
-    rows, columns = hashed(docs), docs.columns
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in C.chunks(batch):
-                _, removed, kept = _kept(part)
-                old, chars = part.column("text").to_pylist(), part.column("n_chars").to_pylist()
-                new = {"text": pa.array([k if r else t for k, r, t in zip(kept, removed, old, strict=True)], pa.string()), "n_chars": pa.array([len(k) if r else c for k, r, c in zip(kept, removed, chars, strict=True)], pa.int64())}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in columns], names=columns)
-
-    schema = docs.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "text": F.col("text").cast("string"), "n_chars": F.col("n_chars").cast("bigint")}).schema
-    lost = removed_windows(rows.select("doc_id", "text", "text_hash"))
-    return rows.join(lost, "doc_id", "left").select(*columns, "is_copy", "windows").mapInArrow(strip, schema)
+    columns = docs.columns
+    kinds = {c: docs.schema[c].dataType for c in columns}
+    held = [f"c{i}" for i in range(len(columns))]
+    rows = in_blocks(docs, docs.toDF(*held).select(F.col(held[columns.index("doc_id")]).cast("bigint").alias("id"), F.col(held[columns.index("text")]).cast("string").alias("text"), *[h for h, c in zip(held, columns, strict=True) if c != "text"]))
+    chars = held[columns.index("n_chars")] if "n_chars" in columns else None
+    given = [h if c != "text" else "text" for h, c in zip(held, columns, strict=True)]
+    schema = rows.select(*given).schema
+
+    def strip(group: pa.Table, flags: pa.Table) -> pa.Table:
+        table, out = group.select(given), []
+        shared, lost, sizes = table_of(flags, 0), table_of(flags, 2), []
+        for part, places, own in slices(group) if group.num_rows else ():
+            gone = removed_words(part, places, own, shared, lost)
+            for old, removed, kept in zip(part.column("text").to_pylist(), C.sums(gone, places[3]).tolist(), kept_texts(places, gone), strict=True):
+                out.append(kept if removed else old)
+                sizes.append(len(kept) if removed else None)
+        table = table.set_column(given.index("text"), table.schema.field("text"), pa.array(out, table.schema.field("text").type))
+        if chars is not None:
+            kind = table.schema.field(chars)
+            sizes = pa.array(sizes, pa.int64()).cast(kind.type)
+            table = table.set_column(given.index(chars), kind, pc.coalesce(sizes, table.column(chars)))
+        return table
+
+    done = _over(rows, flags_of(rows)[1], strip, schema).toDF(*columns)
+    return done if isinstance(kinds["text"], type(done.schema["text"].dataType)) else done.withColumn("text", F.col("text").cast(kinds["text"]))
 
 
 #: DuckDB SQL for the digest.
