@@ -2,40 +2,88 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LIGATURES = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss"}
-#: Accented Latin letters and their base letters, by decomposition.
-_PAIRS = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x180) if unicodedata.normalize("NFKD", chr(c))[0].isascii() and unicodedata.normalize("NFKD", chr(c))[0].isalpha()]
+
+
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """What compatibility decomposition without marks makes of a character: one other, or none or several.
+
+    Hangul syllables stay whole: their parts are no marks, and equal texts stay equal.
+    """
+    one, other = {}, {}
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain != c and not unicodedata.combining(c):
+            (one if len(plain) == 1 else other)[c] = plain
+    return one, other
+
+
+_ONE, _OTHER = _decomposed()
+#: A character class of those that become several characters, and of combining marks.
+_OTHER_CLASS = "[" + "".join(_OTHER) + "]"
 #: Legal forms that a company name loses.
 LEGAL_FORMS = "sas sa sarl sasu srl gmbh inc ltd llc corp bv nv ag plc oy ab spa".split()
 #: Gender marks and contract words that a title loses.
 TITLE_NOISE = ["h f", "f h", "hf", "fh", "m f", "f m", "m w d", "w m d", "cdi", "cdd", "stage", "alternance", "interim"]
-#: Contract types in order of priority, with the words that name them.
+#: Contract types in order of priority, with the folded words that name them.
 CONTRACTS = [
-    ("ALTERNANCE", ["alternance", "apprentissage", "apprenti", "contrat pro"]),
+    ("ALTERNANCE", ["alternance", "apprentissage", "apprenticeship", "contrat de professionnalisation", "alternant"]),
     ("STAGE", ["stage", "stagiaire", "internship", "intern"]),
-    ("INTERIM", ["interim", "interimaire", "temporary"]),
-    ("FREELANCE", ["freelance", "independant", "contractor"]),
-    ("CDI", ["cdi", "permanent"]),
-    ("CDD", ["cdd", "fixed term"]),
+    ("INTERIM", ["interim", "temporary", "mission d interim", "vacataire"]),
+    ("FREELANCE", ["freelance", "independant", "auto entrepreneur", "portage salarial", "contractor", "self employed"]),
+    ("CDD", ["cdd", "contrat a duree determinee", "fixed term"]),
+    ("CDI", ["cdi", "contrat a duree indeterminee", "permanent"]),
 ]
 #: Written numbers.
 NUMBERS = {w: n for n, ws in enumerate([("un", "une", "one"), ("deux", "two"), ("trois", "three"), ("quatre", "four"), ("cinq", "five"), ("six",), ("sept", "seven"), ("huit", "eight"), ("neuf", "nine"), ("dix", "ten")], 1) for w in ws}
 #: Query parameters that only track.
-TRACKING = r"^(utm_[^=]*|ref|source|fbclid|gclid|msclkid)(=|$)"
+TRACKING = r"^(utm_(source|medium|campaign|term|content)|ref|source|fbclid|gclid|msclkid)(=|$)"
+
+
+def constant_map(pairs: dict[str, str]) -> Column:
+    """A map as one literal, which the optimizer makes once, in place of an expression per entry."""
+    return F.from_json(F.lit(json.dumps(pairs, ensure_ascii=False)), "map<string,string>")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once and written once in the plan, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def fold(text: Column) -> Column:
-    """Ligatures spelled out, accents dropped, lower case, signs to spaces, spaces collapsed."""
+    """Ligatures spelled out, compatibility forms and accents dropped, lower case, signs to spaces, spaces collapsed.
+
+    Texts of ASCII alone take a short way; the few characters that stand for several are
+    replaced one by one, and only in texts that hold one.
+    """
+    wide = text
     for sign, letters in LIGATURES.items():
-        text = F.replace(text, F.lit(sign), F.lit(letters))
-    text = F.lower(F.translate(text, "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+        wide = F.replace(wide, F.lit(sign), F.lit(letters))
+    wide = F.translate(wide, "".join(_ONE), "".join(_ONE.values()))
+    several = constant_map(_OTHER)
+    spelled = F.array_join(F.transform(F.split(wide, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    wide = F.when(wide.rlike(_OTHER_CLASS), spelled).otherwise(wide)
+    wide = F.regexp_replace(wide, r"\p{Mn}+", "")
+    plain = F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(wide))
+    return F.trim(F.regexp_replace(plain, r"(?U)\W+", " "))
+
+
+def fold_plain(text: str) -> str:
+    """fold() of a constant."""
+    for sign, letters in LIGATURES.items():
+        text = text.replace(sign, letters)
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    return " ".join(re.sub(r"[^\w\s]", " ", text).split())
 
 
 def drop_words(folded: Column, words: Iterable[str]) -> Column:
@@ -139,17 +187,244 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?;])\s+|\n+|[•▪]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: Tags that end a line.
+BLOCKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|section"
+
+
+def unescape(text: Column) -> Column:
+    """Character references, numeric and named, decoded; unknown ones stay as they are."""
+    names = constant_map({name: chr(code) for name, code in html.entities.name2codepoint.items()} | {"apos": "'"})
+    parts = F.split(text, "&")
+
+    def decoded(part: Column) -> Column:
+        return let(F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1), lambda name: named(part, name))
+
+    def named(part: Column, name: Column) -> Column:
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).try_cast("int")
+        code = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        sign = F.coalesce(code, F.try_element_at(names, name))
+        return F.when(sign.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(sign, F.substr(part, F.length(name) + 2)))
+
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), "")
+    return F.when(F.contains(text, F.lit("&")), F.concat(F.element_at(parts, 1), rest)).otherwise(text)
+
+
 def html_text(page: Column) -> Column:
-    """Markup to text: block tags to line ends, other tags to spaces, the five common entities decoded, blank lines dropped."""
-    text = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|nav|footer|header)|br)\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))
+    """Markup to text: references decoded before and after the tags go, block tags to line ends, other tags to spaces, blank lines dropped; null is empty."""
+    text = F.regexp_replace(unescape(F.coalesce(page, F.lit(""))), rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
+    text = let(F.regexp_replace(text, r"<[^>]+>", " "), unescape)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def description_excerpt(text: Column, most: int = 5000) -> Column:
+    """Markup to text that keeps single blank lines and list items; cut at a word past most characters, with an ellipsis."""
+    raw = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    raw = F.regexp_replace(F.regexp_replace(raw, r"(?i)<\s*(?:br|/p|/div|/h[1-6]|/tr|/ul|/ol)\b[^>]*>", "\n"), r"(?i)<\s*li\b[^>]*>", "\n- ")
+    plain = F.regexp_replace(let(F.regexp_replace(raw, "<[^>]*>", " "), unescape), "<[^>]*>", " ")
+    lines = F.array_join(F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), "\n")
+    plain = F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+    def shortened(cut: Column) -> Column:
+        last = F.length(F.regexp_extract(cut, r"(?s)^(.*)[ \n]", 1))
+        at_word = F.when((last > most * 0.6), F.substr(cut, F.lit(1), last)).otherwise(cut)
+        return F.concat(F.regexp_replace(at_word, r"[ ,;:.\n]+$", ""), F.lit("…"))
+
+    return let(plain, lambda p: F.when(F.length(p) <= most, p).otherwise(let(F.substring(p, 1, most - 1), shortened)))
+
+
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<start, stop, found>> of all matches of pattern, from left to right, characters from 0.
+
+    pattern has no groups of its own and matches no empty text.
+    """
+    whole = f"(?s)(.*?)({pattern})"
+    steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("hit"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("all"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = acc["end"] + F.length(s["gap"])
+        stop = start + F.length(s["hit"])
+        return F.struct(stop.alias("end"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), stop.alias("stop"), s["hit"].alias("found")))).alias("all"))
+
+    return F.aggregate(steps, none, step)["all"]
+
+
+def snippet(text: Column, start: Column, stop: Column, most: int = 160) -> Column:
+    """The sentence around text[start:stop]: at most most characters, a longer one cut to a window with an ellipsis on each cut side."""
+
+    def cut(x: Column) -> Column:
+        room, long = most - 2, x["right"] - x["left"] > most
+        half = F.greatest(F.lit(0), F.floor((room - (x["stop"] - x["start"])) / 2))
+        high = F.least(x["right"], F.greatest(x["left"], x["start"] - half) + room)
+        return F.struct(x["text"].alias("text"), long.alias("long"), x["left"].alias("left"), x["right"].alias("right"), F.when(long, F.greatest(x["left"], high - room)).otherwise(x["left"]).cast("int").alias("low"), F.when(long, high).otherwise(x["right"]).cast("int").alias("high"))
+
+    def show(x: Column) -> Column:
+        body = F.regexp_replace(F.trim(F.regexp_replace(F.substr(x["text"], x["low"] + 1, x["high"] - x["low"]), r"(?U)\s+", " ")), "^[-*·–— ]+", "")
+        before, after = F.when(x["long"] & (x["low"] > x["left"]), "…").otherwise(""), F.when(x["long"] & (x["high"] < x["right"]), "…").otherwise("")
+        return F.when(F.coalesce(body, F.lit("")) == "", "").otherwise(F.concat(before, body, after))
+
+    def bounds(x: Column) -> Column:
+        left = F.coalesce(F.array_max(F.transform(F.filter(x["edges"], lambda e: e["stop"] <= x["start"]), lambda e: e["stop"])), F.lit(0))
+        right = F.coalesce(F.array_min(F.transform(F.filter(x["edges"], lambda e: e["start"] >= x["stop"]), lambda e: e["start"])), F.length(x["text"]))
+        return F.struct(x["text"].alias("text"), x["start"].alias("start"), x["stop"].alias("stop"), left.alias("left"), right.alias("right"))
+
+    given = let(text, lambda t: F.struct(t.alias("text"), start.cast("int").alias("start"), stop.cast("int").alias("stop"), places(t, r"[.!?;](?=\s|$)|[•\n\r]").alias("edges")))
+    return let(let(let(given, bounds), cut), show)
+
+
+def find_term(text: Column, forms: Iterable[str]) -> Column:
+    """struct(start, stop, found) of the earliest whole-term match of one of the forms, whatever the case; null without one."""
+    found = [F.get(places(text, rf"(?iU)(?<!\w){re.escape(f)}(?!\w)"), 0) for f in forms]
+    return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def contains_term(text: Column, term: str) -> Column:
+    return text.rlike(rf"(?iU)(?<!\w){re.escape(term)}(?!\w)")
+
+
+def word_sentences(text: Column) -> Column:
+    """Sentences of a description: cuts after .!?; before white space or the end, at bullets and line ends; spaces collapsed."""
+    parts = F.split(text, r"[.!?;](?=\s|$)|[•\n\r]")
+    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " "))), lambda p: p != "")
+
+
+#: Abbreviations whose full stop ends no sentence.
+ABBREVIATIONS = "M|Mme|Mlle|Dr|St|Inc|Ltd|Co|Corp|etc|env|cf|vs|n°"
+
+
+def prose_sentences(text: Column) -> Column:
+    """Sentences of French or English prose: lines and bullets are cuts, abbreviations are none, a missing space after a full stop is tolerated."""
+    held = F.regexp_replace(F.regexp_replace(text, "[\u00a0\u202f]", " "), rf"(?i)\b({ABBREVIATIONS})\.", "$1\u0000")
+    cut = r"(?<=[.!?…])\s+(?=[«\"“(A-ZÀ-Ý0-9])|(?<=[a-zà-ÿ0-9][.!?…])(?=[«\"“A-ZÀ-Ý])"
+    lines = F.transform(F.split(held, "\n"), lambda x: F.regexp_replace(x, r"^\s*[-•*–—]\s*", ""))
+    parts = F.flatten(F.transform(lines, lambda x: F.split(F.trim(x), cut)))
+    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(F.replace(p, F.lit("\u0000"), F.lit(".")), r"\s+", " "))), lambda p: p != "")
+
+
+def slugs(name: Column) -> Column:
+    """[compact slug, hyphen slug] of a company name; one where they are equal, none without a word."""
+    words = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(fold(F.regexp_replace(name, r"\(.*?\)", " ")), "_", " "), "[^a-z0-9 ]", ""), r"(?<!\S)(?:groupe?|sas?|se|the)(?!\S)", " "), " +")
+    both = lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(F.array_join(w, ""), F.array_join(w, "-"))))
+    return let(F.filter(words, lambda w: w != ""), both)
+
+
+def form_host(url: Column) -> Column:
+    """The application form behind a URL's host: greenhouse, lever or ashby; null for others."""
+    at = host(url)
+    case = None
+    for name, suffix in (("greenhouse", "greenhouse.io"), ("lever", "lever.co"), ("ashby", "ashbyhq.com")):
+        test = (at == suffix) | at.endswith("." + suffix)
+        case = F.when(test, name) if case is None else case.when(test, name)
+    return case
+
+
+def search_fold(text: Column) -> Column:
+    """The folding of the search box: accents and case dropped, signs kept."""
+    accents = {a: b for a, b in _ONE.items() if len(unicodedata.normalize("NFD", a)) > 1}
+    return F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "".join(accents), "".join(accents.values())), r"\p{Mn}+", ""))
+
+
+def matches_words(haystack: Column, query: Column) -> Column:
+    """Whether each word of query stands anywhere in haystack, both folded for search; a query without words matches."""
+    words = F.filter(F.split(search_fold(query), r"\s+"), lambda w: w != "")
+    return let(search_fold(haystack), lambda hay: F.forall(words, lambda w: F.contains(hay, w)))
+
+
+def card_hash(title: Column, excerpt: Column) -> Column:
+    """SHA-256 of the folded title, a line end and the excerpt."""
+    return F.sha2(F.concat(F.coalesce(fold(title), F.lit("")), F.lit("\n"), F.coalesce(excerpt, F.lit(""))), 256)
+
+
+#: Folded headings that open the candidate's part of a posting, and those that close it.
+PROFILE_HEADINGS = (
+    r"^(?:(?:votre|ton|le|du) )?profil(?: (?:recherche|souhaite|attendu|requis|candidat))?"
+    r"|^(?:les |vos |tes )?competences(?: (?:requises|techniques|attendues|recherchees|cles|souhaitees))?"
+    r"|^savoir (?:faire|etre)|^qualites(?: requises)?|^pre ?requis|^(?:les )?exigences"
+    r"|^ce que (?:nous recherchons|l on attend de (?:vous|toi))|^vous (?:etes|avez|possedez|maitrisez)"
+    r"|^experiences? (?:et|&) competences|^formation(?: et experience)?$"
+)
+OTHER_HEADINGS = (
+    r"^(?:(?:vos|les|tes) )?missions?(?: principales)?|^(?:le |votre )?poste(?: propose)?|^description(?: du poste)?"
+    r"|^descriptif(?: du poste)?|^(?:vos |tes )?responsabilites|^(?:les )?avantages|^(?:ce que )?nous (?:vous )?(?:offrons|proposons)"
+    r"|^pourquoi|^l entreprise|^(?:notre |la )?(?:entreprise|societe)|^qui sommes nous|^a propos|^conditions"
+    r"|^informations complementaires|^(?:le )?process(?:us)? de recrutement|^remuneration|^salaire|^contexte|^environnement technique"
+)
+
+
+def heading(line: Column) -> Column:
+    """profile, other or null for one line, its colon optional."""
+
+    def kind(folded: Column) -> Column:
+        fits = F.size(F.split(folded, " ")) <= 6
+        return F.when(fits & folded.rlike(PROFILE_HEADINGS), "profile").when(fits & folded.rlike(OTHER_HEADINGS), "other")
+
+    bare = F.trim(F.regexp_replace(F.trim(line), r":+$", ""))
+    return let(bare, lambda b: F.when((F.length(b) <= 60) & ~b.rlike("^[-•·*–—✓▪►]"), let(fold(b), kind)))
+
+
+def profile_text(description: Column) -> Column:
+    """The lines of the profile sections of a posting, joined by line ends; empty without such a heading.
+
+    A section starts at a heading line or at ``Heading : text`` and runs to the next heading of any kind.
+    """
+    inline = r"^([^:]{3,40}?)\s*:\s+(\S.*)$"
+
+    def read(raw: Column) -> Column:
+        return let(F.trim(F.regexp_replace(raw, "\r", "")), one_line)
+
+    def one_line(line: Column) -> Column:
+        # a heading alone has no text after a colon, so the two forms exclude each other
+        opened = line.rlike(r":\s*\S")
+        kind = heading(F.when(~opened, line).when(line.rlike(inline), F.regexp_extract(line, inline, 1)))
+        told = lambda k: F.struct(k.alias("kind"), F.when(k.isNull(), line).when(opened, F.regexp_extract(line, inline, 2)).alias("text"))
+        return let(kind, told)
+
+    lines = F.transform(F.filter(F.split(F.coalesce(description, F.lit("")), "\n"), lambda x: F.trim(x) != ""), read)
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = F.coalesce(x["kind"] == "profile", acc["inside"])
+        return F.struct(inside.alias("inside"), F.when(inside & x["text"].isNotNull(), F.concat(acc["kept"], F.array(x["text"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return F.array_join(F.aggregate(lines, start, step)["kept"], "\n")
+
+
+def canonical_skill(name: Column, aliases: dict[str, list[str]], allowed: Iterable[str]) -> Column:
+    """The canonical name behind name, itself or an alias, if it is allowed; null otherwise.  The first alias group wins."""
+    key, listed = F.trim(F.regexp_replace(F.lower(name), r"\s+", " ")), sorted(a.lower() for a in allowed)
+    case = F.when(key.isin(listed), key)
+    for canonical, forms in aliases.items():
+        if canonical.lower() in listed:
+            case = case.when(key.isin([f.lower() for f in forms]), canonical.lower())
+    return case
+
+
+def salary_benchmark(location: Column, zones: list[tuple[list[str], str]], default: str) -> Column:
+    """The text of the first zone one of whose words the folded location holds, else default."""
+    case, where = None, fold(location)
+    for words, value in zones:
+        test = F.lit(False)
+        for w in words:
+            test = test | F.contains(where, F.lit(w))
+        case = F.when(test, value) if case is None else case.when(test, value)
+    return F.coalesce(case, F.lit(default)) if case is not None else F.lit(default)
+
+
+def option_numbers(option: Column) -> Column:
+    """The amounts in an option label; those below 1,000 count thousands where a k stands in the label."""
+    low = F.replace(F.replace(F.lower(option), F.lit("\u202f"), F.lit(" ")), F.lit("\u00a0"), F.lit(" "))
+    values = F.transform(F.regexp_extract_all(low, F.lit(r"(\d[\d ]*(?:[.,]\d+)?)"), F.lit(1)), lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).cast("double"))
+    return F.transform(values, lambda v: F.when(F.contains(low, F.lit("k")) & (v < 1000), v * 1000).otherwise(v).cast("int"))
+
+
+def salary_option(options: Column, low: int, high: int) -> Column:
+    """The place of the one option all of whose amounts lie in low..high; null for none or several."""
+    fits = lambda n: (F.size(n) > 0) & (F.array_min(n) >= low) & (F.array_max(n) <= high)
+    hits = F.filter(F.transform(options, lambda o, i: F.when(let(option_numbers(o), fits), i)), lambda i: i.isNotNull())
+    return let(hits, lambda h: F.when(F.size(h) == 1, F.element_at(h, 1)))
+
+
 def language(text: Column, english: list[str], french: list[str]) -> Column:
     """en if a folded text has strictly more English than French function words."""
     words = F.split(fold(text), " ")

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order.  One struct maximum, so it combines on the map side."""
+    """The first row of each key in the given order, by a window over the key; only the columns asked for are shuffled."""
     position = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(position)).where("_rank = 1").drop("_rank")
 
@@ -40,15 +42,20 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], policy: dict
     return old.join(new, match, "full_outer").select(*[merged(c) for c in stored.columns])
 
 
-def roots(parents: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """id, root: follows id, parent (null for heads) to the head by doubling the pointers; cut() ends a round's lineage."""
-    at = parents.select("id", F.coalesce("parent", "id").alias("root"))
+def roots(parents: DataFrame) -> DataFrame:
+    """id, root: follows id, parent (null for heads) to the head by doubling the pointers.
+
+    Each round is checkpointed, so that it is computed once, and rows that have reached their
+    head leave the loop: the number of rounds is the logarithm of the longest chain.
+    """
+    at = cut(parents.select("id", F.coalesce("parent", "id").alias("root")))
+    heads = at.where("id = root").select(F.col("id").alias("root"), F.lit(True).alias("head"))
     while True:
         up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        stepped = cut(at.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        stepped = cut(at.join(up, "root").select("id", F.col("next").alias("root")).join(heads, "root", "left").select("id", "root", F.coalesce("head", F.lit(False)).alias("head")))
+        if stepped.where("not head").isEmpty():
+            return stepped.select("id", "root")
         at = stepped.select("id", "root")
-        if stepped.where("moved").isEmpty():
-            return at
 
 
 def ledger(base: int, rules: list[tuple[str, int, Column]]) -> tuple[Column, Column]:
@@ -67,3 +74,40 @@ def reasons(gates: list[tuple[str, Column]]) -> Column:
 
 def top_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k)
+
+
+def capped(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
+    """The first k rows in order with their place (from 1) and overflow, the number of rows that did not fit.
+
+    Only the k rows are numbered; the count is a sum per partition.
+    """
+    best = rows.orderBy(*order).limit(k)
+    placed = best.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    total = rows.agg(F.count("*").alias("_n"))
+    return placed.crossJoin(F.broadcast(total)).withColumn("overflow", F.greatest(F.col("_n") - k, F.lit(0))).drop("_n")  # one row beside k
+
+
+def latest_k_per_key(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+    """The first k rows of each key in order."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k).drop("_place")
+
+
+def insert_or_ignore(stored: DataFrame, incoming: DataFrame, key: str, at: str) -> DataFrame:
+    """stored with the keys of incoming that it lacks, each as its first row by at has it."""
+    first = incoming.groupBy(key).agg(*[F.min_by(c, at).alias(c) for c in stored.columns if c != key])
+    return stored.unionByName(first.join(stored.select(key), key, "left_anti").select(*stored.columns))
+
+
+def sets_differ(one: DataFrame, other: DataFrame) -> DataFrame:
+    """One row, changed: whether two sets of rows differ."""
+    gone, new = one.subtract(other).agg(F.count("*").alias("a")), other.subtract(one).agg(F.count("*").alias("b"))
+    return gone.crossJoin(new).select(((F.col("a") + F.col("b")) > 0).alias("changed"))  # a row on each side
+
+
+def optional_filters(filters: dict[str, tuple[object, Callable[[object], Column]]]) -> Column:
+    """The conjunction of the filters whose value is given (name: (value or null, test of the value))."""
+    out = F.lit(True)
+    for value, test in filters.values():
+        if value is not None:
+            out = out & test(value)
+    return out

@@ -1,14 +1,28 @@
-"""Blocked similarity join: equal blocks, then token-set similarity of the pairs, first match wins."""
+"""Duplicates of postings: exact prints first, then token-set similarity within blocks; the first match wins.
+
+Pairs are made by a join that carries ids, times and titles only.  The time window is cut
+into buckets of its own length, so a posting meets those of its bucket and the one before,
+whatever the size of its block; a block that is still too full in one bucket is dealt over
+several tasks by salting.  A bound from built-ins spares most exact comparisons, and texts are
+fetched for the pairs that are left.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: The thresholds of titles and of descriptions.
-TITLE_RATIO, TEXT_RATIO = 85.0, 80.0
+from ..functions import places as P
+from .storage import cut
+
+#: The thresholds of titles and of descriptions, and how much of a description counts.
+TITLE_RATIO, TEXT_RATIO, TEXT_CHARS = 85.0, 80.0, 1000
+#: Tasks that one bucket of a block is dealt over.
+SALTS = 8
 
 
 def common_length(a: str, b: str) -> int:
@@ -25,11 +39,13 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def indel(a: str, b: str) -> float:
-    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
+def letters_bound(a: str, b: str) -> float:
+    """No indel ratio of two texts is larger: letters in common, whatever their order."""
+    return 200.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 100.0
 
 
-def token_set(a: str | None, b: str | None) -> float:
+def token_set(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """The token-set similarity of two texts, 0 to 100; one that cannot reach least may come out as any number below it."""
     x, y = set((a or "").split()), set((b or "").split())
     if not x or not y:
         return 0.0
@@ -37,15 +53,24 @@ def token_set(a: str | None, b: str | None) -> float:
     if both and (not left or not right):
         return 100.0
     one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-    found = [indel(one, two)]
-    if both:
-        found += [indel(both, one), indel(both, two)]
-    return max(found)
+    # a text against its own beginning: the shorter one is the common part
+    best = max(200.0 * len(both) / (len(both) + len(one)), 200.0 * len(both) / (len(both) + len(two))) if both else 0.0
+    if best >= 100.0 or letters_bound(left, right) * (len(left) + len(right)) / 100 + 2 * len(both) + 2 < max(best, least) * (len(one) + len(two)) / 100:
+        return best
+    return max(best, 200.0 * common_length(one, two) / (len(one) + len(two)))
+
+
+def _ratios(least: float):  # noqa: ANN202
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    return ratio
 
-@F.pandas_udf(DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """token_set() of two columns of folded texts."""
+    return _ratios(least)(a, b)
 
 
 def bound(a: Column, b: Column) -> Column:
@@ -57,13 +82,42 @@ def bound(a: Column, b: Column) -> Column:
     return F.when((both > 0) & ((left == 0) | (right == 0)), 100.0).otherwise(100.0 * F.greatest(2 * F.least(la, lb) / (la + lb), F.when(both > 0, 2 * both / (2 * both + 1 + F.least(left, right))).otherwise(0.0)))
 
 
-def fuzzy_links(posts: DataFrame, window: int) -> DataFrame:
-    """canonical, duplicate, similarity of posts (id, block, title, text, at): the first earlier post of the block
-    within the window whose title and first 1,000 characters of text are similar enough."""
-    old, new = (posts.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "title", "text", "at")]) for s in ("a", "b"))
-    near = old.join(new, "block").where((F.col("at_a") < F.col("at_b")) & (F.col("at_a") >= F.col("at_b") - window))
-    likely = near.where((bound(F.col("title_a"), F.col("title_b")) >= TITLE_RATIO))
-    scored = likely.withColumn("t", token_set_ratio("title_a", "title_b")).where(F.col("t") >= TITLE_RATIO)
-    scored = scored.withColumn("d", token_set_ratio(F.substring("text_a", 1, 1000), F.substring("text_b", 1, 1000))).where(F.col("d") >= TEXT_RATIO)
-    first = scored.groupBy(F.col("id_b").alias("duplicate")).agg(F.min(F.struct(F.col("at_a"), F.col("id_a"), F.round((F.col("t") + F.col("d")) / 200, 3).alias("s"))).alias("m"))
-    return first.select(F.col("m.id_a").alias("canonical"), "duplicate", F.col("m.s").alias("similarity"))
+def _earlier(posts: DataFrame, window: int) -> DataFrame:
+    """parent, child ids with order of posts (block, order, as_parent, as_child, id, at, title, fp, place): pairs of one block, the parent before the child and within the window, titles similar, prints different."""
+    bucket = F.floor(F.col("at") / window)
+    parents = posts.where("as_parent").select("block", bucket.alias("bucket"), *[F.col(c).alias(f"{c}_a") for c in ("id", "at", "title", "fp", "place")], F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    children = posts.where("as_child").select("block", "order", *[F.col(c).alias(f"{c}_b") for c in ("id", "at", "title", "fp", "place")], F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    children = children.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    first = (F.col("at_a") < F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("id_a") < F.col("id_b")))
+    near = parents.join(children, ["block", "bucket", "salt"]).where(first & (F.col("at_a") >= F.col("at_b") - window) & (F.col("fp_a") != F.col("fp_b")) & P.same_place(F.col("place_a"), F.col("place_b")) & (bound(F.col("title_a"), F.col("title_b")) >= TITLE_RATIO))
+    return near.select("order", "id_a", "at_a", "id_b", token_set_ratio(F.col("title_a"), F.col("title_b"), TITLE_RATIO).alias("t")).where(F.col("t") >= TITLE_RATIO)
+
+
+def links(posts: DataFrame, window: int) -> DataFrame:
+    """parent, child, reason, similarity of posts (id, at, company, title, place, fp, text, rejected): the first matching predecessor of each.
+
+    title and text are folded, place is a block key; at is a number, ties go by id.  Rejected
+    posts take no part.  Equal prints match at any distance; else posts of one company, or of
+    one title where the child's or the parent's company is hidden, in compatible places and
+    within the window, whose titles and first TEXT_CHARS characters of text are similar.
+    An exact match goes before the company block, that before the title block.
+    """
+    known = posts.where(~F.coalesce("rejected", F.lit(False))).withColumn("company", F.coalesce("company", F.lit("")))
+    rows = cut(known.select("id", "at", "company", "title", "place", "fp"))
+    # equal prints: the one before the first has none; groups share one parent only by their order, so the earliest is the match
+    first = rows.groupBy("fp").agg(F.min(F.struct("at", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("m.id").alias("parent"))
+    exact = rows.join(first, "fp").where("id <> parent").select("parent", F.col("id").alias("child"), F.lit("exact_fingerprint").alias("reason"), F.lit(1.0).alias("similarity"))
+    hidden = F.col("company") == ""
+    blocks = [
+        rows.where(~hidden).select(F.concat(F.lit("c|"), "company").alias("block"), F.lit(0).alias("order"), F.lit(True).alias("as_parent"), F.lit(True).alias("as_child"), *rows.columns),
+        # a child without a company meets any parent; a child with one meets only parents without
+        rows.select(F.concat(F.lit("t|"), "title").alias("block"), F.lit(1).alias("order"), F.lit(True).alias("as_parent"), hidden.alias("as_child"), *rows.columns),
+        rows.select(F.concat(F.lit("h|"), "title").alias("block"), F.lit(1).alias("order"), hidden.alias("as_parent"), (~hidden).alias("as_child"), *rows.columns),
+    ]
+    pairs = _earlier(blocks[0].unionByName(blocks[1]).unionByName(blocks[2]), window)
+    unmatched = cut(pairs.join(exact.select(F.col("child").alias("id_b")), "id_b", "left_anti"))
+    texts = known.select("id", F.substring("text", 1, TEXT_CHARS).alias("text"))
+    scored = unmatched.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    scored = scored.where(bound(F.col("text_a"), F.col("text_b")) >= TEXT_RATIO).select("order", "id_a", "at_a", "id_b", "t", token_set_ratio(F.col("text_a"), F.col("text_b"), TEXT_RATIO).alias("d")).where(F.col("d") >= TEXT_RATIO)
+    best = scored.groupBy(F.col("id_b").alias("child")).agg(F.min(F.struct("order", "at_a", "id_a", F.round((F.col("t") + F.col("d")) / 200, 3).alias("s"))).alias("m"))
+    return exact.unionByName(best.select(F.col("m.id_a").alias("parent"), "child", F.lit("fuzzy").alias("reason"), F.col("m.s").alias("similarity")))

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-
+from ..operators.storage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.environ.get('TMPDIR', '/tmp')}/tidemill-streams"
+EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
 def events_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,16 +17,29 @@ def events_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What the stream gives for the input at hand, by way of a Parquet sink in the shared folder."""
+    """What the stream gives for the input at hand, by way of Parquet in the shared folder.
+
+    In append mode the sink is the Parquet sink; in complete mode each batch overwrites one
+    folder, which a repeated batch leaves as it is.
+    """
     spark = stream.sparkSession
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{where}/out").start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{where}/out")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
-def first_by_key(stream: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
-    """The first row of each key within the horizon; older state is dropped."""
+def first_by_key(stream: DataFrame, key: str, at: str, number: str) -> DataFrame:
+    """key and the number of its first row (by at, then number): a running minimum per key."""
+    return stream.groupBy(key).agg(F.min(F.struct(at, number)).alias("m")).select(key, F.col(f"m.{number}").alias(number))
+
+
+def distinct_by_key(stream: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
+    """One row of each key within the horizon; older state is dropped."""
     return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark([key])
 
 
