@@ -1,14 +1,17 @@
 """Operators 3, 6 and 10: round trips, brute force, and small cases."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from corpora import corpus
 from pyspark.sql import functions as F
 from tidemill.llm import brown_lm, chat_format, html_extract
+from tidemill.llm import common as C
 from tidemill.llm.common import crc_mod
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,6 +53,36 @@ def test_brown_lm_beats_its_base_on_held_out_texts(spark, sf_dir):
     assert r["s"] > r["b"]
 
 
+def scored(spark, rows, held):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.score for r in brown_lm.score(docs, docs.where(~held), held).collect()}
+
+
+def test_brown_lm_scores_do_not_depend_on_the_cache(spark, monkeypatch):
+    rows, held, seen = corpus(12, 150), crc_mod(F.col("doc_id"), 5) == 1, []
+    for table in (1_000_000, 30, 0):
+        monkeypatch.setattr(brown_lm, "TABLE", table)
+        seen.append(scored(spark, rows, held))
+    assert seen[0] == pytest.approx(seen[1], rel=1e-9) and seen[0] == pytest.approx(seen[2], rel=1e-9)
+
+
+def test_brown_lm_is_a_distribution(spark, monkeypatch):
+    """One-word continuations of a history, with one unknown word per class's open mass, sum to at most 1."""
+    monkeypatch.setattr(brown_lm, "CORE", 10)
+    rng = random.Random(4)
+    names, verbs = [f"n{i}" for i in range(20)], [f"v{i}" for i in range(20)]
+    rows = [(i, " ".join(x for _ in range(30) for x in (rng.choice(names), rng.choice(verbs)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, rest = brown_lm.learn(docs.select("text"))
+    assert (10 ** model.step).sum(axis=1) == pytest.approx(1, abs=1e-9)
+    words = dict(zip(model.words.tolist(), model.classes.tolist(), strict=True)) | {r.word % 2**64: r["class"] for r in rest.collect()}
+    assert len(words) == 40
+    of = lambda x: words[int(C.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)]))[0])]
+    # names and verbs alternate, so clustering must keep them apart, in the core and outside of it
+    mixed = {of(x) for x in names} & {of(x) for x in verbs}
+    assert sum(of(x) in mixed for x in names + verbs) <= 4
+
+
 def test_brown_lm_small_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, None)], "doc_id long, text string")
@@ -90,6 +123,25 @@ def test_html_extraction(spark):
     assert got[1].n_chars == len(got[1].text)
 
 
+def test_html_marks_and_attributes(spark):
+    long = html_extract._LONG
+    pages = {
+        f"<article><p>{long}</p><ul><li>kept</li><li class='comment'>I hate it</li></ul><p class='ad'>Buy now</p></article>": f"{long}\nkept",
+        "<article><p title=it's>quoted</p><p title=\"a>b\">more</p></article>": "quoted\nmore",
+        f"<nav><a href=x>Home</a></nav><section class='legal-news'><p>{long}</p></section>": long,
+        f"<div class='story-side'><p>{long}</p></div><footer>x</footer>": long,
+        f"<article><p>{long}</p><table><tr><td>cell<td class=advert>x<tr><th>head</table><dl><dt>term<dd>what</dl></article>": f"{long}\ncell\nhead\nterm\nwhat",
+        f"<article><p>{long}<div class=related><p>Other</p></div><p>{long}</p></article>": f"{long}\n{long}",
+        "": "",
+        "<p": "",
+        f"<article><p>{long * 300}</p></article>": long * 300,
+    }
+    rows = [(i, "u", p) for i, p in enumerate(pages)] * 2
+    got = sorted((r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect())
+    assert got == sorted((i, t) for i, t in enumerate(pages.values())) + [] or got == sorted([(i, t) for i, t in enumerate(pages.values())] * 2)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_html_extraction_of_pages(spark, sf_dir):
     for r in html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]

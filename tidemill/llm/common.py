@@ -78,6 +78,13 @@ def crc_mod(column: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
+def crc_sql(column: str, modulus: int) -> str:
+    """crc_mod() in DuckDB SQL, for columns whose text is ASCII."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    text = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))"
+    return f"(xor(list_reduce(list_concat([4294967295], {text}), lambda c, b: {bits}), 4294967295) % {modulus})"
+
+
 def lower_az(text: Column) -> Column:
     """Lower-cases A-Z only.  Texts of ASCII alone take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -26,15 +26,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Containers that are never main text, and those that usually hold it.
 BOILER_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: Words of class, id and role attributes that mark what is not the article.
-BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|comments?|respond|replies|disqus|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|toc|footer|header|masthead|topbar|share|sharing|social|related|recommend\w*|login|signup|search|pagination|pager|copyright|legal|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role attributes that mark what is not the article, those of
+#: them that also name parts of it, and words that name the article or its parts.
+BOILER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription "
+    "comment comments respond replies disqus sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs toc footer header masthead topbar share sharing social related recommended recommendation recommendations "
+    "login signup search pagination pager copyright legal complementary contentinfo hidden".split()
 )
-MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|entry|post|story|content|main|body|text)(?:$|[\s_-]?(?:body|content|text)?)", re.I)
+WEAK_WORDS = frozenset("side legal notice notices alert alerts promotion header social search copyright overlay consent".split())
+MAIN_WORDS = frozenset("article entry post story content main body text news".split())
 
+#: Attributes: a quote opens a value only after an equals sign.
+_ATTRIBUTES = r"((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*)"
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + _ATTRIBUTES + r"(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -42,14 +47,33 @@ _HIDES = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true
 _SPACE = re.compile(r"\s+")
 
 #: Features of a block, in this order.
-FEATURES = ("boiler", "main", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after", "page_has_main")
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, in boilerplate, in a main container, heading) of each block that has text."""
-    out: list[tuple[str, int, int, bool, bool, bool]] = []
+FEATURES = ("boiler", "marked", "main", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after", "page_has_main", "page_has_plain")
+#: Words of a block that no mark concerns from which a page has plain text.
+PLAIN = 12
+#: Tags that the next of their kind closes.
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "p": ("p",)}
+
+Block = tuple[str, int, int, bool, int, bool, bool]
+
+
+def marked(marks: str) -> int:
+    """How surely class, id and role say that an element is not the article: 2, 1 (they name a part of an article too, or a weak word) or 0."""
+    most = 0
+    for mark in marks.lower().split():
+        parts = [p for p in re.split(r"[_-]+", mark) if p]
+        boiler = [p for p in parts if p in BOILER_WORDS]
+        if boiler:
+            sure = parts[-1] in BOILER_WORDS - WEAK_WORDS or not any(p in MAIN_WORDS for p in parts) and (len(parts) == 1 or any(p not in WEAK_WORDS for p in boiler))
+            most = max(most, 2 if sure else 1)
+    return most
+
+
+def blocks(page: str) -> list[Block]:
+    """(text, words, words in links, in boilerplate, marks, in a main container, heading) of each block that has text."""
+    out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    #: Open elements: tag, boilerplate, marks, main.
+    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
     link, heading, at = 0, False, 0
 
     def flush() -> None:
@@ -58,7 +82,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if text:
             linked = len(html.unescape(" ".join(p for p, own in parts if own)).split())
             words = len(text.split())
-            out.append((text, words, min(linked, words), stack[-1][1], stack[-1][2], heading))
+            out.append((text, words, min(linked, words), *stack[-1][1:], heading))
         parts = []
 
     for m in _PIECE.finditer(page):
@@ -73,19 +97,25 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         flush()
         if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = not m[2]
-        if tag in VOID or tag in ("p", "li", "td", "tr", "th", "dt", "dd", "html", "body"):
+        if tag in VOID or tag in ("html", "body"):
             continue
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        elif not (m[4] or "").endswith("/"):
+                if stack[i][0] not in CLOSES and tag in CLOSES:
+                    break  # a stray end tag closes nothing outside of its container
+            continue
+        while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
+            stack.pop()
+        if not (m[4] or "").endswith("/") or tag in CLOSES:
             marks = " ".join(a or b or c for a, b, c in _MARKS.findall(m[4] or ""))
-            main = tag in MAIN_TAGS or bool(marks and MAIN_WORDS.search(marks))
-            hides = bool(m[4] and _HIDES.search(m[4]))
-            boiler = tag in BOILER_TAGS or hides or tag == "header" and not stack[-1][2] or tag not in MAIN_TAGS and bool(marks and BOILER_WORDS.search(marks))
-            stack.append((tag, stack[-1][1] or boiler, stack[-1][2] or main))
+            _, boiler, mark, main = stack[-1]
+            own = 0 if tag in MAIN_TAGS else marked(marks)
+            main = main or tag in MAIN_TAGS or own < 2 and any(p in MAIN_WORDS for p in re.split(r"[\s_-]+", marks.lower()))
+            boiler = boiler or tag in BOILER_TAGS or bool(m[4] and _HIDES.search(m[4])) or tag == "header" and not main
+            stack.append((tag, boiler, max(mark, own), main))
             link = 0
     if at < len(page):
         parts.append((page[at:], link > 0))
@@ -93,16 +123,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     return out
 
 
-def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:
+def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; beside the first and the last stand empty blocks."""
     n = len(found)
     words = np.zeros(n + 2)
     links = np.zeros(n + 2)
     words[1:-1] = [b[1] for b in found]
     links[1:-1] = [b[2] / b[1] for b in found]
-    marks = np.array([b[3:] for b in found], dtype=float).reshape(n, 3)
-    has = np.full(n, float(any(b[4] and not b[3] for b in found)))
-    return np.column_stack([marks, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], has])
+    marks = np.array([b[3:] for b in found], dtype=float).reshape(n, 4)
+    main = np.full(n, float(any(b[5] and not b[3] and b[4] < 2 for b in found)))
+    plain = np.full(n, float(any(not b[3] and not b[4] and b[1] >= PLAIN and 2 * b[2] < b[1] for b in found)))
+    return np.column_stack([marks, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], main, plain])
 
 
 _LONG = "This sentence goes on for a good while so that its block has many words, as the legal notes and teasers of real pages often have, and yet it may be none of the main text."
@@ -124,6 +155,13 @@ LABELLED = [
     ("<nav><a href=a>Menu entry</a></nav><article><h1>Head</h1><p>Yes.</p><p>The last words of a page that breaks off he", "0" "111"),
     ("<ul><li><a href=1>Start</a></li><li><a href=2>Archive</a></li></ul><p>A plain page whose last block is its text, which holds more than twenty words outside of any link and nothing behind it.</p>", "00" "1"),
     ("<main><p><a href=1>All link</a></p></main>", "1"),
+    (f"<nav><a href=1>Up</a></nav><section class=legal-news><h1>A judgement</h1><p>{_LONG}</p><p>{_LONG}</p></section>", "0" "111"),
+    (f"<div class=story-side><p>{_LONG}</p><p>{_LONG}</p></div><div class=footer>All of it</div>", "11" "0"),
+    (f"<article><p>{_LONG}</p><ul><li>A point</li><li class=comment>I hate it, and here is why I do</li></ul><p class=ad>Buy now, it is cheap</p><div class=legal-note>A part of the story, in its own box.</div><p>End.</p></article>", "11" "0" "0" "1" "1"),
+    ("<article><p>Text of it.</p><form><p>Mail</p></form><nav>One two three</nav><p>And on it goes</p></article>", "1" "0" "0" "1"),
+    (f"<article><p>Text of it.</p><form><p>{_LONG}</p></form></article>", "1" "0"),
+    (f"<article><p>Short.</p></article><div class=legal><p>{_LONG}</p></div>", "1" "0"),
+    (f"<div><p>{_LONG}</p></div><div class=legal-notice><p>{_LONG}</p></div><div class=story-comments><p>{_LONG}</p></div>", "1" "0" "0"),
     ("<p><a href=1>Up</a></p><p>Short note</p><article><p>Text.</p><p>More text here</p></article><p>Page 3 of 7</p>", "00" "11" "0"),
 ]
 
@@ -177,8 +215,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
     A null or empty html, and one without main text, gives an empty text; a page that breaks
-    off is read as far as it goes; repeated rows are read one by one; an empty table gives an
-    empty one; other columns are ignored.
+    off is read as far as it goes; of equal splits of the tree the first feature counts; a page of
+    any length is read whole; repeated rows are read one by one; an empty table gives an empty
+    one; other columns are ignored.
     """
     C.tune(pages.sparkSession)
     tree = fit()

@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER = 4
-#: The training sample: so many labelled rows per language on average (by a hash of
-#: doc_id), of texts of at most so many bytes.  With at most MAX_LANGS languages this
-#: bounds the trees that every worker receives.
+#: The training sample: so many labelled rows per language on average (by a hash of doc_id), of
+#: texts of at most SAMPLE_BYTES, and no more than SAMPLE_TOTAL bytes for all languages together,
+#: whatever their number.  This bounds the counts that the driver gathers and every worker receives.
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 16_384
-MAX_LANGS = 200
+SAMPLE_TOTAL = 24 << 20
 #: A text whose best code still takes more bits per byte is no text of a learned language.
 MAX_BITS = 7.5
 UNKNOWN = "und"
@@ -125,10 +125,12 @@ class Scorer:
 def train(labelled: DataFrame) -> tuple[list[str], DataFrame]:
     """The languages, and counts (lang, width, gram, n) of the sampled rows of labelled (doc_id, text, lang)."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    fits = F.octet_length("text") <= SAMPLE_BYTES
+    rows = {r["lang"]: (r["n"], r["bytes"] or 0) for r in known.groupBy("lang").agg(F.count_if(fits).alias("n"), F.sum(F.when(fits, F.octet_length("text"))).alias("bytes")).collect()}  # a row per language
     if not rows:
         return [], known.sparkSession.createDataFrame([], COUNTS)
-    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, min(1.0, SAMPLE_ROWS / n))])
+    each = SAMPLE_TOTAL / len(rows)
+    share = F.create_map(*[F.lit(x) for lang, (n, size) in rows.items() for x in (lang, min(1.0, SAMPLE_ROWS / max(n, 1), each / max(size, 1)))])
     lot = F.pmod(F.xxhash64(F.lit("language id"), F.col("doc_id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.where((F.octet_length("text") <= SAMPLE_BYTES) & (lot < F.element_at(share, F.col("lang"))))
     counts = sample.select("lang", "text").mapInArrow(_count, COUNTS).groupBy("lang", "width", "gram").agg(F.sum("n").alias("n"))
@@ -139,7 +141,7 @@ def trained(labelled: DataFrame) -> tuple[list[str], list[Tree]]:
     langs, counts = train(labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     if not langs:
         return [], []
-    learned = counts.toArrow()  # at most MAX_LANGS * SAMPLE_ROWS texts' distinct strings
+    learned = counts.toArrow()  # the distinct strings of SAMPLE_TOTAL bytes of text
     of, trees = np.array(learned.column("lang").to_pylist(), dtype=object), []
     columns = [learned.column(c).to_numpy() for c in ("width", "gram", "n")]
     for lang in langs:
@@ -171,8 +173,8 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     labelled (doc_id, text, lang) is the learning table.  score is the share of the best
     language in the sum of 2**-length over all languages; equal lengths go to the first
     name.  Null, empty and letterless texts, and every text when nothing could be learned,
-    get ``und`` with score 0.  Repeated rows and ids are scored one by one; an empty table
-    gives an empty one; other columns are ignored.
+    get ``und`` with score 0.  Repeated rows and ids are scored one by one; a very long text is
+    scored whole, in one piece; an empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     C.tune(spark)
@@ -195,18 +197,26 @@ def keep_known(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     C.tune(spark)
     model = spark.sparkContext.broadcast(trained(labelled))
-    columns = docs.columns
+    flag = C.fresh(docs.columns, "has_letter")[0]
+    schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for batch in batches:
             for part in C.chunks(batch):
-                names, _, bits = judge(scorer, part)
-                yield part.filter(pa.array([n != UNKNOWN and b <= MAX_BITS for n, b in zip(names, bits.tolist(), strict=True)], pa.bool_())).select(columns)
+                own = pa.RecordBatch.from_arrays([part.column("text"), part.column(flag)], names=["text", "has_letter"])
+                names, _, bits = judge(scorer, own)
+                yield part.filter(pa.array([n != UNKNOWN and b <= MAX_BITS for n, b in zip(names, bits.tolist(), strict=True)], pa.bool_())).select(schema.names)
 
-    return docs.withColumn("has_letter", has_letter()).mapInArrow(keep, docs.schema)
+    return docs.withColumn(flag, has_letter()).mapInArrow(keep, schema)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:
     """The rows that op1 may learn from."""
     return docs.where(F.coalesce(C.crc_mod(F.col("doc_id"), 4) != 2, F.lit(True)))
+
+
+#: DuckDB SQL for the columns that do not come from the model.
+BASE_SQL = rf"""
+SELECT doc_id, coalesce({C.crc_sql('doc_id', 4)} = 2, false) AS held_out, NOT coalesce(regexp_matches(text, '\p{{L}}'), false) AS undetermined FROM documents
+"""

@@ -1,12 +1,11 @@
 r"""License scans by ordered signature rules (operator 8), with DataFrame functions only.
 
-A rule has a label, a keyword, a pattern and a weight; rules are built from a table of
-licenses and four templates (identifier tag, address, grant sentence, bare name), in order
-of priority.  Every match of a rule holds one of a few anchors, so a text is first squeezed to
-what lies in reach of its anchors; a pattern runs only where its keyword stands, and none at
-all on texts without a trigger.  Of the detections, one that lies inside another's interval
-is suppressed; of equal intervals the rule of higher priority stays.  Everything happens
-within the row: no shuffle, no join.
+A rule has a label, a keyword, a pattern, a priority and a weight; rules come from a table of
+licenses (identifier tag, address, grant sentence, bare name), from further names, and from
+sentences of the licenses themselves.  Whole texts are scanned, with runs of white space as one
+space; a pattern runs only where its keyword stands.  Of the detections the one of the highest
+priority stays, of equal ones the longest, then the first; what lies inside of, or overlaps, one
+that stays is suppressed.  Everything happens within the row: no shuffle, no join.
 """
 
 from __future__ import annotations
@@ -83,38 +82,60 @@ LICENSES = [
     ("openssl", "openssl", r"openssl licen[cs]e", r"openssl", r"openssl\.org/source/license"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql", r"postgresql\.org/about/licen[cs]e"),
     ("upl-1.0", "universal permissive", r"universal permissive licen[cs]e(?:,?[ \n]+(?:version|v\.?)?[ \n]*1(?:\.0)?)?", r"upl-1\.0", r"opensource\.org/licenses?/upl"),
-    ("all-rights-reserved", "all rights", r"all rights reserved", r"licenseref-all-rights-reserved", r"example\.invalid/all-rights-reserved"),
+    ("all-rights-reserved", "all rights", r"all rights reserved", r"licenseref-all-rights-reserved", None),
 ]
 #: Label, keyword and pattern of further names, which do not hold the keyword in LICENSES.
 ALIASES = [
-    ("mit", "expat", r"expat[ /-]+licen[cs]e"),
-    ("mit", "x11", r"x11[ /-]+licen[cs]e"),
-    ("apache-2.0", "asl", r"asl ?2\.0"),
-    ("cc0-1.0", "creative commons zero", r"creative commons zero"),
-    ("wtfpl", "you want to public licen", r"do what the f[u*]ck you want to public licen[cs]e"),
-    ("psf-2.0", "psf", r"psf licen[cs]e"),
+    ("mit", "expat", r"expat[ /-]+licen[cs]e"), ("mit", "x11", r"x11[ /-]+licen[cs]e"), ("apache-2.0", "asl", r"asl ?2\.0"), ("apache-2.0", "apache", r"apache v?2(?:\.0)?"),
+    ("gpl-2.0", "gpl", r"gpl ?v?2(?:\.0)?(?:-only|-or-later|\+)?(?![a-z0-9.])"), ("gpl-3.0", "gpl", r"gpl ?v?3(?:\.0)?(?:-only|-or-later|\+)?(?![a-z0-9.])"), ("gpl-2.0", "gpl", r"gpl,? version 2(?:\.0)?(?![a-z0-9.])"), ("gpl-3.0", "gpl", r"gpl,? version 3(?:\.0)?(?![a-z0-9.])"),
+    ("lgpl-2.1", "lgpl", r"lgpl ?v?2\.1(?:-only|-or-later|\+)?(?![a-z0-9.])"), ("lgpl-3.0", "lgpl", r"lgpl ?v?3(?:\.0)?(?:-only|-or-later|\+)?(?![a-z0-9.])"), ("agpl-3.0", "agpl", r"agpl ?v?3(?:\.0)?(?:-only|-or-later|\+)?(?![a-z0-9.])"),
+    ("mpl-2.0", "mpl", r"mpl ?v?2\.0"), ("mpl-1.1", "mpl", r"mpl ?v?1\.1"), ("epl-2.0", "epl", r"epl ?v?2\.0"), ("epl-1.0", "epl", r"epl ?v?1\.0"), ("eupl-1.2", "eupl", r"eupl ?v?1\.2"), ("eupl-1.1", "eupl", r"eupl ?v?1\.1"), ("cddl-1.0", "cddl", r"cddl ?v?1\.[01]"),
+    ("bsl-1.0", "bsl", r"bsl-1\.0"), ("sspl-1.0", "sspl", r"sspl ?v?1"), ("gfdl", "gfdl", r"gfdl ?v?1\.[123]"), ("cc0-1.0", "creative commons zero", r"creative commons zero"), ("wtfpl", "you want to public licen", r"do what the f[u*]ck you want to public licen[cs]e"), ("psf-2.0", "psf", r"psf licen[cs]e"),
+]
+#: Label, keyword and pattern of sentences that stand in a license, white space as one space.
+SENTENCES = [
+    ("mit", "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("bsl-1.0", "free of charge", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("apache-2.0", "in compliance with the licen", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("bsd", "source and binary forms", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of [a-z0-9 ,'&/-]{1,120} may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("isc", "for any purpose", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided"),
+    ("0bsd", "for any purpose", r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted\."),
+    ("gpl", "free software", r"is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e"),
+    ("lgpl", "free software", r"is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl-3.0", "free software", r"is free software[:;,]? you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("gpl", "verbatim copies", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document, but changing it is not allowed"),
+    ("wtfpl", "verbatim or modified", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("gfdl", "copy, distribute and/or modify", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[cs]e version 1\.1"),
+    ("zlib", "as-is", r"this software is provided ['\"]?as-is['\"]?, without any express or implied warranty"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("ofl-1.1", "font software", r"this font software is licen[cs]ed under the sil open font licen[cs]e"),
+    ("epl-2.0", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl-1.0", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("artistic-2.0", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document, but changing it is not allowed\. preamble this licen[cs]e establishes"),
+    ("cc-by", "creative commons attribution", r"creative commons attribution [1-4]\.[05](?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-sa", "sharealike", r"creative commons attribution-sharealike(?: [1-4]\.[05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-nc", "noncommercial", r"creative commons attribution-noncommercial(?: [1-4]\.[05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc0-1.0", "dedicated", r"has dedicated the work to the public domain by waiving all of his or her rights"),
+    ("public-domain", "no copyright", r"no copyright is claimed|no known copyright restrictions"),
+    ("all-rights-reserved", "reproduc", r"no part of this (?:publication|book|work) may be reproduced"),
 ]
-GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided)[ \n]+under[ \n]+(?:the[ \n]+)?(?:terms[ \n]+of[ \n]+)?(?:the[ \n]+)?"
-#: Strings of which every match of a rule holds one, white space squeezed.
-ANCHORS = ("licen", "public domain", "publicdomain", "rights reserved", "rights-reserved", "cc0", "cc by", "creative commons", "creativecommons", "wtfpl", "apache-2", "asl 2", "asl2", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc", "joinup.ec.europa.eu")
-#: Strings of which a text with an anchor holds one, however its white space runs.
-TRIGGERS = ("licen", "domain", "reserved", "cc0", "cc", "creative", "wtfpl", "apache-2", "asl", "bsd", "opensource.org", "mozilla.org", "eclipse.org", "mariadb.com", "sil.org", "vimdoc", "joinup.ec.europa.eu")
-#: Characters that a match may reach before and after an anchor in it; none reaches further.
-REACH = 200
+GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
 #: The phrases of the base rules and their labels.
 BASE = ((("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl"))
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, weight), first the rules that win."""
-    out = []
+    """(label, keyword, pattern, priority, weight), first the rules that win.  Every match of a pattern holds its keyword."""
+    out = [(label, keyword, pattern, 35, 1.0) for label, keyword, pattern in SENTENCES]
     for label, keyword, name, ident, address in LICENSES:
-        names = [(keyword, name), *(a[1:] for a in ALIASES if a[0] == label)]
-        out += [
-            (label, "spdx-license-identifier", rf"spdx-license-identifier:[ \t]*(?:{ident})(?![a-z0-9.+-])", 40, 1.0),
-            (label, address.replace("\\", "").replace("?", "").split("/")[0], rf"https?://(?:www\.)?(?:{address})", 30, 0.9),
-        ]
-        for own, pattern in names:
+        out.append((label, "spdx-license-identifier", rf"spdx-license-identifier: ?(?:{ident})(?![a-z0-9.+-])", 40, 1.0))
+        if address is not None:
+            out.append((label, address.replace("\\", "").replace("?", "").split("/")[0], rf"https?://(?:www\.)?(?:{address})", 30, 0.9))
+        for own, pattern in [(keyword, name), *(a[1:] for a in ALIASES if a[0] == label)]:
             out += [(label, own, rf"{GRANT}(?:{pattern})", 20, 0.95), (label, own, rf"(?<![a-z0-9])(?:{pattern})", 10, 0.7)]
     return sorted(out, key=lambda r: -r[3])
 
@@ -137,45 +158,36 @@ def phrase_places(words: Column) -> Column:
     return F.concat(*[F.coalesce(x, empty) for x in found])
 
 
-def squeezed(lower: Column) -> Column:
-    """lower with single spaces, less all that lies out of any rule's reach of an anchor."""
-    parts = F.split(F.regexp_replace(lower, r"[ \t\n\r]+", " "), "(?=" + "|".join(a.replace(".", r"\.") for a in ANCHORS) + ")")
-    cut = F.transform(parts, lambda p: F.when(F.length(p) > 2 * REACH, F.concat(F.left(p, F.lit(REACH)), F.lit("\0"), F.right(p, F.lit(REACH)))).otherwise(p))
-    return F.array_join(cut, "")
-
-
 def detections(lower: Column) -> Column:
-    """(start, stop, priority, label, weight) of all rules' matches in a lower-cased text, of texts with a trigger."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?s)\\G(.*?)({p})").alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight")) for a, k, p, n, w in rules()])
+    """(order, size, start, stop, label, weight) of all rules' matches in a text without runs of white space; order and size are negative, so that they sort."""
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight")) for a, k, p, n, w in rules()])
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<order:int,size:int,start:int,stop:int,label:string,weight:double>>").alias("all"))
 
     def matches(rule: Column) -> Column:
-        gaps = F.transform(F.regexp_extract_all(lower, rule["pattern"], F.lit(1)), lambda x: F.length(x))
-        sizes = F.transform(F.regexp_extract_all(lower, rule["pattern"], F.lit(2)), lambda x: F.length(x))
-        steps = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"))
-        empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int,order:int,label:string,weight:double>>").alias("all"))
-        placed = F.aggregate(
-            steps,
-            empty,
-            lambda acc, s: F.struct(
-                (acc["end"] + s["gap"] + s["size"]).alias("end"),
-                F.concat(acc["all"], F.array(F.struct((acc["end"] + s["gap"]).alias("start"), (-(acc["end"] + s["gap"] + s["size"])).alias("stop"), rule["order"].alias("order"), rule["label"].alias("label"), rule["weight"].alias("weight")))).alias("all"),
-            ),
-        )
-        return placed["all"]
+        # what stands between the matches, and the matches
+        gaps = F.transform(F.split(lower, rule["pattern"]), lambda x: F.length(x))
+        sizes = F.transform(F.regexp_extract_all(lower, rule["pattern"], F.lit(0)), lambda x: F.length(x))
+
+        def placed(acc: Column, s: Column) -> Column:
+            start = acc["end"] + s["gap"]
+            one = F.struct(rule["order"].alias("order"), (-s["size"]).alias("size"), start.alias("start"), (start + s["size"]).alias("stop"), rule["label"].alias("label"), rule["weight"].alias("weight"))
+            return F.struct((start + s["size"]).alias("end"), F.concat(acc["all"], F.array(one)).alias("all"))
+
+        steps = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda s: s["size"].isNotNull())
+        return F.when(F.size(gaps) > 1, F.aggregate(steps, none, placed)["all"]).otherwise(none["all"])
 
     return F.flatten(F.transform(F.filter(table, lambda r: F.contains(lower, r["keyword"])), matches))
 
 
 def surviving(found: Column) -> Column:
-    """Labels and largest weight after suppression of what lies inside another interval (by start, longest, priority)."""
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
+    """Labels and largest weight of the detections that stay: in order of priority, length and place, those that overlap none that stays."""
+    start = F.struct(F.array().cast("array<struct<start:int,stop:int>>").alias("taken"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
     return F.aggregate(
         F.array_sort(found),
         start,
-        lambda acc, d: F.when(
-            -d["stop"] > acc["end"],
-            F.struct((-d["stop"]).alias("end"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["weight"], d["weight"]).alias("weight")),
-        ).otherwise(acc),
+        lambda acc, d: F.when(F.exists(acc["taken"], lambda t: (t["start"] < d["stop"]) & (d["start"] < t["stop"])), acc).otherwise(
+            F.struct(F.concat(acc["taken"], F.array(F.struct(d["start"], d["stop"]))).alias("taken"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["weight"], d["weight"]).alias("weight"))
+        ),
     )
 
 
@@ -184,14 +196,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     score is the largest weight of a surviving rule, 0.5 for base phrases alone, else 0.
     Null and empty texts have no words and no labels (empty strings, null first and last
-    word); repeated rows and ids are scanned one by one; an empty table gives an empty one;
-    other columns are ignored.
+    word); repeated rows and ids are scanned one by one; of equal detections the first label by
+    name stays; texts of any length are scanned whole; an empty table gives an empty one; other
+    columns are ignored.
     """
     lower = docs.select("doc_id", C.lower_az(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("lower"))
-    trigger = F.lit(False)
-    for t in TRIGGERS:
-        trigger = trigger | F.contains("lower", F.lit(t))
-    words = lower.select("doc_id", "lower", C.split_words(F.col("lower")).alias("words"), F.when(trigger, squeezed(F.col("lower"))).alias("near"))
+    # a text that holds no keyword's rarest part is not looked at again
+    keywords = sorted({r[1] for r in rules()})
+    told = [k for k in keywords if not any(k != o and o in k for o in keywords)]
+    spaced = lower.withColumn("plain", F.regexp_replace("lower", r"[ \t\n\r\f\x0B]+", " "))
+    words = spaced.select("doc_id", "lower", C.split_words(F.col("lower")).alias("words"), F.when(F.col("plain").rlike("|".join(k.replace(".", r"\.") for k in told)), F.col("plain")).alias("near"))
     found = words.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
@@ -211,3 +225,13 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
         F.greatest(F.coalesce(F.col("own")["weight"], F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0)).alias("score"),
     )
+
+
+#: DuckDB SQL for the base columns.
+BASE_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM doc WHERE list_contains(w, 'license')),
+hit AS (SELECT doc_id, s, CASE WHEN w[s] = 'mit' AND w[s + 1] = 'license' THEN 'mit' WHEN w[s] = 'apache' AND w[s + 1] = 'license' THEN 'apache' WHEN w[s] = 'general' AND w[s + 1] = 'public' AND w[s + 2] = 'license' THEN 'gpl' END AS l FROM spot),
+found AS (SELECT doc_id, count(*) AS n, min(s) - 1 AS a, max(s) - 1 AS b, string_agg(DISTINCT l, ',' ORDER BY l) AS l FROM hit WHERE l IS NOT NULL GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(l, '') AS base_labels FROM doc LEFT JOIN found USING (doc_id)
+"""

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPACE = "▁"
+#: Places of a unit whose pieces are looked up at a time.
+BLOCK = 1024
 #: Units and pairs that a worker remembers; when full, it starts anew.
 KEPT = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -58,6 +60,7 @@ class Vocabulary:
         for p, i in self.reached.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.reached), default=1)
         self.units = Units(self)
 
     def unit_pattern(self) -> str:
@@ -132,25 +135,45 @@ class Vocabulary:
             else:
                 k += 1
 
+    def candidates(self, unit: str) -> Callable[[int], list[tuple[int, int]]]:
+        """The pieces (length, id) that start at a place of unit, by rising length; found BLOCK places at a time, so that a long unit needs no table of its size."""
+        blocks: dict[int, list[list[tuple[int, int]]]] = {}
+
+        def at(place: int) -> list[tuple[int, int]]:
+            block = place // BLOCK
+            own = blocks.get(block)
+            if own is None:
+                if len(blocks) > 8:
+                    blocks.pop(next(iter(blocks)))
+                first = block * BLOCK
+                own = blocks[block] = [[] for _ in range(BLOCK)]
+                for end, found in self.automaton.iter(unit[first : first + BLOCK + self.longest]):
+                    start = end - found[0] + 1
+                    if start < BLOCK:
+                        own[start].append(found)
+            return own[place - block * BLOCK]
+
+        return at
+
     def backtrack(self, unit: str) -> list[int | str]:
         """The encoding of one unit; characters without a piece are returned as such."""
-        n, starts = len(unit), [[] for _ in unit]
-        for end, found in self.automaton.iter(unit):
-            starts[end - found[0] + 1].append(found)  # by rising length
-        open_places = (1 << (n + 1)) - 1
+        n, starts = len(unit), self.candidates(unit)
+        failed = bytearray(n // 8 + 1)  # a bit for each place from which nothing fits
         chosen: list[tuple[int | str, int, int]] = []  # piece, its place, shorter candidates left
         place, last, fits = 0, None, self.fits
-        left = len(starts[0]) or 1
+        found = starts(0)
+        left = len(found) or 1
         while place < n:
-            found, picked = starts[place], None
+            picked = None
             if not found and left:  # no piece starts here: the character stands alone and fits any neighbour
                 left = 0
-                if open_places >> (place + 1) & 1:
+                if not failed[place + 1 >> 3] >> (place + 1 & 7) & 1:
                     picked, length = unit[place], 1
             while found and left:
                 left -= 1
                 length, i = found[left]
-                if open_places >> (place + length) & 1:
+                end = place + length
+                if not failed[end >> 3] >> (end & 7) & 1:
                     fit = True if last.__class__ is not int else fits.get((last, i))
                     if fit or fit is None and self.compatible(last, i):
                         picked = i
@@ -158,12 +181,15 @@ class Vocabulary:
             if picked is not None:
                 chosen.append((picked, place, left))
                 place, last = place + length, picked
-                left = len(starts[place]) or 1 if place < n else 0
+                if place < n:
+                    found = starts(place)
+                    left = len(found) or 1
             else:
-                open_places &= ~(1 << place)
+                failed[place >> 3] |= 1 << (place & 7)
                 if not chosen:
                     raise ValueError(f"no encoding of {unit!r}")
                 _, place, left = chosen.pop()
+                found = starts(place)
                 last = chosen[-1][0] if chosen else None
         return [x for x, _, _ in chosen]
 
@@ -261,7 +287,8 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
     The vocabulary file is read on the driver and its pieces are broadcast (some 32,000).
     Null and empty texts have no ids and decode to an empty text; repeated rows are encoded
-    one by one; an empty table gives an empty one; other columns are ignored.
+    one by one; a text of any length is encoded whole, in time proportional to it; an empty
+    table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     C.tune(spark)

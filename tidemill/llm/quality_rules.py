@@ -22,7 +22,7 @@ from . import common as C
 #: (bytes at least, smallest and largest share that compression may leave); short texts
 #: carry the frame's few bytes and little context, so their bands are wide.  Each band
 #: holds for whole documents and for chunks of that length.
-BANDS = ((0, 0.0, 9.9), (200, 0.30, 0.98), (1000, 0.25, 0.90), (4000, 0.20, 0.85), (16000, 0.15, 0.80))
+BANDS = ((0, 0.0, 9.9), (64, 0.40, 9.9), (200, 0.30, 0.98), (1000, 0.25, 0.90), (4000, 0.20, 0.85), (16000, 0.15, 0.80))
 CHUNK = 4096
 #: Chunks outside their band that a document may have, as a share of its chunks: repetitive ones, noise.
 BAD_CHUNKS, NOISE_CHUNKS = 0.5, 0.1
@@ -38,7 +38,7 @@ MIXED = ((900, 0.985, 0.625), (1000, 0.985, 0.605), (1500, 0.973, 0.0), (2000, 0
 #: The level of that comparison, made where LEVEL leaves more than SUSPECT (noise: 0.975 or more).
 STRONG, SUSPECT = 19, 0.93
 
-SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, ratio double, n_chunks bigint, n_low_chunks bigint, n_high_chunks bigint, noise boolean"
+SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_bytes bigint, ratio double, n_chunks bigint, n_low_chunks bigint, n_high_chunks bigint, noise boolean"
 
 
 def band(n: int, bands: tuple = BANDS) -> tuple[float, float]:
@@ -100,7 +100,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(np.diff(first)), pa.array(C.sums(leads[raw], at)), pa.array(C.sums(symbol[raw], at)), pa.array(lines, pa.int64()),
-                    pa.array(C.sums(again, first)), pa.array(ratio, pa.float64()), pa.array(n, pa.int64()), pa.array(low_n, pa.int64()), pa.array(high_n, pa.int64()), pa.array(noise, pa.bool_()),
+                    pa.array(C.sums(again, first)), pa.array(np.diff(at)), pa.array(ratio, pa.float64()), pa.array(n, pa.int64()), pa.array(low_n, pa.int64()), pa.array(high_n, pa.int64()), pa.array(noise, pa.bool_()),
                 ],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
@@ -110,15 +110,15 @@ def compression_bands(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text) with its counts, ratios and verdict.
 
     Null and empty texts have no words, so the base rule rejects them; repeated rows
-    and equal ids are judged one by one; an empty table gives an empty one; other
-    columns are ignored.
+    and equal ids are judged one by one; bands go by the text's bytes; a very long text is
+    read in one piece; an empty table gives an empty one; other columns are ignored.
     """
     C.tune(docs.sparkSession)
     measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, SCHEMA)
     bytes_band = F.lit(None).cast("string")
     for least, low, high in BANDS:
         verdict = F.when(F.col("ratio") < low, "repetitive").when((F.col("ratio") > high) | F.col("noise"), "incompressible").otherwise("inside")
-        bytes_band = verdict if not least else F.when(F.col("word_chars") >= least, verdict).otherwise(bytes_band)
+        bytes_band = verdict if not least else F.when(F.col("n_bytes") >= least, verdict).otherwise(bytes_band)
     chunks_bad = (F.col("n_low_chunks") + F.col("n_high_chunks") > BAD_CHUNKS * F.col("n_chunks")) | (F.col("n_high_chunks") > NOISE_CHUNKS * F.col("n_chunks"))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
@@ -127,3 +127,15 @@ def compression_bands(docs: DataFrame) -> DataFrame:
         .withColumn("kept", ~F.col("base_failed") & (F.col("band") == "inside"))
         .drop("noise")
     )
+
+
+#: DuckDB SQL for the base columns.
+BASE_SQL = r"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, array_to_string(w[s : s + 7], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM doc WHERE len(w) >= 8)),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM win WHERE k > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(again.n, 0) > 30 * len(w) AS base_failed
+FROM doc LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)
+"""

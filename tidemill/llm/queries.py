@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .brown_lm import BASE_SQL as LM_SQL
 from .chat_format import DIGEST_SQL as CHAT_SQL
 from .decontamination import DIGEST_SQL as DECONTAMINATION_SQL
+from .language_id import BASE_SQL as LANGUAGE_SQL
+from .license_scan import BASE_SQL as LICENSE_SQL
+from .quality_rules import BASE_SQL as QUALITY_SQL
 from .substring_dedup import DIGEST_SQL as SUBSTRING_SQL
 
 
@@ -90,13 +94,33 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(C.table(spark, sf_dir, "pages"))
 
 
+# --- the columns of operators 1, 5, 6 and 8 that SQL can express -----------------------------------
+
+
+def base_columns_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undetermined"))
+
+
+def base_columns_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_compression_bands(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_columns_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_brown_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_columns_8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_chat_format, op4_ngram_join, op5_compression_bands,
         op6_brown_lm, op7_piece_codec, op8_license_scan, op9_substring_dedup, op10_html_extraction,
+        base_columns_1, base_columns_5, base_columns_6, base_columns_8,
     )
 }
 
 #: Oracle SQL for those of QUERIES that SQL expresses.
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL, "base_columns_1": LANGUAGE_SQL, "base_columns_5": QUALITY_SQL, "base_columns_6": LM_SQL, "base_columns_8": LICENSE_SQL}
