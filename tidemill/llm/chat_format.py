@@ -3,8 +3,9 @@ r"""Chat formatting by a prefix tree (operator 3).
 Conversations that share their first turns share the nodes of a tree: a node stands for a
 turn after all the turns before it, named by a digest of that chain.  Each node's formatted
 turn is emitted once, in depth-first order over all trees, with the position id of its first
-token (tokens are code points) and the intervals of the emitted stream that it attends to:
-those of its ancestors, joined where they touch.
+token (tokens are code points), the intervals of the emitted stream that it attends to: those of
+its ancestors, joined where they touch; and the interval under the loss mask: the text of an
+assistant's turn, without role, marks and end.
 
 A turn is ``### Role: text</turn>\n``; a backslash, ``###`` and ``</turn>`` inside a role or a
 text, and a colon inside a role, get a backslash in front, so control strings stand only
@@ -35,7 +36,9 @@ _BACK = re.compile(r"\\(\\|###|</turn>|:)")
 #: Bytes of a node's digest in the tree, and in the sort path.
 DIGEST = 16
 
-TURNS = "conv_id bigint, k int, node string, path string, role string, segment string, size int, position bigint"
+TURNS = "conv_id bigint, k int, node string, path string, role string, segment string, size int, position bigint, loss_from int, loss_to int"
+#: The role whose texts are learned.
+LEARNED = "assistant"
 
 
 def formatted(role: str, text: str) -> str:
@@ -68,10 +71,12 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest = key.digest()
                 path += digest.hex()
                 segment = formatted(role, text)
-                for name, value in zip(names, (conv, k, digest.hex(), path, role, segment, len(segment), position), strict=True):
+                end = len(segment) - len(END)
+                start = end - len(_ESCAPED.sub(r"\\\g<0>", text)) if role == LEARNED else end
+                for name, value in zip(names, (conv, k, digest.hex(), path, role, segment, len(segment), position, start, end), strict=True):
                     rows[name].append(value)
                 position += len(segment)
-        types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+        types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in zip(names, types, strict=True)], names=names)
 
 
@@ -82,11 +87,12 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for size in batch.column("size").to_pylist():
             starts.append(start)
             start += size
-        columns = [batch.column(c) for c in ("node", "tree", "role", "segment", "size", "position")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64())], names=["node", "tree", "role", "segment", "size", "position", "part", "start"])
+        columns = [batch.column(c) for c in NODE]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([part] * len(starts), pa.int32()), pa.array(starts, pa.int64())], names=[*NODE, "part", "start"])
 
 
-LAID = "node string, tree string, role string, segment string, size int, position bigint, part int, start bigint"
+NODE = ("node", "tree", "role", "segment", "size", "position", "loss_from", "loss_to")
+LAID = "node string, tree string, role string, segment string, size int, position bigint, loss_from int, loss_to int, part int, start bigint"
 
 
 def chained(conversations: DataFrame) -> DataFrame:
@@ -97,8 +103,8 @@ def chained(conversations: DataFrame) -> DataFrame:
 
 
 def emitted(turns: DataFrame) -> DataFrame:
-    """One row per node of chained()'s rows: node, tree, role, segment, size, position, start (in the stream of all trees)."""
-    first = [F.first(c).alias(c) for c in ("path", "role", "segment", "size", "position")]
+    """One row per node of chained()'s rows: node, tree, role, segment, size, position, loss_from, loss_to, start (in the stream of all trees)."""
+    first = [F.first(c).alias(c) for c in ("path", "role", "segment", "size", "position", "loss_from", "loss_to")]
     nodes = turns.groupBy("node").agg(*first).withColumn("tree", F.substring("path", 1, 2 * DIGEST))
     laid = C.cut(nodes.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_laid, LAID))
     sizes = {r["part"]: r["n"] for r in laid.groupBy("part").agg(F.sum("size").alias("n")).collect()}  # a number per partition
@@ -107,7 +113,7 @@ def emitted(turns: DataFrame) -> DataFrame:
         bases.append((part, base))
         base += sizes[part]
     before = turns.sparkSession.createDataFrame(bases, "part int, base bigint")
-    return laid.join(F.broadcast(before), "part").select("node", "tree", "role", "segment", "size", "position", (F.col("start") + F.col("base")).alias("start"))
+    return laid.join(F.broadcast(before), "part").select(*NODE, (F.col("start") + F.col("base")).alias("start"))
 
 
 ATTENTION = "node string, attends array<struct<start: bigint, stop: bigint>>"
@@ -130,50 +136,75 @@ def _attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(lists, kind)], names=["node", "attends"])
 
 
+def packed(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes with attends and the loss interval, and conv_id, node of the conversations' paths, of chained()'s rows."""
+    nodes = emitted(turns)
+    paths = turns.select("conv_id", "node")
+    own = paths.join(nodes.select("node", "start", "size"), "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "size", "node"))).alias("own"))
+    attention = own.mapInArrow(_attended, ATTENTION).groupBy("node").agg(F.first("attends").alias("attends"))
+    loss = F.when(F.col("loss_from") < F.col("loss_to"), F.struct((F.col("start") + F.col("loss_from")).alias("start"), (F.col("start") + F.col("loss_to")).alias("stop")))
+    return nodes.join(attention, "node").withColumn("in_loss", F.col("role") == LEARNED).withColumn("loss", loss).drop("loss_from", "loss_to"), paths
+
+
 def prefix_tree(conversations: DataFrame) -> DataFrame:
-    """The packed output, a row per node: node, tree, role, segment, size, position, start, attends, in_loss.
+    """The packed output, a row per node: node, tree, role, segment, size, position, start, attends, in_loss, loss.
 
     conversations has conv_id, turn, role, text.  Turns are ordered by turn, then role and
     text; a null role or text is empty; rows without a conv_id are one conversation; repeated
-    conversations share all nodes; an empty table gives an empty one; other columns are
-    ignored.  Tokens of a node attend to attends and to what precedes them in the node.
+    conversations share all nodes; a very long text is one node; the sort key of a node grows
+    with its depth; an empty table gives an empty one; other columns are ignored.  Tokens of a
+    node attend to attends and to what precedes them in the node; loss is the interval of the
+    stream whose tokens are learned (null for none).
     """
-    turns = chained(conversations).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = emitted(turns)
-    own = turns.select("conv_id", "node").join(nodes.select("node", "start", "size"), "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "size", "node"))).alias("own"))
-    attention = own.mapInArrow(_attended, ATTENTION).groupBy("node").agg(F.first("attends").alias("attends"))
-    return nodes.join(attention, "node").withColumn("in_loss", F.col("role") == "assistant")
+    return packed(chained(conversations).persist(StorageLevel.MEMORY_AND_DISK))[0]
 
 
-READ = "conv_id bigint, formatted_chars bigint, turns array<struct<role: string, text: string>>"
+READ = "conv_id bigint, formatted_chars bigint, loss_text string, turns array<struct<role: string, text: string>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
     for batch in batches:
-        texts = ["".join(x["segment"] for x in own) for own in batch.column("own").to_pylist()]
+        texts, learned = [], []
+        for own in batch.column("own").to_pylist():
+            # the last node sees its own tokens and what it attends to: that is the conversation
+            leaf = own[-1]
+            seen = [(x["start"], x["stop"]) for x in leaf["attends"]] + [(leaf["start"], leaf["start"] + leaf["size"])]
+            row = [x for x in own if any(a <= x["start"] and x["start"] + x["size"] <= b for a, b in seen)]
+            at = 0
+            for x in row:
+                if x["position"] != at:
+                    raise ValueError(f"position {x['position']} in place of {at}")
+                at += x["size"]
+            if at != sum(b - a for a, b in seen):
+                raise ValueError("attention and nodes differ")
+            texts.append("".join(x["segment"] for x in row))
+            masked = [x["segment"][x["loss"]["start"] - x["start"] : x["loss"]["stop"] - x["start"]] for x in row if x["loss"] is not None]
+            learned.append("".join(_BACK.sub(r"\1", x) for x in masked))
         turns = [[{"role": r, "text": t} for r, t in read_turns(x)] for x in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(turns, kind)], names=["conv_id", "formatted_chars", "turns"])
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array(learned, pa.string()), pa.array(turns, kind)], names=["conv_id", "formatted_chars", "loss_text", "turns"])
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted_chars, turns (role, text) of each conversation, read from the emitted nodes on its path."""
-    turns = chained(conversations).persist(StorageLevel.MEMORY_AND_DISK)
-    nodes = emitted(turns).select("node", "start", "segment")
-    own = turns.select("conv_id", "node").join(nodes, "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "segment"))).alias("own"))
+    """conv_id, formatted_chars, loss_text, turns (role, text) of each conversation, read from the packed output.
+
+    A conversation is what its last node attends to, and that node, in order of position;
+    loss_text is cut out of the stream by the loss intervals and unescaped.
+    """
+    nodes, paths = packed(chained(conversations).persist(StorageLevel.MEMORY_AND_DISK))
+    read = F.struct("position", "start", "size", "segment", "loss", "attends")
+    own = paths.join(nodes.select("node", "position", "start", "size", "segment", "loss", "attends"), "node").groupBy("conv_id").agg(F.sort_array(F.collect_list(read)).alias("own"))
     return own.mapInArrow(_read, READ)
 
 
 def digest(read: DataFrame) -> DataFrame:
-    said = F.filter("turns", lambda t: t["role"] == "assistant")
-    loss = F.array_join(F.transform(said, lambda t: t["text"]), "")
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("bigint").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
 

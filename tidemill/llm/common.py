@@ -66,11 +66,17 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (one column, doc_id; null equals null); all columns stay."""
-    gone = cut(ids.select(F.col("doc_id").alias("gone_id")).distinct())
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["gone_id"]), "left_anti")
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: the id and the text (128 bits of it); rows that repeat both are the same."""
+    return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text.cast("string"), F.lit("")).cast("string")).cast("binary"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and others) whose row_key() is not among gone (one column, key); all columns stay."""
+    key = fresh(docs.columns, "row_key")[0]
+    left = cut(gone.select(F.col("key").alias(key)).distinct())
+    side = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
+    return docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(side, key, "left_anti").drop(key)
 
 
 def crc_mod(column: Column, modulus: int) -> Column:

@@ -7,19 +7,35 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Links from which a node is a hub, and hubs (at most one for so many links) that are sent to all executors; more are joined.
+HUB, HUBS = 500, 100_000
+
+
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links (u, v) with m, the least of u: the links of hubs, which would land in one task, meet a broadcast table; the others are joined."""
+    hubs = least.where(F.col("n") >= HUB).select(F.col("u").alias("hub"), F.col("m").alias("hub_m"))
+    plain = least.select("u", "m")
+    if not 0 < hubs.count() <= HUBS:
+        return links.join(plain, "u")
+    marked = links.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    return marked.where("hub IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")).unionByName(marked.where("hub IS NULL").select("u", "v").join(plain, "u").select("u", "v", "m"))
+
+
+def _least(links: DataFrame) -> DataFrame:
+    return C.cut(links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or the node)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("m", "u").alias("m"))
-    return both.join(least, both["u"] == least["at"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _least(both).withColumn("m", F.least("m", "u"))
+    return _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node (u) and its smaller neighbours (v) are linked to the smallest of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    at = least.select(F.col("u").alias("at"), "m")
-    moved = links.join(at, links["u"] == at["at"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(links)
+    moved = _with_least(links, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -37,5 +53,5 @@ def components(links: DataFrame) -> DataFrame:
         if seen == tuple(state) or not state["n"]:
             break
         seen = tuple(state)
-        links = C.cut(_small_star(_large_star(links)))
+        links = C.cut(_small_star(C.cut(_large_star(links))))
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()

@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 2), with DataFrame functions only.
 
-The windows of the test items form a broadcast hash table whose size is checked: it is
-cut into blocks of at most BLOCK_WINDOWS windows, and the documents are scanned once
-per block.  A window is entered under the hash of one pair of adjacent words (the
+The windows of the test items form a broadcast hash table whose size is checked: up to
+BLOCK_WINDOWS windows are one table and one scan.  A larger table is cut into blocks; each
+block's scan is a job of its own whose hits are written to the shared folder, so that one
+block at a time is broadcast, and the hits are joined with the documents in the end.  A window is entered under the hash of one pair of adjacent words (the
 longest pair, which is rarely a common one); every word of a document probes the table
 with the pair it starts, and only where a pair is found the whole window is compared,
 word by word.  Words stay references into their row from the split to the comparison,
@@ -44,38 +45,47 @@ def pair_key(word: Column, following: Column) -> Column:
     return F.xxhash64(word, following)
 
 
+def hits(rows: DataFrame, own: DataFrame, single: bool) -> DataFrame:
+    """rows (their columns, words) exploded over the words, with the windows of own (key, at, width, window, items) that stand there: span, items (null for none)."""
+    key = pair_key(F.col("word"), F.lit(None).cast("string") if single else F.get("words", F.col("pos") + 1))
+    start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
+    found = (F.col("probe") == F.col("key")) & (F.col("pos") >= F.col("at")) & (F.slice("words", start + 1, F.col("width")) == F.col("window"))
+    each = rows.select("*", F.posexplode_outer("words").alias("pos", "word")).withColumn("probe", key)
+    joined = each.join(F.broadcast(own), found, "left")
+    return joined.where(F.col("window").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).withColumn("span", F.when(F.col("window").isNotNull(), F.struct(start.alias("start"), F.col("width"))))
+
+
 def scan(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, spans (start, width in words), items (ids as strings, sorted).
+    """One row per row of docs (doc_id, text): doc_id, row_key, n_words, spans (start, width in words), items (ids as strings, sorted).
 
     A span is an occurrence of a window of items (item_id, text).  Null and empty texts have
     no words and no spans, on either side; repeated rows and equal ids are scanned one by one;
-    items that repeat a window share its spans; without items nothing is hit; empty tables
-    give empty ones; other columns are ignored.
+    items that repeat a window share its spans; without items nothing is hit; texts of any
+    length are scanned whole; empty tables give empty ones; other columns are ignored.
     """
     found = keyed(windows(items)).withColumn("block", F.pmod(F.xxhash64("window"), F.lit(1 << 30)))
     # a window of one word is found by that word alone
-    found = found.withColumn("single", F.col("width") == 1).persist()
+    found = C.cut(found.withColumn("single", F.col("width") == 1))
     sizes = {r["single"]: r["n"] for r in found.groupBy("single").agg(F.count("*").alias("n")).collect()}
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), C.ascii_words(F.col("text").cast("string")).alias("words"))
-    each = rows.select("row", "doc_id", "words", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "word"))
+    columns = ["key", "at", "width", "window", "items"]
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", C.row_key(F.col("doc_id"), text).alias("row_key"), C.ascii_words(text).alias("words")).withColumn("n_words", F.size("words").cast("bigint"))
+    spans, of_items = F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")
+    if len(sizes) <= 1 and sum(sizes.values()) <= BLOCK_WINDOWS:
+        numbered = rows.withColumn("row", F.monotonically_increasing_id())
+        all_hits = hits(numbered, found.select(*columns), bool(sizes.get(True)))
+        return all_hits.groupBy("row", "doc_id").agg(F.max("row_key").alias("row_key"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items")).select("doc_id", "row_key", "n_words", spans, of_items)
     parts = None
-    for single in (False, True):
-        n_blocks = -(-sizes.get(single, 0) // BLOCK_WINDOWS)
-        for block in range(n_blocks or int(not single)):
-            own = found.where((F.col("single") == single) & (F.pmod("block", F.lit(max(n_blocks, 1))) == block)).select("key", "at", "width", "window", "items")
-            key = pair_key(F.col("word"), F.lit(None).cast("string") if single else F.get("words", F.col("pos") + 1))
-            start = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-            hit = (F.col("probe") == F.col("key")) & (F.col("pos") >= F.col("at")) & (F.slice("words", start + 1, F.col("width")) == F.col("window"))
-            joined = each.withColumn("probe", key).join(F.broadcast(own), hit, "left")
-            part = joined.where(F.col("window").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0)).select(
-                "row", "doc_id", "n_words", F.when(F.col("window").isNotNull(), F.struct(start.alias("start"), F.col("width"))).alias("span"), "items"
-            )
+    for single, size in sorted(sizes.items()):
+        n_blocks = -(-size // BLOCK_WINDOWS)
+        for block in range(n_blocks):
+            own = found.where((F.col("single") == single) & (F.pmod("block", F.lit(n_blocks)) == block)).select(*columns)
+            part = C.cut(hits(rows.select("row_key", "words"), own, single).where(F.col("span").isNotNull()).select("row_key", "span", "items"))
             parts = part if parts is None else parts.unionAll(part)
-    return (
-        parts.groupBy("row", "doc_id")
-        .agg(F.max("n_words").cast("bigint").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
-        .select("doc_id", "n_words", F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
-    )
+    gathered = parts.groupBy("row_key").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    none = F.array().cast("array<struct<start:int,width:int>>")
+    joined = rows.drop("words").join(gathered, "row_key", "left")
+    return joined.select("doc_id", "row_key", "n_words", F.coalesce(F.array_sort("spans"), none).alias("spans"), F.coalesce(F.array_sort(F.array_distinct(F.flatten("items"))), F.array().cast("array<string>")).alias("items"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -92,8 +102,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs whose id scan() does not find contaminated; all columns stay."""
-    return C.without(docs, scan(docs, items).where(F.size("spans") > 0).select("doc_id"))
+    """The rows of docs, all columns, that scan() does not find contaminated: rows go by their id and text, so another text of the same (or no) id stays."""
+    return C.without(docs, scan(docs, items).where(F.size("spans") > 0).select(F.col("row_key").alias("key")))
 
 
 #: DuckDB SQL for the digest.

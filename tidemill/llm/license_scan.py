@@ -120,7 +120,7 @@ SENTENCES = [
     ("cc-by-sa", "sharealike", r"creative commons attribution-sharealike(?: [1-4]\.[05])?(?: international| unported| generic)? licen[cs]e"),
     ("cc-by-nc", "noncommercial", r"creative commons attribution-noncommercial(?: [1-4]\.[05])?(?: international| unported| generic)? licen[cs]e"),
     ("cc0-1.0", "dedicated", r"has dedicated the work to the public domain by waiving all of his or her rights"),
-    ("public-domain", "no copyright", r"no copyright is claimed|no known copyright restrictions"),
+    ("public-domain", "no copyright is", r"no copyright is claimed"), ("public-domain", "known copyright", r"no known copyright restrictions"),
     ("all-rights-reserved", "reproduc", r"no part of this (?:publication|book|work) may be reproduced"),
 ]
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
@@ -159,7 +159,7 @@ def phrase_places(words: Column) -> Column:
 
 
 def detections(lower: Column) -> Column:
-    """(order, size, start, stop, label, weight) of all rules' matches in a text without runs of white space; order and size are negative, so that they sort."""
+    """(start, size, order, stop, label, weight) of all rules' matches in a text without runs of white space; size and order are negative, so that they sort."""
     table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight")) for a, k, p, n, w in rules()])
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<order:int,size:int,start:int,stop:int,label:string,weight:double>>").alias("all"))
 
@@ -176,19 +176,32 @@ def detections(lower: Column) -> Column:
         steps = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda s: s["size"].isNotNull())
         return F.when(F.size(gaps) > 1, F.aggregate(steps, none, placed)["all"]).otherwise(none["all"])
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(lower, r["keyword"])), matches))
+    found = F.flatten(F.transform(F.filter(table, lambda r: F.contains(lower, r["keyword"])), matches))
+    return F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["order"].alias("order"), d["size"].alias("size"), d["label"].alias("label"), d["stop"].alias("stop"), d["weight"].alias("weight")))
 
 
 def surviving(found: Column) -> Column:
-    """Labels and largest weight of the detections that stay: in order of priority, length and place, those that overlap none that stays."""
-    start = F.struct(F.array().cast("array<struct<start:int,stop:int>>").alias("taken"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
-    return F.aggregate(
-        F.array_sort(found),
-        start,
-        lambda acc, d: F.when(F.exists(acc["taken"], lambda t: (t["start"] < d["stop"]) & (d["start"] < t["stop"])), acc).otherwise(
-            F.struct(F.concat(acc["taken"], F.array(F.struct(d["start"], d["stop"]))).alias("taken"), F.array_union(acc["labels"], F.array(d["label"])).alias("labels"), F.greatest(acc["weight"], d["weight"]).alias("weight"))
-        ),
-    )
+    """Labels and largest weight of the detections that stay, in one pass from left to right: of two that overlap the one of higher priority stays, of equal ones the longer, then the first."""
+    none = F.struct(F.lit(0).alias("order"), F.lit(0).alias("size"), F.lit("").alias("label"), F.lit(-1).alias("stop"), F.lit(0.0).alias("weight"))
+    start = F.struct(none.alias("last"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
+
+    def step(acc: Column, d: Column) -> Column:
+        last = acc["last"]
+        new = F.struct(d["order"].alias("order"), d["size"].alias("size"), d["label"].alias("label"), d["stop"].alias("stop"), d["weight"].alias("weight"))
+        better = (d["order"] < last["order"]) | ((d["order"] == last["order"]) & (d["size"] < last["size"]))
+        labels, weight = settled(acc)
+        return F.when(d["start"] >= last["stop"], F.struct(new.alias("last"), labels.alias("labels"), weight.alias("weight"))).when(better, F.struct(new.alias("last"), acc["labels"].alias("labels"), acc["weight"].alias("weight"))).otherwise(acc)
+
+    def settled(acc: Column) -> tuple[Column, Column]:
+        """The labels and the weight with those of the last detection."""
+        last = acc["last"]
+        return F.when(last["stop"] < 0, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(last["label"]))), F.greatest(acc["weight"], last["weight"])
+
+    def finish(acc: Column) -> Column:
+        labels, weight = settled(acc)
+        return F.struct(labels.alias("labels"), weight.alias("weight"))
+
+    return F.aggregate(F.array_sort(found), start, step, finish)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -204,8 +217,11 @@ def scan(docs: DataFrame) -> DataFrame:
     # a text that holds no keyword's rarest part is not looked at again
     keywords = sorted({r[1] for r in rules()})
     told = [k for k in keywords if not any(k != o and o in k for o in keywords)]
+    trigger = F.lit(False)
+    for k in told:
+        trigger = trigger | F.contains("plain", F.lit(k))
     spaced = lower.withColumn("plain", F.regexp_replace("lower", r"[ \t\n\r\f\x0B]+", " "))
-    words = spaced.select("doc_id", "lower", C.split_words(F.col("lower")).alias("words"), F.when(F.col("plain").rlike("|".join(k.replace(".", r"\.") for k in told)), F.col("plain")).alias("near"))
+    words = spaced.select("doc_id", "lower", C.split_words(F.col("lower")).alias("words"), F.when(trigger, F.col("plain")).alias("near"))
     found = words.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),

@@ -42,7 +42,7 @@ BLOCK, COLUMNS = 256, 4096
 #: Nodes whose ids are sent to all executors to pick the texts for verification; more are joined.
 BROADCAST_NODES = 500_000
 
-SKETCH = "doc_id bigint, node bigint, n int, sketch binary"
+SKETCH = "doc_id bigint, row_key string, node bigint, n int, sketch binary"
 _MIX = C.spread(np.arange(1, 2 * COORDINATES + 1, dtype=C.U))
 
 
@@ -74,8 +74,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sketch[full, j] = np.minimum.reduceat(values, at) >> C.U(32)
                 node[full] = C.spread(np.add.reduceat(C.spread(flat), at) + n[full].astype(C.U))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(node.astype(np.int64), mask=n == 0), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                names=["doc_id", "node", "n", "sketch"],
+                [part.column("doc_id"), part.column("row_key"), pa.array(node.astype(np.int64), mask=n == 0), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                names=["doc_id", "row_key", "node", "n", "sketch"],
             )
 
 
@@ -158,7 +158,8 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketch, SKETCH)
+    text = F.col("text").cast("string")
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), C.row_key(F.col("doc_id"), text).alias("row_key"), text.alias("text")).mapInArrow(_sketch, SKETCH)
 
 
 def node_sets(rows: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -240,14 +241,25 @@ def dense_links(rows: DataFrame, members: DataFrame, nodes: DataFrame, clusters:
     return turns.groupBy("label", "i", "j").applyInArrow(_compare, LINKED)
 
 
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, but those near_duplicates() puts in the class of a smaller doc_id; rows go by their id and text."""
+    return C.without(docs, classes(docs).where("doc_id <> class_id").select(F.col("row_key").alias("key")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_shingles for each row of docs (doc_id, text).
+    """classes() without the row keys."""
+    return classes(docs).drop("row_key")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, class_id, n_links, n_shingles for each row of docs (doc_id, text).
 
     class_id is the smallest doc_id of the class: all documents that chains of links of
     Jaccard similarity THRESHOLD or more connect.  n_links counts the documents linked to
     this one, in dense groups too; copies count.  Texts without a word (null, empty) have no
     links and are their own class; rows that repeat a text are copies; a null doc_id has a null class and no
-    links; an empty table gives an empty one; other columns are ignored.
+    links; a very long text is sketched whole, in one piece; an empty table gives an empty one;
+    other columns are ignored.
     """
     C.tune(docs.sparkSession)
     members = sketched(docs).persist(StorageLevel.MEMORY_AND_DISK)
@@ -266,11 +278,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = both.join(sizes, "b").select("a", F.col("copies").alias("linked")).unionByName(dense.select("a", "linked"))
     degree = linked.groupBy("a").agg(F.sum("linked").alias("linked")).withColumnRenamed("a", "node")
     labels = components(links.unionByName(dense.select("a", "b")))
+    clusters.unpersist()
     where = nodes.select("node", "copies", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = where.groupBy("label").agg(F.min("least").alias("class_id"))
-    placed = where.join(classes, "label").join(degree, "node", "left").select("node", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    smallest = where.groupBy("label").agg(F.min("least").alias("class_id"))
+    placed = where.join(smallest, "label").join(degree, "node", "left").select("node", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return members.join(placed, "node", "left").select(
         "doc_id",
+        "row_key",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
         F.col("n").cast("bigint").alias("n_shingles"),
