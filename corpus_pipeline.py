@@ -18,7 +18,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest doc_id stays."""
-    return C.without(docs, ngram_join.near_duplicates(docs).where("doc_id <> class_id").select("doc_id"))
+    return ngram_join.one_of_each_class(docs)
 
 
 def repeats_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
