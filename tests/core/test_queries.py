@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from tidemill.plans.queries import ORACLE_SQL, QUERIES
 
-TABLES = "nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
 
 def plain(x):

@@ -265,9 +265,9 @@ def document_queue(spark: SparkSession, d: str) -> DataFrame:
     return L.queue_step(rows, F.lit("2024-01-03 00:00:00").cast("timestamp"), 15, 1).select("event_id", "next")
 
 
-@query("SELECT event_id FROM (SELECT event_id, sum(CAST(value AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s <= 500")
+@query("SELECT event_id FROM (SELECT event_id, sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) WHERE s <= 500")
 def budget_cap(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select("event_id", "ts", F.to_date("ts").alias("day"), F.round("value").cast("bigint").alias("cost"))
+    rows = table(spark, d, "events").select("event_id", "ts", F.to_date("ts").alias("day"), F.floor("value").alias("cost"))
     return L.within_budget(rows, ["day"], ["ts", "event_id"], "cost", 500).select("event_id")
 
 
