@@ -238,7 +238,7 @@ def places(text: Column, pattern: str) -> Column:
 
     pattern has no groups of its own and matches no empty text.
     """
-    whole = f"(?s)(.*?)({pattern})"
+    whole = rf"(?s)\G(.*?)({pattern})"  # \G: without it a text without a match is searched anew from each place
     steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("hit"))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("all"))
 
