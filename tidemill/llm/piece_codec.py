@@ -137,6 +137,12 @@ class Vocabulary:
 
     def candidates(self, unit: str) -> Callable[[int], list[tuple[int, int]]]:
         """The pieces (length, id) that start at a place of unit, by rising length; found BLOCK places at a time, so that a long unit needs no table of its size."""
+        n = len(unit)
+        if n <= BLOCK:
+            starts: list[list[tuple[int, int]]] = [[] for _ in unit]
+            for end, found in self.automaton.iter(unit):
+                starts[end - found[0] + 1].append(found)
+            return starts.__getitem__
         blocks: dict[int, list[list[tuple[int, int]]]] = {}
 
         def at(place: int) -> list[tuple[int, int]]:
@@ -146,10 +152,10 @@ class Vocabulary:
                 if len(blocks) > 8:
                     blocks.pop(next(iter(blocks)))
                 first = block * BLOCK
-                own = blocks[block] = [[] for _ in range(BLOCK)]
+                own = blocks[block] = [[] for _ in range(min(BLOCK, n - first))]
                 for end, found in self.automaton.iter(unit[first : first + BLOCK + self.longest]):
                     start = end - found[0] + 1
-                    if start < BLOCK:
+                    if start < len(own):
                         own[start].append(found)
             return own[place - block * BLOCK]
 
