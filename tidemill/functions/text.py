@@ -28,9 +28,23 @@ def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
     return one, other
 
 
+def ranges(chars: Iterable[str]) -> str:
+    """A character class as few ranges; a class that lists each character is tested one by one."""
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out) + "]"
+
+
 _ONE, _OTHER = _decomposed()
-#: A character class of those that become several characters, and of combining marks.
-_OTHER_CLASS = "[" + "".join(_OTHER) + "]"
+#: Those that become several characters: a cheap test that most texts fail, and the exact one.
+_MAYBE_OTHER = ranges(c for c in _OTHER if c < "\u0250") + r"|[^\x{0}-\x{24F}]"
+_OTHER_CLASS = ranges(_OTHER)
+#: Marks that combine; those of class 0 are signs like any other.
+_MARKS = r"(?:(?=\p{M})" + ranges(chr(c) for c in range(0x300, 0x1E94B) if unicodedata.combining(chr(c))) + ")+"
 #: Legal forms that a company name loses.
 LEGAL_FORMS = "sas sa sarl sasu srl gmbh inc ltd llc corp bv nv ag plc oy ab spa".split()
 #: Gender marks and contract words that a title loses.
@@ -64,18 +78,17 @@ def fold(text: Column) -> Column:
     """Ligatures spelled out, compatibility forms and accents dropped, lower case, signs to spaces, spaces collapsed.
 
     Texts of ASCII alone take a short way; the few characters that stand for several are
-    replaced one by one, and only in texts that hold one.
+    spelled out first, and only in texts that hold one.
     """
-    wide = text
+    several = constant_map(_OTHER)
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    wide = F.when(text.rlike(_MAYBE_OTHER) & text.rlike(_OTHER_CLASS), spelled).otherwise(text)
     for sign, letters in LIGATURES.items():
         wide = F.replace(wide, F.lit(sign), F.lit(letters))
     wide = F.translate(wide, "".join(_ONE), "".join(_ONE.values()))
-    several = constant_map(_OTHER)
-    spelled = F.array_join(F.transform(F.split(wide, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
-    wide = F.when(wide.rlike(_OTHER_CLASS), spelled).otherwise(wide)
-    wide = F.regexp_replace(wide, r"\p{Mn}+", "")
+    wide = F.regexp_replace(wide, _MARKS, "")
     plain = F.lower(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(wide))
-    return F.trim(F.regexp_replace(plain, r"(?U)\W+", " "))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
 
 
 def fold_plain(text: str) -> str:

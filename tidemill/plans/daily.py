@@ -20,10 +20,11 @@ GATE = scoring.Gate(profile=PROFILE, target_titles=["devops", "sre", "systeme",
 
 
 def postings(spark: SparkSession, n: int, seed: int, first: int = 0, days: int = 30, earlier: list[tuple] | None = None) -> tuple[DataFrame, list[tuple]]:
-    """n seeded postings over days, 15 % of them reposts of an earlier one under another id."""
+    """n seeded postings over days after those of earlier, 15 % of them reposts of an earlier one under another id."""
     rng, rows, known = random.Random(seed), [], list(earlier or [])
+    start = max((row[-1] for row in known), default=-1) + 1
     for i in range(n):
-        at = first // 100 + i * days // n
+        at = start + i * days // n
         if known and rng.random() < 0.15:
             old = rng.choice(known)
             row = (first + i, old[1], f"r{first + i}", old[3], *old[4:7], old[7] + (" Bis." if rng.random() < 0.5 else ""), at)
