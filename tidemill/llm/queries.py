@@ -12,6 +12,7 @@ from .decontamination import DIGEST_SQL as DECONTAMINATION_SQL
 from .language_id import BASE_SQL as LANGUAGE_SQL
 from .license_scan import BASE_SQL as LICENSE_SQL
 from .quality_rules import BASE_SQL as QUALITY_SQL
+from .source_mix import DIGEST_SQL as MIX_SQL
 from .substring_dedup import DIGEST_SQL as SUBSTRING_SQL
 
 
@@ -94,6 +95,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(C.table(spark, sf_dir, "pages"))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import digest, phased, positions
+
+    docs = C.table(spark, sf_dir, "documents")
+    return digest(positions(docs, phased(docs)))
+
+
 # --- the columns of operators 1, 5, 6 and 8 that SQL can express -----------------------------------
 
 
@@ -117,10 +125,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_chat_format, op4_ngram_join, op5_compression_bands,
-        op6_brown_lm, op7_piece_codec, op8_license_scan, op9_substring_dedup, op10_html_extraction,
+        op6_brown_lm, op7_piece_codec, op8_license_scan, op9_substring_dedup, op10_html_extraction, op13_source_mix,
         base_columns_1, base_columns_5, base_columns_6, base_columns_8,
     )
 }
 
 #: Oracle SQL for those of QUERIES that SQL expresses.
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL, "base_columns_1": LANGUAGE_SQL, "base_columns_5": QUALITY_SQL, "base_columns_6": LM_SQL, "base_columns_8": LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op13_source_mix": MIX_SQL, "base_columns_1": LANGUAGE_SQL, "base_columns_5": QUALITY_SQL, "base_columns_6": LM_SQL, "base_columns_8": LICENSE_SQL}
