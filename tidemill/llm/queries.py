@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from .brown_lm import BASE_SQL as LM_SQL
 from .chat_format import DIGEST_SQL as CHAT_SQL
+from .conversation_trie import DIGEST_SQL as TRIE_SQL
 from .decontamination import DIGEST_SQL as DECONTAMINATION_SQL
+from .hard_negatives import DIGEST_SQL as NEGATIVES_SQL
 from .language_id import BASE_SQL as LANGUAGE_SQL
 from .license_scan import BASE_SQL as LICENSE_SQL
 from .quality_rules import BASE_SQL as QUALITY_SQL
@@ -95,6 +97,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(C.table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(C.table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import conversation_trie
+
+    return conversation_trie(C.table(spark, sf_dir, "conversations")).drop("is_point")
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mix import digest, phased, positions
 
@@ -125,10 +140,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_chat_format, op4_ngram_join, op5_compression_bands,
-        op6_brown_lm, op7_piece_codec, op8_license_scan, op9_substring_dedup, op10_html_extraction, op13_source_mix,
+        op6_brown_lm, op7_piece_codec, op8_license_scan, op9_substring_dedup, op10_html_extraction, op11_hard_negatives, op12_conversation_trie, op13_source_mix,
         base_columns_1, base_columns_5, base_columns_6, base_columns_8,
     )
 }
 
 #: Oracle SQL for those of QUERIES that SQL expresses.
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op13_source_mix": MIX_SQL, "base_columns_1": LANGUAGE_SQL, "base_columns_5": QUALITY_SQL, "base_columns_6": LM_SQL, "base_columns_8": LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": DECONTAMINATION_SQL, "op3_chat_format": CHAT_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_conversation_trie": TRIE_SQL, "op13_source_mix": MIX_SQL, "base_columns_1": LANGUAGE_SQL, "base_columns_5": QUALITY_SQL, "base_columns_6": LM_SQL, "base_columns_8": LICENSE_SQL}
