@@ -123,6 +123,11 @@ class Rows:
         self.far = _unpacked(batch.column("far"), np.float64, len(space.pivots))
         self.length2 = (self.vectors * self.vectors).sum(axis=1)
 
+    def asking(self, space: Space) -> Rows:
+        """These rows as queries: the component that is added is 0, so their distances are others than the table's."""
+        self.far = _distances(np.concatenate([self.vectors, np.zeros((len(self), 1))], axis=1), space.pivots)
+        return self
+
     def __len__(self) -> int:
         return len(self.ids)
 
@@ -269,7 +274,7 @@ def hard_negatives(rows: DataFrame, anchor: Column, n_positives: int = 5, n_nega
         asked = C.cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "label", "vec"), F.lit(blocks))))
     results = []
     for b in range(blocks):
-        own = Rows((asked.where(F.col("block") == b) if blocks > 1 else asked).orderBy("vec_id", "label", "vec").toArrow(), space)  # about ANCHORS rows
+        own = Rows((asked.where(F.col("block") == b) if blocks > 1 else asked).orderBy("vec_id", "label", "vec").toArrow(), space).asking(space)  # about ANCHORS rows
         seeds = _some(own, SEEDS)
         n = len(own)
         wanted = Wanted(own, np.arange(n), np.full(n, NONE), np.full(n, np.iinfo(np.int64).max), True, n_positives)
