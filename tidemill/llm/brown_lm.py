@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 CORE, CLASSES, SWEEPS = 1000, 40, 6
-#: Rounds in which the words outside of the core are exchanged, and the count from which a word is.
-ROUNDS, MIN_COUNT = 2, 3
+#: The count from which a word outside of the core is exchanged, and the rounds after all have a class.
+#: In a round only the words of one half (by hash) move, for gains hold while the others stay.
+MIN_COUNT, ROUNDS = 3, (0, 1)
 #: Words of which every worker holds count and class: those of at least the count that so many words reach.
 TABLE = 300_000
 #: Histories besides the classes: the start of a text, and the shapes of words outside of the core.
@@ -179,8 +180,13 @@ def gains(own: np.ndarray, h: np.ndarray, n: np.ndarray, first: np.ndarray, old:
     return np.add.reduceat(f(rows + n[:, None]) - f(rows), first, axis=0) - (f(total + own[:, None]) - f(total))
 
 
-def assign(sums: np.ndarray) -> object:
-    """A step over WORDS that gives each word of MIN_COUNT or more the class where it gains most; core words, whose class is fixed, have no entries."""
+def assign(sums: np.ndarray, seeds: dict[int, int] | None = None, half: int | None = None) -> object:
+    """A step over WORDS that gives each word of MIN_COUNT or more the class where it gains most; core words, whose class is fixed, have no entries.
+
+    A class without words gains most with any word, and all would go there at once; so none is
+    entered but by its seed.  half: only the words of that half move.
+    """
+    empty = sums.sum(axis=0) == 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,14 +194,18 @@ def assign(sums: np.ndarray) -> object:
                 part = batch.slice(i, 5000)
                 n, old = part.column("n").to_numpy(), part.column("class").to_numpy(zero_copy_only=False).copy()
                 hs = [np.frombuffer(x, dtype=np.int32) for x in part.column("hs").to_pylist()]
-                free = np.flatnonzero((n >= MIN_COUNT) & (np.array([len(x) for x in hs]) > 0))
+                word = part.column("word").to_numpy()
+                mine = (word >> 7) & 1 == half if half is not None else np.ones(len(n), dtype=bool)
+                free = np.flatnonzero((n >= MIN_COUNT) & (np.array([len(x) for x in hs]) > 0) & mine)
                 if len(free):
                     ns = part.column("ns").to_pylist()
                     h = np.concatenate([hs[k] for k in free])
                     count = np.concatenate([np.frombuffer(ns[k], dtype=np.int64) for k in free]).astype(np.float64)
                     first = np.concatenate([[0], np.cumsum([len(hs[k]) for k in free])])[:-1]
                     now = np.where(old[free] < CLASSES, old[free], -1)
-                    old[free] = gains(n[free].astype(np.float64), h, count, first, now, sums).argmax(axis=1)
+                    old[free] = np.where(empty, -np.inf, gains(n[free].astype(np.float64), h, count, first, now, sums)).argmax(axis=1)
+                    for k in free if seeds else ():
+                        old[k] = seeds.get(int(word[k]), old[k])
                 yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(old.astype(np.int32)), part.column("hs"), part.column("ns")], names=["word", "n", "class", "hs", "ns"])
 
     return run
@@ -362,9 +372,13 @@ def learn(rows: DataFrame) -> tuple[Model, DataFrame]:
             yield from out(*merged())
 
     words = rows.mapInArrow(after, AFTER).repartition("word").sortWithinPartitions("word", "h").mapInArrow(_profiles(core.words, kinds), WORDS).persist(StorageLevel.MEMORY_AND_DISK)
+    # as in the core, the most frequent words begin the classes that have none
+    empty = np.flatnonzero(fixed.sum(axis=0) == 0)
+    first = words.where((F.col("n") >= MIN_COUNT) & (F.length("hs") > 0)).orderBy(F.desc("n"), "word").limit(len(empty)).collect() if len(empty) else []  # at most CLASSES rows
+    seeds = {r["word"]: int(c) for r, c in zip(first, empty, strict=False)}
     sums, placed = fixed, words
-    for _ in range(ROUNDS):
-        before, placed = placed, placed.mapInArrow(assign(sums), WORDS).persist(StorageLevel.MEMORY_AND_DISK)
+    for half in (None, *ROUNDS):
+        before, placed = placed, placed.mapInArrow(assign(sums, seeds if half is None else None, half), WORDS).persist(StorageLevel.MEMORY_AND_DISK)
         found = placed.mapInArrow(_class_sums, PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()  # at most HISTORIES * CLASSES rows
         sums = fixed.copy()
         for r in found:
