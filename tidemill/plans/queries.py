@@ -392,4 +392,4 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(streams.hourly(streams.events_stream(spark, d)))
 
 
-from . import extraction, readers, reports, tracking  # noqa: E402, F401  (they register their queries)
+from . import extraction, live, readers, reports, tracking  # noqa: E402, F401  (they register their queries)

@@ -38,9 +38,9 @@ def first_by_key(stream: DataFrame, key: str, at: str, number: str) -> DataFrame
     return stream.groupBy(key).agg(F.min(F.struct(at, number)).alias("m")).select(key, F.col(f"m.{number}").alias(number))
 
 
-def distinct_by_key(stream: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
-    """One row of each key within the horizon; older state is dropped."""
-    return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark([key])
+def distinct_by_keys(stream: DataFrame, keys: list[str], at: str, horizon: str) -> DataFrame:
+    """One row of each combination of keys within the horizon; older state is dropped."""
+    return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
 
 
 def hourly(stream: DataFrame) -> DataFrame:
