@@ -89,25 +89,36 @@ def test_links_against_all_pairs(spark):
     assert got == brute_links(posts, 30)
 
 
-def test_token_set_agrees_with_the_plain_form():
+def test_common_lengths_of_many_pairs():
+    """Lanes of 64 places with carries between them, against the table of all beginnings; any alphabet, empty texts, many sizes."""
     rng = random.Random(6)
 
     def plain(a, b):
-        x, y = set(a.split()), set(b.split())
-        if not x or not y:
-            return 0.0
-        both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-        if both and (not left or not right):
-            return 100.0
-        ratio = lambda p, q: 200.0 * similarity.common_length(p, q) / (len(p) + len(q))
-        one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
-        return max([ratio(one, two)] + ([ratio(both, one), ratio(both, two)] if both else []))
-
-    for _ in range(3000):
-        a, b = (" ".join(rng.choice(["a", "bc", "data", "dat", "ops", "x"]) for _ in range(rng.randrange(6))) for _ in "ab")
-        assert abs(similarity.token_set(a, b) - plain(a, b)) < 1e-9
-        least = rng.choice([50, 80, 85])
-        assert (similarity.token_set(a, b, least) >= least) == (plain(a, b) >= least)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            out = [0]
+            for j, y in enumerate(b):
+                out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+            row = out
+        return row[-1]
+
+    texts = ["", "a", "é" * 70, "ab" * 64, "😀b" * 40] + ["".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 63, 64, 65, 128, 130, 200]))) for letters in ("ab", "abcdefgh ", "é😀xyz") for _ in range(25)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(400)]
+    want = [plain(a, b) for a, b in pairs]
+    assert similarity.common_lengths(*map(list, zip(*pairs, strict=True))).tolist() == want
+    assert [similarity.common_length(a, b) for a, b in pairs] == want
+    assert (similarity._letters(*map(list, zip(*pairs, strict=True))) >= want).all()
+    assert similarity.common_lengths([], []).tolist() == []
+
+
+def test_token_set_ratio_agrees_with_the_plain_form(spark):
+    rng = random.Random(7)
+    pairs = [tuple(" ".join(rng.choice(["a", "bc", "data", "dat", "ops", "x", "ingénieur"]) for _ in range(rng.randrange(6))) for _ in "ab") for _ in range(1500)] + [(None, "a"), ("a", None), ("long " + "word" * 60, "word" * 50 + " long")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for least in (0, 50, 85):
+        for r in rows.select("i", similarity.token_set_ratio(F.col("a"), F.col("b"), least).alias("t")).collect():
+            want = similarity.token_set(*pairs[r.i])
+            assert abs(r.t - want) < 1e-9 if want >= least else r.t < least
 
 
 def test_roots_of_a_long_chain(spark):

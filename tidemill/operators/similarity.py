@@ -9,12 +9,11 @@ fetched for the pairs that are left.
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import LongType
 
 from ..functions import places as P
 from .storage import cut
@@ -39,13 +38,8 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def letters_bound(a: str, b: str) -> float:
-    """No indel ratio of two texts is larger: letters in common, whatever their order."""
-    return 200.0 * (Counter(a) & Counter(b)).total() / (len(a) + len(b)) if a or b else 100.0
-
-
-def token_set(a: str | None, b: str | None, least: float = 0.0) -> float:
-    """The token-set similarity of two texts, 0 to 100; one that cannot reach least may come out as any number below it."""
+def token_set(a: str | None, b: str | None) -> float:
+    """The token-set similarity of two texts, 0 to 100."""
     x, y = set((a or "").split()), set((b or "").split())
     if not x or not y:
         return 0.0
@@ -55,22 +49,113 @@ def token_set(a: str | None, b: str | None, least: float = 0.0) -> float:
     one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
     # a text against its own beginning: the shorter one is the common part
     best = max(200.0 * len(both) / (len(both) + len(one)), 200.0 * len(both) / (len(both) + len(two))) if both else 0.0
-    if best >= 100.0 or letters_bound(left, right) * (len(left) + len(right)) / 100 + 2 * len(both) + 2 < max(best, least) * (len(one) + len(two)) / 100:
-        return best
     return max(best, 200.0 * common_length(one, two) / (len(one) + len(two)))
 
 
-def _ratios(least: float):  # noqa: ANN202
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_set(x, y, least) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return ratio
+#: Bytes that the tables of one step of common_lengths() may take, about.
+LANE_BYTES = 32 << 20
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts end to end, and where each starts."""
+    at = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), at
+
+
+def _lanes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n_codes: int) -> np.ndarray:
+    """Common lengths of pairs whose characters are numbered from 0: bit rows of all pairs side by side, a word of 64 places at a time."""
+    n, la, lb = len(a_at) - 1, np.diff(a_at), np.diff(b_at)
+    words = int(-(-la.max() // 64))
+    own = np.repeat(np.arange(n), la)
+    place = np.arange(len(a)) - np.repeat(a_at[:-1], la)
+    where = np.zeros((n_codes, words, n), dtype=np.uint64)  # the places of each character in each a
+    np.bitwise_or.at(where, (a, place // 64, own), np.uint64(1) << (place % 64).astype(np.uint64))
+    ones = np.full(words, ~np.uint64(0))
+    row = np.repeat(ones[:, None], n, axis=1)
+    order = np.argsort(-lb, kind="stable")  # pairs whose b has ended leave at the end
+    where, row, first, size = where[:, :, order], row[:, order], b_at[:-1][order], lb[order]
+    for j in range(int(lb.max())):
+        m = int(np.searchsorted(-size, -j, side="left"))  # those of more than j characters
+        hits = where[b[first[:m] + j], :, np.arange(m)].T & row[:, :m]
+        carry = np.zeros(m, dtype=np.uint64)
+        for w in range(words):
+            old = row[w, :m]
+            total = old + hits[w]
+            over = total < old
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            row[w, :m] = total | (old & ~hits[w])
+    # places beyond the end of a keep their ones
+    out = np.empty(n, dtype=np.int64)
+    out[order] = words * 64 - np.bitwise_count(row).sum(axis=0).astype(np.int64)
+    return out
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """common_length() of many pairs at once; pairs of similar size share a step, and its tables stay near LANE_BYTES."""
+    out = np.zeros(len(a), dtype=np.int64)
+    # rows of bits run along the shorter text
+    short, long = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else ((), ())
+    order = [i for i in sorted(range(len(a)), key=lambda i: (len(short[i]), len(long[i]))) if short[i]]
+    while order:
+        take = order[-4096:]
+        while True:
+            x, x_at = _codes([short[i] for i in take])
+            y, y_at = _codes([long[i] for i in take])
+            known, x = np.unique(x, return_inverse=True)
+            if len(take) == 1 or (len(known) + 1) * -(-len(short[take[-1]]) // 64) * len(take) * 8 <= LANE_BYTES:
+                break
+            take = take[len(take) // 2 :]
+        at = np.minimum(np.searchsorted(known, y), len(known) - 1)
+        y = np.where(known[at] == y, at, len(known))  # a character that no short text has
+        out[take] = _lanes(x, x_at, y, y_at, len(known) + 1)
+        order = order[: -len(take)]
+    return out
+
+
+@F.pandas_udf(LongType())
+def _common(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Common lengths where they may reach least (null: not asked for); others are 0."""
+    asked = np.flatnonzero(a.notna().to_numpy())
+    out = np.zeros(len(a), dtype=np.int64)
+    if len(asked):
+        x, y = a.iloc[asked].tolist(), b.iloc[asked].tolist()
+        most = _letters(x, y)
+        near = np.flatnonzero(most >= least.iloc[asked].to_numpy())
+        out[asked[near]] = common_lengths([x[i] for i in near], [y[i] for i in near])
+    return pd.Series(out)
+
+
+def _letters(a: list[str], b: list[str]) -> np.ndarray:
+    """Letters in common, whatever their order: no common subsequence is longer."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for start in range(0, len(a), 1024):
+        (x, x_at), (y, y_at) = _codes(a[start : start + 1024]), _codes(b[start : start + 1024])
+        known, both = np.unique(np.concatenate([x, y]), return_inverse=True)
+        n, k = len(x_at) - 1, max(len(known), 1)
+        counts = [np.bincount(np.repeat(np.arange(n), np.diff(at)) * k + codes, minlength=n * k) for at, codes in ((x_at, both[: len(x)]), (y_at, both[len(x) :]))]
+        out[start : start + n] = np.minimum(*counts).reshape(n, k).sum(axis=1)
+    return out
 
 
 def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """token_set() of two columns of folded texts."""
-    return _ratios(least)(a, b)
+    """token_set() of two columns of folded texts; one that cannot reach least may come out as any number below it.
+
+    Sets, their order and the terms that have a closed form are built-ins; only the longest
+    common subsequence is Python, for all pairs of an Arrow batch at once.
+    """
+    words = lambda c: F.array_sort(F.array_distinct(F.array_remove(F.split(F.coalesce(c, F.lit("")), " +"), "")))
+    x, y = words(a), words(b)
+    both, left, right = (F.array_join(s, " ") for s in (F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)))
+    one, two = F.trim(F.concat_ws(" ", both, left)), F.trim(F.concat_ws(" ", both, right))
+    n, n1, n2 = F.length(both).cast("double"), F.length(one).cast("double"), F.length(two).cast("double")
+    none, within = (F.size(x) == 0) | (F.size(y) == 0), (n > 0) & ((F.length(left) == 0) | (F.length(right) == 0))
+    beginning = F.when(n > 0, F.greatest(200 * n / (n + n1), 200 * n / (n + n2))).otherwise(0.0)
+    # the length that would change something: more than the beginnings give, and enough to reach least
+    goal = F.greatest(beginning, F.lit(float(least))) * (n1 + n2) / 200 - 1e-6
+    asked = ~none & ~within & (F.least(n1, n2) >= goal)
+    common = _common(F.when(asked, one), F.when(asked, two), F.when(asked, goal))
+    return F.when(none, 0.0).when(within, 100.0).otherwise(F.greatest(beginning, 200.0 * common / (n1 + n2)))
 
 
 def bound(a: Column, b: Column) -> Column:

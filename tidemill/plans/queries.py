@@ -97,7 +97,7 @@ _WINDOW = 30
 
 
 def _posts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 1500).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
     folded = docs.withColumn("title", T.title_name(F.substring(T.first_line(F.col("text")), 1, 80))).withColumn("text", T.fold(F.col("text")))
     company = F.when(F.col("doc_id") % 10 != 0, F.col("source"))
     return folded.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 20).alias("at"), company.alias("company"), "title", F.col("lang").alias("place"), F.sha2("text", 256).alias("fp"), "text", (F.col("source") == "src7").alias("rejected"))
@@ -118,6 +118,27 @@ def token_set_cases(rows: DataFrame) -> DataFrame:
     return rows.select("n", F.round(similarity.token_set_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
+_PAIRED = "lower(p_name || ' ' || p_type || ' ' || p_brand)"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT p_partkey, list_sort(list_distinct(string_split({_PAIRED}, ' '))) AS w FROM part),
+p AS (SELECT a.p_partkey, list_filter(a.w, lambda x: list_contains(b.w, x)) AS i, list_filter(a.w, lambda x: NOT list_contains(b.w, x)) AS l, list_filter(b.w, lambda x: NOT list_contains(a.w, x)) AS r FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1),
+s AS (SELECT p_partkey, array_to_string(i, ' ') AS i, len(l) AS nl, len(r) AS nr, array_to_string(list_concat(i, l), ' ') AS a, array_to_string(list_concat(i, r), ' ') AS b FROM p),
+c AS (SELECT *, list_transform(range(1, len(a) + 1), lambda k: substr(a, k, 1)) AS ca FROM s),
+f AS (SELECT p_partkey, 0 AS j, list_transform(ca, lambda k: 0) AS row_ FROM c
+  UNION ALL SELECT p_partkey, j, list_transform(range(1, len(cand) + 1), lambda k: list_max(cand[1:k])) FROM
+    (SELECT c.p_partkey, f.j + 1 AS j, list_transform(range(1, len(ca) + 1), lambda k: CASE WHEN ca[k] = substr(b, f.j + 1, 1) THEN coalesce(row_[k - 1], 0) + 1 ELSE row_[k] END) AS cand FROM f JOIN c USING (p_partkey) WHERE f.j < len(b))),
+e AS (SELECT p_partkey, row_[len(row_)] AS n FROM f JOIN c USING (p_partkey) WHERE j = len(b))
+SELECT p_partkey, round(CASE WHEN len(i) > 0 AND (nl = 0 OR nr = 0) THEN 100 ELSE greatest(200.0 * n / (len(a) + len(b)), CASE WHEN len(i) > 0 THEN 200.0 * len(i) / (len(i) + least(len(a), len(b))) ELSE 0 END) END, 4) AS ratio FROM c JOIN e USING (p_partkey)"""
+)
+def token_set_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The token-set similarity of each part's words with those of the next."""
+    parts = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("words"))
+    pairs = parts.join(parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("words").alias("next")), "p_partkey")
+    return pairs.select("p_partkey", F.round(similarity.token_set_ratio(F.col("words"), F.col("next")), 4).alias("ratio"))
+
+
 _GATES_SQL = rf"""SELECT doc_id, list_filter([CASE WHEN NOT (' ' || t LIKE '% th%' OR ' ' || t LIKE '% la%') THEN 'NOT_RELEVANT' END, CASE WHEN ' ' || t || ' ' LIKE '% worthless %' THEN 'TITLE' END,
 CASE WHEN n_chars > 8000 THEN 'EXPERIENCE' END, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'CONTRACT' END, CASE WHEN source IN ('src3', 'src7') THEN 'LOCATION' END], lambda x: x IS NOT NULL) AS r FROM (SELECT *, {fold_sql('text')} AS t FROM documents)"""
 
