@@ -187,6 +187,8 @@ def seniority_cases(rows: DataFrame) -> DataFrame:
     return rows.select("n", X.required_years(F.col("title"), F.col("s")).alias("x")).select("n", "x.years", "x.basis", "x.sentence")
 
 
+#: Towns and adjectives, folded, as a caller would give them.
+_COUNTRIES = {"suisse": "Switzerland", "geneve": "Switzerland", "london": "United Kingdom", "lyon": "France", "paris": "France", "parisienne": "France", "french": "France", "german": "Germany", "berlin": "Germany", "spanish": "Spain", "madrid": "Spain"}
 _NAMES = ["Talents Handicap", "Hanploi"]
 
 
@@ -235,7 +237,7 @@ def funding_story_cases(rows: DataFrame) -> DataFrame:
     s = F.col("s")
     found = rows.withColumn("f", U.funding_sentence(s))
     return found.select(
-        "n", U.company_before(s, F.col("f.anchor")).alias("named"), F.array_join(U.investors(s, F.col("company")), "|").alias("investors"), U.hiring(s).alias("hiring"), U.location(s).alias("location"), U.country(s).alias("country")
+        "n", U.company_before(s, F.col("f.anchor")).alias("named"), F.array_join(U.investors(s, F.col("company")), "|").alias("investors"), U.hiring(s).alias("hiring"), U.location(s).alias("location"), U.country(s, _COUNTRIES).alias("country")
     )
 
 
@@ -251,7 +253,7 @@ def funding_story_cases(rows: DataFrame) -> DataFrame:
     ],
 )
 def funding_article_cases(rows: DataFrame) -> DataFrame:
-    a = U.articles(rows.select(F.col("n").alias("id"), "title", "text"))
+    a = U.articles(rows.select(F.col("n").alias("id"), "title", "text"), _COUNTRIES)
     return a.select(
         F.col("id").alias("n"), "is_funding", "company", "amount", "round", F.array_join("investors", "|").alias("investors"), "hiring", "location", "country",
         U.lead_priority(F.col("hiring")).alias("priority"), U.lead_reason(F.col("amount"), F.col("currency"), F.col("round"), F.col("hiring")).alias("reason"),
