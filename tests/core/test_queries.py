@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 from tidemill.plans.queries import ORACLE_SQL, QUERIES
+from tidemill.plans.registry import CASES, CASES_SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
@@ -26,6 +27,13 @@ def duck(sf_dir):
     return con
 
 
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_worked_case(spark, duck, sf_dir, name):
+    got = CASES[name](spark, sf_dir)
+    want = duck.execute(CASES_SQL[name])
+    assert rows([c[0] for c in want.description], want.fetchall()) == rows(got.columns, got.collect())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)

@@ -292,8 +292,19 @@ def find_term(text: Column, forms: Iterable[str]) -> Column:
     return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
+def whole_term(term: str) -> str:
+    """The pattern of a term as whole words, whatever the case; what it finds is as long as the term."""
+    return rf"(?iU)(?<!\w){re.escape(term)}(?!\w)"
+
+
 def contains_term(text: Column, term: str) -> Column:
-    return text.rlike(rf"(?iU)(?<!\w){re.escape(term)}(?!\w)")
+    return text.rlike(whole_term(term))
+
+
+def contains_any(text: Column, terms: Iterable[str]) -> Column:
+    """Whether text holds one of the terms as whole words, by one pattern; false for none."""
+    forms = [re.escape(t) for t in terms]
+    return text.rlike(rf"(?iU)(?<!\w)(?:{'|'.join(forms)})(?!\w)") if forms else F.lit(False)
 
 
 def word_sentences(text: Column) -> Column:
@@ -349,20 +360,18 @@ def card_hash(title: Column, excerpt: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(fold(title), F.lit("")), F.lit("\n"), F.coalesce(excerpt, F.lit(""))), 256)
 
 
-#: Folded headings that open the candidate's part of a posting, and those that close it.
-PROFILE_HEADINGS = (
-    r"^(?:(?:votre|ton|le|du) )?profil(?: (?:recherche|souhaite|attendu|requis|candidat))?"
-    r"|^(?:les |vos |tes )?competences(?: (?:requises|techniques|attendues|recherchees|cles|souhaitees))?"
-    r"|^savoir (?:faire|etre)|^qualites(?: requises)?|^pre ?requis|^(?:les )?exigences"
-    r"|^ce que (?:nous recherchons|l on attend de (?:vous|toi))|^vous (?:etes|avez|possedez|maitrisez)"
-    r"|^experiences? (?:et|&) competences|^formation(?: et experience)?$"
-)
-OTHER_HEADINGS = (
-    r"^(?:(?:vos|les|tes) )?missions?(?: principales)?|^(?:le |votre )?poste(?: propose)?|^description(?: du poste)?"
-    r"|^descriptif(?: du poste)?|^(?:vos |tes )?responsabilites|^(?:les )?avantages|^(?:ce que )?nous (?:vous )?(?:offrons|proposons)"
-    r"|^pourquoi|^l entreprise|^(?:notre |la )?(?:entreprise|societe)|^qui sommes nous|^a propos|^conditions"
-    r"|^informations complementaires|^(?:le )?process(?:us)? de recrutement|^remuneration|^salaire|^contexte|^environnement technique"
-)
+#: Folded beginnings of headings that open the candidate's part of a posting, whole headings of it, and beginnings of those that close it.
+PROFILE_HEADINGS = [
+    "profil", "votre profil", "ton profil", "le profil", "du profil", "competences", "les competences", "vos competences", "tes competences", "savoir faire", "savoir etre", "qualites", "prerequis", "pre requis",
+    "exigences", "les exigences", "ce que nous recherchons", "ce que l on attend de vous", "ce que l on attend de toi", "vous etes", "vous avez", "vous possedez", "vous maitrisez", "experience et competences", "experiences et competences",
+]
+PROFILE_WHOLE = ["formation", "formation et experience"]
+OTHER_HEADINGS = [
+    "mission", "vos mission", "les mission", "tes mission", "poste", "le poste", "votre poste", "description", "descriptif", "responsabilites", "vos responsabilites", "tes responsabilites", "avantages", "les avantages",
+    "nous offrons", "nous proposons", "nous vous offrons", "nous vous proposons", "ce que nous offrons", "ce que nous proposons", "ce que nous vous offrons", "ce que nous vous proposons", "pourquoi", "l entreprise",
+    "entreprise", "notre entreprise", "la entreprise", "societe", "notre societe", "la societe", "qui sommes nous", "a propos", "conditions", "informations complementaires", "process de recrutement", "processus de recrutement",
+    "le process de recrutement", "le processus de recrutement", "remuneration", "salaire", "contexte", "environnement technique",
+]
 
 
 def heading(line: Column) -> Column:
@@ -370,7 +379,8 @@ def heading(line: Column) -> Column:
 
     def kind(folded: Column) -> Column:
         fits = F.size(F.split(folded, " ")) <= 6
-        return F.when(fits & folded.rlike(PROFILE_HEADINGS), "profile").when(fits & folded.rlike(OTHER_HEADINGS), "other")
+        opens = lambda words: folded.rlike("^(?:" + "|".join(words) + ")")
+        return F.when(fits & (opens(PROFILE_HEADINGS) | folded.isin(PROFILE_WHOLE)), "profile").when(fits & opens(OTHER_HEADINGS), "other")
 
     bare = F.trim(F.regexp_replace(F.trim(line), r":+$", ""))
     return let(bare, lambda b: F.when((F.length(b) <= 60) & ~b.rlike("^[-•·*–—✓▪►]"), let(fold(b), kind)))

@@ -45,17 +45,18 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], policy: dict
 def roots(parents: DataFrame) -> DataFrame:
     """id, root: follows id, parent (null for heads) to the head by doubling the pointers.
 
-    Each round is checkpointed, so that it is computed once, and rows that have reached their
-    head leave the loop: the number of rounds is the logarithm of the longest chain.
+    Each round is checkpointed, so that it is computed once; the number of rounds is the
+    logarithm of the longest chain.  Rows that lead into a cycle have no head, and so a null
+    root: no chain is longer than the table, so after as many doublings they are what is left.
     """
-    at = cut(parents.select("id", F.coalesce("parent", "id").alias("root")))
-    heads = at.where("id = root").select(F.col("id").alias("root"), F.lit(True).alias("head"))
-    while True:
+    at = cut(parents.select("id", F.coalesce("parent", "id").alias("root"), F.col("parent").isNull().alias("head")))
+    heads = at.where("head").select(F.col("id").alias("root"), F.lit(True).alias("head"))
+    for _ in range(at.count().bit_length() + 1):
         up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        stepped = cut(at.join(up, "root").select("id", F.col("next").alias("root")).join(heads, "root", "left").select("id", "root", F.coalesce("head", F.lit(False)).alias("head")))
-        if stepped.where("not head").isEmpty():
-            return stepped.select("id", "root")
-        at = stepped.select("id", "root")
+        at = cut(at.drop("head").join(up, "root").select("id", F.col("next").alias("root")).join(heads, "root", "left").select("id", "root", F.coalesce("head", F.lit(False)).alias("head")))
+        if at.where("not head").isEmpty():
+            break
+    return at.select("id", F.when(F.col("head"), F.col("root")).alias("root"))
 
 
 def ledger(base: int, rules: list[tuple[str, int, Column]]) -> tuple[Column, Column]:

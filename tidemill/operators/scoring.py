@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -74,7 +76,7 @@ def relevant(title: Column, text: Column, keywords: list[str], skills: list[Skil
         return F.lit(True)
     starts = T.let(T.fold(title), lambda t: _any([T.starts_term(t, T.fold_plain(k)) for k in keywords]))
     both = F.concat_ws(" ", title, text)
-    return starts | T.let(both, lambda t: _any([T.contains_term(t, f) for name, aliases in skills for f in (name, *aliases)]))
+    return starts | T.contains_any(both, [f for name, aliases in skills for f in (name, *aliases)])
 
 
 def dev_role(title: Column, dev: list[str], roles: list[str]) -> Column:
@@ -115,10 +117,6 @@ def evaluate(rows: DataFrame, gate: Gate, *, title: Column, company: Column, con
     return decided.withColumn("stretch", stretch).withColumn("tier", F.when(F.size("reasons") > 0, "REJECTED").when(F.col("stretch"), "STRETCH").otherwise("ELIGIBLE")).drop("family", "reserved_by")
 
 
-def half_up(x: Column) -> Column:
-    return F.floor(x + 0.5).cast("int")
-
-
 def score(rows: DataFrame, title: Column, description: Column, profile: Profile) -> DataFrame:
     """rows with score (0 to 100), explanations, positive, negative, missing, evidence, weights, unlisted.
 
@@ -129,18 +127,24 @@ def score(rows: DataFrame, title: Column, description: Column, profile: Profile)
     text = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(description, F.lit("")))
     read = rows.withColumns({"_text": text, "_part": T.profile_text(description) if profile.multiplier != 1 else F.lit(""), "_family": title_family(title, profile.titles)})
 
-    def found(kind: str, name: str, weight: int, aliases: list[str]) -> Column:
-        at = T.find_term(F.col("_text"), [name, *aliases])
-        in_part = _any([T.contains_term(F.col("_part"), f) for f in (name, *aliases)]) if kind == "preferred" else F.lit(False)
-        gained = F.when(in_part, half_up(F.lit(weight * profile.multiplier))).otherwise(F.lit(weight))
-        told = lambda x: F.struct(
-            F.lit(kind).alias("kind"), F.lit(name).alias("name"), x["at"].isNotNull().alias("hit"), (x["raised"] & x["at"].isNotNull()).alias("raised"), F.when(x["at"].isNotNull(), x["gained"]).otherwise(0).alias("weight"), T.snippet(F.col("_text"), x["at"]["start"], x["at"]["stop"]).alias("said")
-        )
-        return T.let(F.struct(at.alias("at"), in_part.alias("raised"), gained.alias("gained")), told)
-
     listed = {n.lower() for n, _, _ in (*profile.preferred, *profile.negative)}
-    skills = [found("preferred", *s) for s in profile.preferred] + [found("negative", *s) for s in profile.negative] + [found("unlisted", v, 0, []) for v in profile.vocabulary if v.lower() not in listed]
-    read = read.withColumn("_skills", F.array(*skills))
+    terms = [("preferred", *x) for x in profile.preferred] + [("negative", *x) for x in profile.negative] + [("unlisted", v, 0, []) for v in profile.vocabulary if v.lower() not in listed]
+    # one constant list and one expression for all terms: the plan does not grow with them
+    told = [{"kind": kind, "name": name, "weight": weight, "more": math.floor(weight * profile.multiplier + 0.5) if kind == "preferred" else weight, "forms": [{"form": f, "whole": T.whole_term(f)} for f in (name, *aliases)]} for kind, name, weight, aliases in terms]
+    known = F.from_json(F.lit(json.dumps(told)), "array<struct<kind:string,name:string,weight:int,more:int,forms:array<struct<form:string,whole:string>>>>")
+
+    def found(x: Column) -> Column:
+        starts = F.filter(F.transform(x["forms"], lambda f: F.struct((F.regexp_instr(F.col("_text"), f["whole"]) - 1).alias("start"), F.length(f["form"]).alias("size"))), lambda h: h["start"] >= 0)
+        raised = (x["kind"] == "preferred") & F.exists(x["forms"], lambda f: F.regexp_instr(F.col("_part"), f["whole"]) > 0)
+
+        def one(h: Column) -> Column:
+            hit = h["at"].isNotNull()
+            said = T.snippet(F.col("_text"), h["at"]["start"], h["at"]["start"] + h["at"]["size"])
+            return F.struct(x["kind"].alias("kind"), x["name"].alias("name"), hit.alias("hit"), (h["raised"] & hit).alias("raised"), F.when(hit & h["raised"], x["more"]).when(hit, x["weight"]).otherwise(0).alias("weight"), F.when(hit, said).alias("said"))
+
+        return T.let(F.struct(F.array_min(starts).alias("at"), raised.alias("raised")), one)
+
+    read = read.withColumn("_skills", F.transform(known, found))
     s = F.col("_skills")
     of = lambda kind, hit=True: F.filter(s, lambda x: (x["kind"] == kind) & (x["hit"] == hit))
     names = lambda own: F.transform(own, lambda x: x["name"])
@@ -177,7 +181,7 @@ def top_reasons(weights: Column, k: int) -> Column:
 
 def skills_named(text: Column, skills: list[Skill]) -> Column:
     """The skills that a text names by their name or an alias, sorted."""
-    return F.array_sort(F.filter(F.array(*[F.when(_any([T.contains_term(text, f) for f in (n, *a)]), F.lit(n)) for n, a in skills]), lambda x: x.isNotNull()))
+    return F.array_sort(F.filter(F.array(*[F.when(T.contains_any(text, [n, *a]), F.lit(n)) for n, a in skills]), lambda x: x.isNotNull()))
 
 
 def combined_score(scores: dict[str, Column], review_from: int) -> Column:

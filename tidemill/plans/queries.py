@@ -413,4 +413,4 @@ def stream_hourly(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(streams.hourly(streams.events_stream(spark, d)))
 
 
-from . import extraction, listings, live, readers, reports, tracking  # noqa: E402, F401  (they register their queries)
+from . import checked, composed, extraction, listings, live, readers, reports, tracking  # noqa: E402, F401  (they register their queries)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.storage import shared_dir
 from ..sources import boards
-from .registry import cases, query, table
+from .registry import cases, query, table, worked
 
 
 def _answer(rows: DataFrame, kind: str) -> DataFrame:
@@ -57,7 +57,7 @@ def _post(ident: str, said: str) -> dict:
     return {"externalPath": f"/job/X/T_{ident}", "title": f"T {ident}", "postedOn": said, "detail": {"location": "Brest", "additionalLocations": ["brest", "Lyon"], "country": {"descriptor": "France"}, "startDate": "2024-01-05", "jobDescription": "<p>x</p>"}}
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS INT), 'R2', CAST(0 AS INT), 'devops', 'Brest, Lyon, France'), (2, 'R1', 3, 'devops', 'Brest, Lyon, France')) t(place, id, days, keyword, location)")
+@worked("SELECT * FROM (VALUES (CAST(1 AS INT), 'R2', CAST(0 AS INT), 'devops', 'Brest, Lyon, France'), (2, 'R1', 3, 'devops', 'Brest, Lyon, France')) t(place, id, days, keyword, location)")
 def read_listing(spark: SparkSession, d: str) -> DataFrame:
     """Two keyword searches of one board: first seen per id, the freshest first, two at most."""
     pages = spark.createDataFrame([("b", "devops", json.dumps({"jobPostings": [_post("R1", "Posted 3 Days Ago"), _post("R2", "Posted Today")]})), ("b", "sre", json.dumps({"jobPostings": [_post("R2", "Posted Today"), _post("R3", "Posted 30+ Days Ago")]}))], "board string, keyword string, answer string")
@@ -66,7 +66,7 @@ def read_listing(spark: SparkSession, d: str) -> DataFrame:
     return fresh.join(mapped, "id").select("place", "id", "days", "keyword", "location")
 
 
-@query("SELECT * FROM (VALUES ('a', CAST(3 AS BIGINT), true), ('b', 2, false)) t(board, got, complete)")
+@worked("SELECT * FROM (VALUES ('a', CAST(3 AS BIGINT), true), ('b', 2, false)) t(board, got, complete)")
 def read_pages(spark: SparkSession, d: str) -> DataFrame:
     page = lambda ids, total: json.dumps({"totalFound": total, "content": [{"id": i, "name": f"N{i}", "company": {"identifier": "c"}} for i in ids]})
     rows = spark.createDataFrame([("a", 0, page("12", 3)), ("a", 2, page("23", 3)), ("b", 0, page("45", 9))], "board string, offset int, answer string")
@@ -78,7 +78,7 @@ _RSS = """<rss version="2.0"><channel><item><title> Dev </title><link>https://x/
 <item><title>No id</title><link>https://x/offer.aspx</link><category>IT</category></item><item><title>Two</title><link>https://x/o?offerReference=7</link><category>IT</category><category>CDD</category></item></channel></rss>"""
 
 
-@query("SELECT * FROM (VALUES ('25', 'Dev', 'Lyon', 'CDI', '2024-01-02'), ('7', 'Two', '', 'UNKNOWN', NULL)) t(id, title, location, contract, day)")
+@worked("SELECT * FROM (VALUES ('25', 'Dev', 'Lyon', 'CDI', '2024-01-02'), ('7', 'Two', '', 'UNKNOWN', NULL)) t(id, title, location, contract, day)")
 def read_feed_board(spark: SparkSession, d: str) -> DataFrame:
     """An RSS file, written to the shared folder and read by Spark's XML reader."""
     where = f"{shared_dir(spark)}/feed-board"
@@ -87,7 +87,7 @@ def read_feed_board(spark: SparkSession, d: str) -> DataFrame:
     return _shown(postings).select("id", "title", "location", "contract", "day")
 
 
-@query("SELECT * FROM (VALUES ('https://ex.org/a', 'T', 'x'), ('https://ex.org/b', 'B', 'z')) t(url, title, extract)")
+@worked("SELECT * FROM (VALUES ('https://ex.org/a', 'T', 'x'), ('https://ex.org/b', 'B', 'z')) t(url, title, extract)")
 def read_feed(spark: SparkSession, d: str) -> DataFrame:
     items = [("https://Ex.org/a?utm_source=f", "T", "<p>x</p>", "Tue, 02 Jan 2024 03:04:05 +0000"), ("https://ex.org/a", "U", "y", None), ("", "V", "z", None), ("https://ex.org/old", "O", "o", "Mon, 01 Jan 2018 00:00:00 +0000"), ("https://ex.org/b/", "B", "z", None)]
     return boards.feed(spark.createDataFrame(items, boards.SCHEMAS["feed"]), F.lit("2020-01-01").cast("timestamp")).select("url", "title", "extract")
@@ -96,7 +96,7 @@ def read_feed(spark: SparkSession, d: str) -> DataFrame:
 @cases(
     "page string", {"status": "VARCHAR", "board": "VARCHAR", "identifier": "VARCHAR", "platform": "VARCHAR"},
     [
-        ("<a href='https://boards.greenhouse.io/acme/jobs/1'>", "verified", "greenhouse", "acme", None), ("see jobs.lever.co/zed.", "verified", "lever", "zed", None), ("https://x.wd3.myworkdayjobs.com/fr-FR/Careers", "verified", "workday", "Careers", None),
+        ("<a href='https://boards.greenhouse.io/acme/jobs/1'>", "verified", "greenhouse", "acme", None), ("see jobs.lever.co/zed.", "verified", "lever", "zed", None), ("https://x.wd3.myworkdayjobs.com/fr-FR/Careers", "verified", "workday", "x.wd3.myworkdayjobs.com/x/Careers", None), ("https://wd5.myworkdaysite.com/en-US/recruiting/Acme/Jobs_1 ", "verified", "workday", "wd5.myworkdaysite.com/acme/Jobs_1", None), ("https://x.wd3.myworkdayjobs.com/fr-FR", "not_found", None, None, None), ("https://a.eightfold.ai/x", "custom", None, None, "eightfold"),
         ("https://acme.taleo.net/x", "custom", None, None, "taleo"), ("nothing", "not_found", None, None, None), ("https://boards.greenhouse.io/embed/job_board?for=foo", "verified", "greenhouse", "foo", None), ("https://jobs.lever.co/api", "not_found", None, None, None),
     ],
 )
@@ -127,7 +127,7 @@ def article_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", (F.length(text) > 0).alias("there"))
 
 
-@query("SELECT 'a,c' AS ready, 'b,x' AS missing")
+@worked("SELECT 'a,c' AS ready, 'b,x' AS missing")
 def source_factory(spark: SparkSession, d: str) -> DataFrame:
     make = lambda n: lambda: spark.createDataFrame([(n,)], "name string")
     tables, missing = boards.enabled({n: make(n) for n in "abc"}, ["a", "b", "x", "c"], {"b": ["KEY"], "c": ["TOKEN"]}, {"TOKEN": "t"})

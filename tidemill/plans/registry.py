@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Worked cases: they read no table, so they are tests with an expected result each, not queries.
+CASES: dict[str, Query] = {}
+CASES_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -22,6 +25,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def worked(sql: str) -> Callable[[Query], Query]:
+    """Registers a worked case with its expected rows as SQL."""
+
+    def add(f: Query) -> Query:
+        CASES[f.__name__], CASES_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -42,7 +55,7 @@ def constant(value: object) -> str:
 
 
 def cases(given: str, told: dict[str, str], rows: Sequence[tuple]) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
-    """Registers a query over a fixed table of worked cases, with the results that each must have.
+    """Registers a fixed table of worked cases, with the results that each must have.
 
     given is the schema of the inputs, told the result columns with their SQL types; a row has
     the inputs, then the results.  The function gets the inputs with their number n and returns
@@ -56,6 +69,6 @@ def cases(given: str, told: dict[str, str], rows: Sequence[tuple]) -> Callable[[
 
         run.__name__ = f.__name__
         each = [f"SELECT {i} AS n, " + ", ".join(f"CAST({constant(v)} AS {kind}) AS {name}" for v, (name, kind) in zip(r[n_given:], told.items(), strict=True)) for i, r in enumerate(rows)]
-        return query("\nUNION ALL ".join(each))(run)
+        return worked("\nUNION ALL ".join(each))(run)
 
     return add

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -144,23 +145,49 @@ def rss(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.format("xml").schema(schema).option("rowTag", "item").load(path)
 
 
-#: Patterns of boards in pages, and platforms without a public board.
-_ID, _LOCALE = r"[A-Za-z0-9][A-Za-z0-9._-]{0,79}", r"(?:[a-z]{2}(?:[-_][A-Za-z]{2})?/)?"
-BOARDS = [
-    ("workday", rf"(?i)https?://([a-z0-9-]+\.wd\d+)\.myworkdayjobs\.com/{_LOCALE}({_ID})"), ("smartrecruiters", rf"(?i)(?:jobs|careers)\.smartrecruiters\.com/({_ID})"), ("smartrecruiters", rf"(?i)api\.smartrecruiters\.com/v1/companies/({_ID})"),
-    ("greenhouse", rf"(?i)(?:boards|job-boards)\.greenhouse\.io/(?:embed/job_board(?:/js)?\?for=)?({_ID})"), ("greenhouse", rf"(?i)boards-api\.greenhouse\.io/v1/boards/({_ID})"), ("lever", rf"(?i)jobs\.lever\.co/({_ID})"), ("lever", rf"(?i)api\.lever\.co/v0/postings/({_ID})"),
-    ("ashby", rf"(?i)jobs\.ashbyhq\.com/({_ID})"), ("ashby", rf"(?i)api\.ashbyhq\.com/posting-api/job-board/({_ID})"),
-]
+#: Links of public boards, up to the board's identifier; words in its place that are none; platforms without a public board, by parts of their links.
+BOARD_LINKS = {
+    "smartrecruiters": ["jobs.smartrecruiters.com/", "careers.smartrecruiters.com/", "api.smartrecruiters.com/v1/companies/"],
+    "greenhouse": ["boards.greenhouse.io/", "job-boards.greenhouse.io/", "boards.greenhouse.io/embed/job_board?for=", "boards.greenhouse.io/embed/job_board/js?for=", "job-boards.greenhouse.io/embed/job_board?for=", "job-boards.greenhouse.io/embed/job_board/js?for=", "boards-api.greenhouse.io/v1/boards/"],
+    "lever": ["jobs.lever.co/", "api.lever.co/v0/postings/"],
+    "ashby": ["jobs.ashbyhq.com/", "api.ashbyhq.com/posting-api/job-board/"],
+}
 NO_IDS = ["embed", "api", "v0", "v1", "js", "static", "assets", "jobs", "job", "share", "careers", "en", "fr", "en-us", "fr-fr", "search", "apply", "widget"]
-PLATFORMS = [("taleo", r"\.taleo\.net"), ("successfactors", r"successfactors\.(?:com|eu)|jobs\.sap\.com"), ("talentsoft", r"talent-soft\.com|talentsoft\.(?:com|net)"), ("icims", r"\.icims\.com"), ("teamtailor", r"\.teamtailor\.com"), ("workable", r"apply\.workable\.com"), ("recruitee", r"\.recruitee\.com")]
+PLATFORMS = {
+    "taleo": [".taleo.net"], "successfactors": ["successfactors.com", "successfactors.eu", "jobs.sap.com", "career.sapsf"], "talentsoft": ["talent-soft.com", "talentsoft.com", "talentsoft.net"], "oracle_hcm": ["oraclecloud.com/hcmui/candidateexperience"],
+    "icims": [".icims.com"], "teamtailor": [".teamtailor.com"], "welcometothejungle": ["welcometothejungle.com"], "workable": ["apply.workable.com"], "recruitee": [".recruitee.com"], "jobvite": ["jobs.jobvite.com"], "cornerstone": [".csod.com"],
+    "avature": [".avature.net"], "phenom": ["phenompeople.com", "cdn.phenompeople"], "eightfold": [".eightfold.ai"], "digitalrecruiters": ["digitalrecruiters.com"], "jobs_net": [".jobs.net"], "njoyn": [".njoyn.com"], "beetween": ["beetween.com"],
+    "flatchr": ["flatchr.io"], "jobaffinity": ["jobaffinity.fr"],
+}
+_NAME = "[A-Za-z0-9][A-Za-z0-9._-]*"
+
+
+def _workday(page: Column) -> Column:
+    """The Workday boards that a page links to, as host/tenant/site; a language before the site is skipped, and is no site."""
+    links = F.regexp_extract_all(page, F.lit(r"(?i)https?://((?:[a-z0-9-]+\.wd\d+\.myworkdayjobs|wd\d+\.myworkdaysite)\.com/[A-Za-z0-9._/-]+)"), F.lit(1))
+
+    def read(link: Column) -> Column:
+        parts = F.filter(F.split(link, "/"), lambda x: x != "")
+        host = F.lower(F.get(parts, 0))
+        steps = F.filter(F.slice(parts, 2, 100), lambda x: ~x.rlike("(?i)^[a-z]{2}([-_][a-z]{2})?$"))
+        own = F.contains(host, F.lit("myworkdayjobs"))
+        tenant = F.when(own, F.substring_index(host, ".", 1)).when(F.lower(F.get(steps, 0)) == "recruiting", F.lower(F.get(steps, 1)))
+        return F.concat_ws("/", host, tenant, F.when(own, F.get(steps, 0)).otherwise(F.get(steps, 2)))
+
+    return F.filter(F.transform(links, read), lambda x: F.size(F.split(x, "/")) == 3)
 
 
 def detected(page: Column) -> Column:
     """struct(status, board, identifier, platform) of a company's page or link: the first public board by kind, else a known platform, else nothing."""
-    bare = lambda x: F.regexp_replace(x, r"^\.+|\.+$", "")
-    found = [F.filter(F.transform(F.regexp_extract_all(page, F.lit(p), F.lit(2 if kind == "workday" else 1)), bare), (lambda x: ~x.rlike("(?i)^[a-z]{2}([-_][a-z]{2})?$")) if kind == "workday" else (lambda x: ~F.lower(x).isin(NO_IDS))) for kind, p in BOARDS]
-    first = F.coalesce(*[F.when(F.size(f) > 0, F.struct(F.lit(kind).alias("board"), F.get(f, 0).alias("identifier"))) for (kind, _), f in zip(BOARDS, found, strict=True)])
-    platform = F.coalesce(*[F.when(page.rlike(f"(?i){p}"), name) for name, p in PLATFORMS])
+
+    def of(links: list[str]) -> Column:
+        # longer links first, so that what follows a short one is not taken for an identifier
+        named = F.regexp_extract_all(page, F.lit(f"(?i)(?:{'|'.join(re.escape(x) for x in sorted(links, key=len, reverse=True))})({_NAME})"), F.lit(1))
+        return F.filter(F.transform(named, lambda x: F.regexp_replace(x, "[.]+$", "")), lambda x: ~F.lower(x).isin(NO_IDS))
+
+    found = {"workday": _workday(page)} | {kind: of(links) for kind, links in BOARD_LINKS.items()}
+    first = F.coalesce(*[F.when(F.size(f) > 0, F.struct(F.lit(kind).alias("board"), F.get(f, 0).alias("identifier"))) for kind, f in found.items()])
+    platform = F.coalesce(*[F.when(F.lower(page).rlike("|".join(re.escape(x) for x in parts)), name) for name, parts in PLATFORMS.items()])
     return T.let(first, lambda b: F.struct(F.when(b.isNotNull(), "verified").when(platform.isNotNull(), "custom").otherwise("not_found").alias("status"), b["board"].alias("board"), b["identifier"].alias("identifier"), F.when(b.isNull(), platform).alias("platform")))
 
 
