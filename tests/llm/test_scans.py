@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from corpora import corpus
 from pyspark.sql import functions as F
 from tidemill.llm import common as C
@@ -85,7 +86,46 @@ def test_compression_bands_verdicts(spark, sf_dir):
     noise = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(90))
     loop = " ".join(f"{w} again" for w in ["one", "two", "three"] * 300)
     got = {r.doc_id: r.band for r in quality_rules.compression_bands(frame(spark, [(1, text), (2, loop), (3, noise)])).collect()}
-    assert got == {1: "inside", 2: "repetitive", 3: got[3]} and got[3] != "repetitive"
+    assert got == {1: "inside", 2: "repetitive", 3: "incompressible"}
+
+
+def test_ratios_and_bands_against_plain_zstandard(spark, sf_dir):
+    """Ratio, chunk counts, band and kept of whole texts, computed text by text from the library and the tables of limits."""
+    rng = random.Random(8)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars > 300").limit(60).collect()] + ["", "x" * 9000, "ab " * 3000, rng.randbytes(4500).hex(), "é" * 5000, "word " * 40]
+    squeeze, strong = zstandard.ZstdCompressor(level=quality_rules.LEVEL), zstandard.ZstdCompressor(level=quality_rules.STRONG)
+
+    def limits(n):
+        return [x for x in quality_rules.BANDS if n >= x[0]][-1][1:]
+
+    def is_noise(piece):
+        own = [x for x in quality_rules.MIXED if len(piece) >= x[0]]
+        size = len(squeeze.compress(piece))
+        if not own or size <= own[-1][2] * len(piece):
+            return False
+        order = np.argsort(C.spread(np.arange(1, len(piece) + 1, dtype=C.U)))
+        mixed = bytes(piece[i] for i in order)
+        return size > quality_rules.SUSPECT * len(squeeze.compress(mixed)) and len(strong.compress(piece)) > own[-1][1] * len(strong.compress(mixed))
+
+    rows = {r.doc_id: r for r in quality_rules.compression_bands(frame(spark, list(enumerate(texts)))).collect()}
+    bands = set()
+    for i, text in enumerate(texts):
+        data, r = text.encode(), rows[i]
+        pieces = [data[k : k + quality_rules.CHUNK] for k in range(0, len(data), quality_rules.CHUNK)]
+        shares = [len(squeeze.compress(p)) / len(p) for p in pieces]
+        low = sum(s < limits(len(p))[0] for s, p in zip(shares, pieces, strict=True))
+        high = sum(s > limits(len(p))[1] or is_noise(p) for s, p in zip(shares, pieces, strict=True))
+        ratio = len(squeeze.compress(data)) / len(data) if data else 1.0
+        assert (r.n_bytes, r.n_chunks, r.n_low_chunks, r.n_high_chunks) == (len(data), len(pieces), low, high) and r.ratio == pytest.approx(ratio)
+        if low + high > quality_rules.BAD_CHUNKS * len(pieces) or high > quality_rules.NOISE_CHUNKS * len(pieces):
+            band = "repetitive" if low >= high else "incompressible"
+        elif ratio < limits(len(data))[0]:
+            band = "repetitive"
+        else:
+            band = "incompressible" if ratio > limits(len(data))[1] or is_noise(data) else "inside"
+        bands.add(band)
+        assert r.band == band and r.kept == (not r.base_failed and band == "inside")
+    assert bands == {"inside", "repetitive", "incompressible"}
 
 
 @pytest.mark.parametrize("size", [900, 2000, 4096, 20000])
@@ -182,6 +222,31 @@ def example(tree, pick):
     return out
 
 
+def plain_survivors(found):
+    """Detections by priority, then length, then place; what overlaps one that stays goes."""
+    kept = []
+    for d in sorted(found, key=lambda d: (d[1], d[2], d[0], d[3])):
+        if not any(d[0] < k[4] and k[0] < d[4] for k in kept):
+            kept.append(d)
+    return kept
+
+
+def test_license_detections_go_only_by_what_stays(spark):
+    """The middle one of three is better than its neighbours or not; many random ones against the plain form."""
+    rng = random.Random(3)
+    cases = [[(0, -20, -30, "a", 30, 0.5), (5, -10, -10, "c", 15, 0.6), (20, -40, -20, "b", 40, 0.7)], [], [(0, -1, -5, "x", 5, 0.1), (5, -1, -5, "y", 10, 0.2)]]
+    for _ in range(200):
+        starts = [(rng.randrange(60), rng.randrange(1, 15)) for _ in range(rng.randrange(12))]
+        cases.append([(a, -rng.choice([10, 20, 30]), -n, f"l{a}", a + n, float(rng.randrange(1, 9)) / 10) for a, n in starts])
+    kind = "start int, order int, size int, label string, stop int, weight double"
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], f"i int, d array<struct<{kind}>>")
+    got = {r.i: (sorted(r.s.labels), r.s.weight) for r in rows.select("i", license_scan.surviving(F.col("d")).alias("s")).collect()}
+    for i, c in enumerate(cases):
+        kept = plain_survivors(c)
+        assert got[i] == (sorted({d[3] for d in kept}), max((d[5] for d in kept), default=0.0))
+    assert got[0] == (["b", "c"], 0.7)
+
+
 def test_license_rules_hold_their_keywords():
     for label, keyword, pattern, _, _ in license_scan.rules():
         for pick in range(14):

@@ -181,27 +181,34 @@ def detections(lower: Column) -> Column:
 
 
 def surviving(found: Column) -> Column:
-    """Labels and largest weight of the detections that stay, in one pass from left to right: of two that overlap the one of higher priority stays, of equal ones the longer, then the first."""
-    none = F.struct(F.lit(0).alias("order"), F.lit(0).alias("size"), F.lit("").alias("label"), F.lit(-1).alias("stop"), F.lit(0.0).alias("weight"))
-    start = F.struct(none.alias("last"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("weight"))
+    """Labels and largest weight of the detections that stay.
 
-    def step(acc: Column, d: Column) -> Column:
-        last = acc["last"]
-        new = F.struct(d["order"].alias("order"), d["size"].alias("size"), d["label"].alias("label"), d["stop"].alias("stop"), d["weight"].alias("weight"))
-        better = (d["order"] < last["order"]) | ((d["order"] == last["order"]) & (d["size"] < last["size"]))
-        labels, weight = settled(acc)
-        return F.when(d["start"] >= last["stop"], F.struct(new.alias("last"), labels.alias("labels"), weight.alias("weight"))).when(better, F.struct(new.alias("last"), acc["labels"].alias("labels"), acc["weight"].alias("weight"))).otherwise(acc)
+    Detections are taken in order of priority, of equal ones the longer first, then the first;
+    one that overlaps another that stays goes.  So one goes only because of what stays.  They
+    are grouped first, from left to right, into chains of overlaps, which settle by themselves,
+    so the work grows with the chains' lengths, not with the number of detections in a text.
+    """
+    kinds = "array<struct<order:int,size:int,start:int,label:string,stop:int,weight:double>>"
+    none = F.array().cast(kinds)
 
-    def settled(acc: Column) -> tuple[Column, Column]:
-        """The labels and the weight with those of the last detection."""
-        last = acc["last"]
-        return F.when(last["stop"] < 0, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(last["label"]))), F.greatest(acc["weight"], last["weight"])
+    def settled(chain: Column) -> Column:
+        ranked = F.array_sort(F.transform(chain, lambda d: F.struct(*[d[c].alias(c) for c in ("order", "size", "start", "label", "stop", "weight")])))
+        return F.aggregate(ranked, none, lambda kept, d: F.when(F.exists(kept, lambda k: (d["start"] < k["stop"]) & (k["start"] < d["stop"])), kept).otherwise(F.concat(kept, F.array(d))))
+
+    def step(acc: Column, d: Column) -> Column:
+        own = F.array(F.struct(*[d[c].alias(c) for c in ("order", "size", "start", "label", "stop", "weight")]))
+        apart = d["start"] >= acc["stop"]
+        return F.struct(
+            F.when(apart, F.concat(acc["chains"], F.array(acc["chain"]))).otherwise(acc["chains"]).alias("chains"), F.when(apart, own).otherwise(F.concat(acc["chain"], own)).alias("chain"), F.when(apart, d["stop"]).otherwise(F.greatest(acc["stop"], d["stop"])).alias("stop")
+        )
 
     def finish(acc: Column) -> Column:
-        labels, weight = settled(acc)
-        return F.struct(labels.alias("labels"), weight.alias("weight"))
+        return F.flatten(F.transform(F.concat(acc["chains"], F.array(acc["chain"])), settled))
 
-    return F.aggregate(F.array_sort(found), start, step, finish)
+    start = F.struct(F.array().cast(f"array<{kinds}>").alias("chains"), none.alias("chain"), F.lit(-1).alias("stop"))
+    kept = F.aggregate(F.array_sort(found), start, step, finish)
+    labels, most = F.array_distinct(F.transform(kept, lambda d: d["label"])), F.coalesce(F.array_max(F.transform(kept, lambda d: d["weight"])), F.lit(0.0))
+    return F.struct(labels.alias("labels"), most.alias("weight"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

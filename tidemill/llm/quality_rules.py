@@ -3,7 +3,7 @@
 zstandard ratios of the whole document and of fixed chunks are compared with
 limits that depend on the length: a text that shrinks too far repeats itself, one
 that hardly shrinks is noise.  A few counts of the base rules stand beside them.
-One pass over the rows, no shuffle; memory is bounded by one text chunk.
+One pass over the rows, no shuffle; memory grows with the longest text, of which some 30 times its size is held.
 """
 
 from __future__ import annotations
@@ -45,18 +45,20 @@ def band(n: int, bands: tuple = BANDS) -> tuple[float, float]:
     return next((low, high) for least, low, high in reversed(bands) if n >= least)
 
 
-@lru_cache(64)
 def _order(n: int) -> np.ndarray:
-    """A fixed order of n bytes."""
+    """A fixed order of n bytes; that of a long text is made for it and dropped, 16 bytes for each of its own."""
     return np.argsort(C.spread(np.arange(1, n + 1, dtype=C.U)))
 
 
+_short_order = lru_cache(64)(_order)
+
+
 def noisy(piece: bytes, size: int, squeeze: zstandard.ZstdCompressor, strong: zstandard.ZstdCompressor) -> bool:
     """Whether piece, compressed to size by squeeze, shrinks no more than its bytes in mixed order."""
     limit, floor = next(((most, floor) for least, most, floor in reversed(MIXED) if len(piece) >= least), (9.9, 9.9))
     if size <= floor * len(piece):
         return False
-    other = np.frombuffer(piece, dtype=np.uint8)[_order(len(piece))].tobytes()
+    other = np.frombuffer(piece, dtype=np.uint8)[_short_order(len(piece)) if len(piece) <= CHUNK else _order(len(piece))].tobytes()
     return size > SUSPECT * len(squeeze.compress(other)) and len(strong.compress(piece)) > limit * len(strong.compress(other))
 
 
