@@ -114,3 +114,23 @@ def due_in_days(day: Column, index: Column, every: int) -> Column:
 def latest_labels(log: DataFrame, deleted: DataFrame) -> DataFrame:
     """The last label of each key of log (id, key, label) after the deleted ids (id) are gone."""
     return log.join(deleted.select("id"), "id", "left_anti").groupBy("key").agg(F.max_by("label", "id").alias("label"))
+
+
+def setters(at: Column) -> dict[str, dict[str, Column]]:
+    """What each setter of a posting's life writes."""
+    none = F.lit(None).cast("timestamp")
+    return {
+        "mark_checked": {"checked_at": at}, "mark_closed": {"closed_at": at, "checked_at": at}, "mark_open": {"closed_at": none, "checked_at": at},
+        "mark_notified": {"notified_at": at}, "reopen": {"closed_at": none, "checked_at": none},
+    }
+
+
+def set_life(rows: DataFrame, name: str, ids: DataFrame, at: Column) -> DataFrame:
+    """rows (id, closed_at, checked_at, notified_at and others) after a setter was given ids (id)."""
+    return set_marks(rows, ids.select("id").distinct(), **setters(at)[name])
+
+
+def reset_notified(rows: DataFrame, since: Column, duplicates: DataFrame) -> DataFrame:
+    """rows (id, tier, notified_at and others): those kept, no duplicates (id), and notified from since on count as not notified."""
+    again = rows.where(F.col("tier").isin("ELIGIBLE", "STRETCH") & (F.col("notified_at") >= since)).join(duplicates.select("id"), "id", "left_anti")
+    return set_marks(rows, again.select("id"), notified_at=F.lit(None).cast("timestamp"))

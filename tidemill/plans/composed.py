@@ -356,3 +356,94 @@ def outage_ladder(spark: SparkSession, d: str) -> DataFrame:
         F.count_if(value > 150).alias("fetched"), F.count("*").alias("attempted"), F.count_if(F.col("event_id") % 4 == 0).alias("failed"), F.create_map(*[x for b in range(3) for x in (F.lit(f"b{b}"), board(b))]).alias("boards")
     )
     return lifecycle.outages(runs, 3, 1, 0.3, 3).select("source", "run", "kind", "mean", F.array_join("boards", ",").alias("down"))
+
+
+_HASH = "repeat('ab', 32)"
+
+
+@composed(
+    {"skill": ["'ansible'", "'go' || k", "'azure'", "'ansible'"], "score": ["k", "k + 20", "-n", "n"], "day": ["'2024-03-' || (10 + n)", "'2024-02-' || (25 + n)", "NULL", "'2024-03-1'"], "status": ["'200'", "NULL", "CAST(n AS STRING)", "'429'"], "counters": ["'{\"calls\":' || k || '}'", "'{\"calls\":-' || k || '}'", "'[]'", "'{}'"]},
+    {"skill_ok": ("BOOLEAN", ["true", "false", "true", "true"]), "usage_ok": ("BOOLEAN", ["true", "n <= 4", "false", "false"]), "disagreement_ok": ("BOOLEAN", ["true", "k <= 80", "false", "true"]), "run_ok": ("BOOLEAN", ["true", "false", "false", "true"])},
+)
+def mirror_rows(rows: DataFrame) -> DataFrame:
+    """Validators of the other mirrored rows: skill choices, usage, disagreements and runs."""
+    at, number = F.lit("2024-01-01T00:00:00"), F.abs("score").cast("string")
+    skill = _entries(skill=F.col("skill"), created_at=at)
+    usage = _entries(day=F.col("day"), provider=F.lit("p"), model=F.lit("m"), calls=number, tokens_in=number, tokens_out=number)
+    differ = _entries(id=F.col("o_orderkey") + 1, job_key=F.lit("jobs:1"), hash=F.expr(_HASH), python_score=F.col("score"), python_section=F.lit("strong"), ai_score=F.lit("5"), ai_level=F.lit("bon"), kind=F.lit("gap"), created_at=at)
+    ran = _entries(id=F.col("o_orderkey") + 1, started_at=at, finished_at=at, outcome=F.lit("ok"), http_status=F.col("status"), provider=F.lit(None), counters=F.col("counters"))
+    return rows.select("o_orderkey", validation.skill_override(skill, ["ansible", "azure"]).alias("skill_ok"), validation.usage(usage, ["p"]).alias("usage_ok"), validation.disagreement(differ, ["bon"], ["gap"]).alias("disagreement_ok"), validation.run(ran, ["ok"], ["p"]).alias("run_ok"))
+
+
+@composed(
+    {
+        "application": ["'{\"status\":\"applied\",\"applied_at\":\"2024-02-' || (20 + n) || '\",\"note\":\"\"}'", "'{\"status\":\"lost' || k || '\"}'", "'{\"status\":\"applied\",\"more\":' || k || '}'", "'[' || k || ']'", "'{\"status\":\"applied\",\"note\":' || k || '}'", "'{\"status\":\"applied\",\"cv_url\":\"http://x/' || k || '\"}'"],
+        "decision": ["'{\"job_key\":\"jobs:' || c || '\",\"label\":\"good_fit\",\"score_at_decision\":' || k || '}'", "'{\"job_key\":\"no key\",\"label\":\"good_fit\"}'", "'{\"job_key\":\"jobs:' || c || '\",\"label\":\"nice\"}'", "'{\"job_key\":\"jobs:' || c || '\",\"label\":\"good_fit\",\"score_at_decision\":\"' || k || '\"}'", "'{\"job_key\":\"jobs:' || c || '\",\"label\":\"good_fit\",\"score_at_decision\":' || (k + 50) || '}'", "'no json ' || k"],
+        "message": ["'{\"message_id\":\"m' || k || '\",\"text\":\"\",\"date\":\"2024-01-02T03:04:05Z\"}'", "'{\"message_id\":\"m ' || k || '\",\"text\":\"x\"}'", "'{\"message_id\":\"m' || k || '\",\"subject\":' || n || ',\"text\":\"x\"}'", "'{\"message_id\":\"m' || k || '\",\"date\":\"soon\",\"text\":\"x\"}'", "'{\"message_id\":\"m' || k || '\"}'", "'{\"message_id\":\"m' || k || '\",\"from\":\"\",\"text\":\"x\"}'"],
+        "action": ["'{\"action\":\"correct\",\"application_key\":\"jobs:' || c || '\",\"kind\":\"refus\"}'", "'{\"action\":\"correct\",\"kind\":\"refus\"}'", "'{\"action\":\"x' || k || '\"}'", "'{\"action\":\"confirm\",\"kind\":\"x' || k || '\"}'", "'{\"action\":\"ignore\",\"application_key\":\"\"}'", "'{\"action\":\"confirm\",\"interview_at\":\"1999-01-0' || n || '\"}'"],
+    },
+    {
+        "application_error": ("VARCHAR", ["NULL", "'status: not an allowed value'", "'body: unknown field'", "'body: must be a JSON object'", "'note: must be text of at most 2000 characters'", "'cv_url: must be an https URL'"]),
+        "decision_error": ("VARCHAR", ["NULL", "'job_key: invalid'", "'label: not an allowed value'", "'score_at_decision: must be an integer 0-100 or null'", "CASE WHEN k > 50 THEN 'score_at_decision: must be an integer 0-100 or null' END", "'body: must be a JSON object'"]),
+        "message_error": ("VARCHAR", ["NULL", "'message_id: invalid'", "'subject: must be text'", "'date: must be an ISO date'", "'text: must be text'", "NULL"]),
+        "action_error": ("VARCHAR", ["NULL", "'correct: needs application_key and kind'", "'action: not an allowed value'", "'kind: not an allowed value'", "NULL", "'interview_at: must be YYYY-MM-DD'"]),
+    },
+)
+def body_rows(rows: DataFrame) -> DataFrame:
+    """The first rule that a call's body breaks, for the four kinds of bodies."""
+    return rows.select(
+        "o_orderkey", validation.application_body(F.col("application"), _STATUSES).alias("application_error"), validation.decision_body(F.col("decision"), _LABELS).alias("decision_error"),
+        validation.message_body(F.col("message")).alias("message_error"), validation.action_body(F.col("action"), ["confirm", "correct", "ignore"], ["refus", "entretien"]).alias("action_error"),
+    )
+
+
+_AT = "2024-05-01 00:00:00"
+_LIFE = f"""s0 AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'REJECTED' ELSE 'ELIGIBLE' END AS tier, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END AS closed_at, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS checked_at, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS notified_at FROM orders)"""
+
+
+@query(
+    f"""WITH {_LIFE} SELECT id, CASE WHEN id % 11 IN (2, 4) THEN NULL WHEN id % 11 = 1 THEN TIMESTAMP '{_AT}' ELSE closed_at END AS closed_at, CASE WHEN id % 11 = 4 THEN NULL WHEN id % 11 IN (0, 1, 2) THEN TIMESTAMP '{_AT}' ELSE checked_at END AS checked_at,
+  CASE WHEN id % 11 = 3 AND NOT (tier = 'ELIGIBLE' AND id % 7 <> 0) THEN TIMESTAMP '{_AT}' WHEN id % 11 = 3 THEN NULL WHEN tier = 'ELIGIBLE' AND notified_at >= TIMESTAMP '1996-01-01' AND id % 7 <> 0 THEN NULL ELSE notified_at END AS notified_at FROM s0"""
+)
+def life_setters(spark: SparkSession, d: str) -> DataFrame:
+    """All six setters one after the other: checked, closed, open, notified, reopened, and notices reset since a day."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    rows = table(spark, d, "orders").select(k.alias("id"), F.when(F.col("o_orderstatus") == "F", "REJECTED").otherwise("ELIGIBLE").alias("tier"), F.when(k % 4 == 0, day).alias("closed_at"), F.when(k % 2 == 0, day).alias("checked_at"), F.when(k % 5 != 0, day).alias("notified_at"))
+    for i, name in enumerate(("mark_checked", "mark_closed", "mark_open", "mark_notified", "reopen")):
+        rows = lifecycle.set_life(rows, name, rows.where(F.col("id") % 11 == i), F.lit(_AT).cast("timestamp"))
+    reset = lifecycle.reset_notified(rows, F.lit("1996-01-01").cast("timestamp"), rows.where("id % 7 = 0"))
+    return reset.select("id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("closed_at", "checked_at", "notified_at")])
+
+
+@query(
+    """SELECT 'source' AS grouping, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'company', CAST(o_custkey AS VARCHAR), count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'board', o_orderstatus, count(*) FROM orders GROUP BY 2 UNION ALL SELECT 'department', coalesce(CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 6 AS VARCHAR) END, '?'), count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'area', CASE WHEN o_orderkey % 6 IN (1, 2) THEN 'north' ELSE 'other' END, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'keyword', w, count(*) FROM (SELECT unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['devops', 'sre'] ELSE ['sre'] END) AS w FROM orders) GROUP BY 2"""
+)
+def grouped_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by source, company, board, department (? where unknown), area and keyword, in one pass over the rows."""
+    k = F.col("o_orderkey")
+    keyed = {"source": F.col("o_orderpriority"), "company": F.col("o_custkey").cast("string"), "board": F.col("o_orderstatus"), "department": F.coalesce(F.when(k % 6 != 0, (k % 6).cast("string")), F.lit("?")), "area": F.when((k % 6).isin(1, 2), "north").otherwise("other")}
+    words = F.when(k % 2 == 0, F.array(F.lit("devops"), F.lit("sre"))).otherwise(F.array(F.lit("sre")))
+    one = lambda name, key: F.struct(F.lit(name).alias("grouping"), key.alias("key"))
+    each = F.concat(F.array(*[one(name, key) for name, key in keyed.items()]), F.transform(words, lambda w: one("keyword", w)))
+    return table(spark, d, "orders").select(F.explode(each).alias("g")).groupBy("g.grouping", "g.key").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey % 5 AS source, o_orderkey % 8 AS k, o_orderdate AS kept, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) END AS sent FROM orders)
+SELECT source, count(*) AS seen, count(*) FILTER (WHERE k > 0) AS kept, count(*) FILTER (WHERE k > 2) AS sent, count(*) FILTER (WHERE k > 4) AS replies, count(*) FILTER (WHERE k = 7) AS interviews, count(*) FILTER (WHERE k IN (5, 6)) AS refusals,
+  round(count(*) FILTER (WHERE k > 4) / nullif(count(*) FILTER (WHERE k > 2), 0), 4) AS reply_rate, round(count(*) FILTER (WHERE k = 7) / nullif(count(*) FILTER (WHERE k > 4), 0), 4) AS interview_rate,
+  round(avg(date_diff('day', CAST(kept AS DATE), CAST(sent AS DATE))) FILTER (WHERE k > 2), 4) AS mean_days, count(*) FILTER (WHERE k > 2 AND sent IS NULL) AS undated FROM s GROUP BY source"""
+)
+def funnel_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: seen, kept, sent, replies, interviews and refusals, their rates, the mean delay, and what has no date."""
+    order, sent_at = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 3 != 0, F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 20).cast("int")))
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("source"), (order % 8).alias("k"), F.to_date("o_orderdate").alias("kept_at"), sent_at.alias("sent_at"))
+    k = F.col("k")
+    return rows.groupBy("source").agg(
+        F.count("*").alias("seen"), F.count_if(k > 0).alias("kept"), F.count_if(k > 2).alias("sent"), F.count_if(k > 4).alias("replies"), F.count_if(k == 7).alias("interviews"), F.count_if(k.isin(5, 6)).alias("refusals"),
+        F.round(F.try_divide(F.count_if(k > 4), F.count_if(k > 2)), 4).alias("reply_rate"), F.round(F.try_divide(F.count_if(k == 7), F.count_if(k > 4)), 4).alias("interview_rate"),
+        F.round(F.avg(F.when(k > 2, F.datediff("sent_at", "kept_at"))), 4).alias("mean_days"), F.count_if((k > 2) & F.col("sent_at").isNull()).alias("undated"),
+    )
