@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import relational as R
 from ..operators import scoring, similarity
+from ..operators.storage import cut
 from .extraction import _CORE, _NAMES
 
 _WORDS = "kubernetes docker linux python terraform ansible cloud aws azure reseau securite ci cd deploiement equipe projet client agile production supervision incident astreinte documentation architecture".split()
@@ -47,7 +48,8 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 def run(stored: DataFrame, new: DataFrame, window: int = 30) -> DataFrame:
     """stored (normalised, with tier) and new merged: every new posting with its tier, reasons, parent and score."""
-    judged = scoring.evaluate(normalised(new), GATE, title=F.col("title"), company=F.col("company"), contract=F.col("contract"), text=F.col("description"), location_ok=F.lit(True))
+    # gated once: both the links and the scores read the gated postings
+    judged = cut(scoring.evaluate(normalised(new), GATE, title=F.col("title"), company=F.col("company"), contract=F.col("contract"), text=F.col("description"), location_ok=F.lit(True)))
     every = stored.select(*[c for c in judged.columns if c in stored.columns]).unionByName(judged, allowMissingColumns=True)
     posts = every.select("id", "at", F.col("company_normalized").alias("company"), F.col("title_normalized").alias("title"), "place", "fp", "text", (F.col("tier") == "REJECTED").alias("rejected"))
     links = similarity.links(posts, window).select(F.col("child").alias("id"), "parent", "reason", "similarity")

@@ -74,7 +74,10 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     return streams.run_available(streams.distinct_by_keys(events, ["user_id", "event_type"], "ts", "30 days")).select("user_id", "event_type")
 
 
-_ANSWER = F.when(F.col("event_type").isin("view", "signup"), "seen").when(F.col("event_type") == "click", "open").when(F.col("event_type") == "error", "closed").otherwise("unknown")
+def _answer() -> Column:
+    return F.when(F.col("event_type").isin("view", "signup"), "seen").when(F.col("event_type") == "click", "open").when(F.col("event_type") == "error", "closed").otherwise("unknown")
+
+
 _DUE = f"known AND closed IS NULL AND NOT asked AND r.t >= checked + {24 * HOUR}"
 
 
@@ -92,12 +95,17 @@ UNION ALL SELECT key, NULL, checked + {24 * HOUR}, 'due' FROM (SELECT *, row_num
 )
 def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Offers opened, checked, closed, and due 24 hours after the last check, by value state and a timer."""
-    return _fold(spark, d, stateful.Lifecycle(24 * HOUR), _ANSWER).select(F.col("key").alias("user_id"), F.col("number").alias("event_id"), F.col("at").alias("at_us"), "status")
+    return _fold(spark, d, stateful.Lifecycle(24 * HOUR), _answer()).select(F.col("key").alias("user_id"), F.col("number").alias("event_id"), F.col("at").alias("at_us"), "status")
 
 
 _STUCK, _BACKOFF = 12 * HOUR, 36 * HOUR
-_COMMAND = F.when(F.col("event_type") == "signup", "request").when(F.col("event_type") == "view", "take").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", F.when(F.col("event_id") % 2 == 0, "take").otherwise("request"))
-_COMMAND = _COMMAND.otherwise(F.when(F.col("event_id") % 3 == 0, "cut").when(F.col("event_id") % 3 == 1, "credit").otherwise("refused"))
+
+
+def _command() -> Column:
+    kind, k = F.col("event_type"), F.col("event_id")
+    first = F.when(kind == "signup", "request").when(kind == "view", "take").when(kind == "purchase", "done").when(kind == "click", F.when(k % 2 == 0, "take").otherwise("request"))
+    return first.otherwise(F.when(k % 3 == 0, "cut").when(k % 3 == 1, "credit").otherwise("refused"))
+
 
 
 @query(
@@ -119,7 +127,7 @@ UNION ALL SELECT key, NULL, due_at, CASE status WHEN 'running' THEN 'requeued' E
 )
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     """The document queue: requests, runs, one retry, stuck runs back after 12 hours and credit stops after 36, by timers."""
-    out = _fold(spark, d, stateful.Queue(_STUCK, _BACKOFF), _COMMAND)
+    out = _fold(spark, d, stateful.Queue(_STUCK, _BACKOFF), _command())
     return out.select(F.col("key").alias("user_id"), F.col("number").alias("event_id"), F.col("at").alias("at_us"), "cause", F.col("before").alias("from_state"), F.col("after").alias("to_state"), "attempts")
 
 
