@@ -25,3 +25,10 @@ def markdown_row(*cells: Column) -> Column:
     """A row of a Markdown table; bars and line ends in cells are escaped."""
     clean = [F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ") for c in cells]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *clean), F.lit(" |"))
+
+
+def evidence_lines(told: Column, most: int = 3) -> Column:
+    """told (field, said) as lines of a sentence and its fields: sentences in the order of their first field, most at most; what was not said is left out."""
+    known = F.filter(told, lambda x: x["said"].isNotNull())
+    sentences = F.slice(F.array_distinct(F.transform(known, lambda x: x["said"])), 1, most)
+    return F.transform(sentences, lambda s: F.concat(s, F.lit(": "), F.array_join(F.transform(F.filter(known, lambda x: x["said"] == s), lambda x: x["field"]), ", ")))

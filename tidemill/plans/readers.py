@@ -120,11 +120,17 @@ def unknown_postings(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("source_job_id").cast("bigint").alias("o_orderkey"))
 
 
-@query("SELECT page_id, len(html) > 0 AS there FROM pages")
+_LINES = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, sha256(array_to_string({_LINES}, chr(10))) AS text_sha256, CAST(len({_LINES}) AS BIGINT) AS n_lines FROM documents")
 def article_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The readable text of article pages: markup to text; a page that cannot be read has none."""
-    text = T.html_text(F.col("html"))
-    return table(spark, d, "pages").select("page_id", (F.length(text) > 0).alias("there"))
+    """The readable text of article pages, here made of documents: signs escaped, a block per line, and links, scripts of style and line breaks of markup around."""
+    signs = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;")), F.lit(">"), F.lit("&amp;gt;"))
+    page = F.concat(F.lit("<div class='a'><p>"), F.regexp_replace(signs, "\n", "</p><p>"), F.lit("</p><br/></div>"))
+    text = T.html_text(page)
+    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha256"), F.size(lines).cast("bigint").alias("n_lines"))
 
 
 @worked("SELECT 'a,c' AS ready, 'b,x' AS missing")

@@ -212,7 +212,13 @@ def date_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", big(F.greatest(gap, F.lit(0))).alias("age"), F.when(gap > 0, F.concat(F.lit("late "), gap, F.lit(" d"))).otherwise("today").alias("overdue"), F.to_date(F.date_trunc("week", "o_orderdate")).cast("string").alias("week"))
 
 
-@query("SELECT doc_id, list_distinct(list_transform(string_split(source || ',' || lang || ',' || source, ','), lambda x: lower(x)))[1:3] IS NOT NULL AS listed, len(list_distinct(string_split(source || ',' || lang || ',' || source, ','))) AS n FROM documents")
+@query(
+    """SELECT doc_id, array_to_string(list_filter([source || ': amount, company', coalesce(lang, '?') || CASE WHEN doc_id % 2 = 0 THEN ': round, hiring' ELSE ': round' END, CASE WHEN doc_id % 2 = 1 THEN 'x' || doc_id || ': hiring' END], lambda x: x IS NOT NULL)[1 : CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 3 END], '|') AS lines FROM documents WHERE source IS NOT NULL"""
+)
 def evidence_lines(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.array_distinct(F.array("source", "lang", "source"))
-    return table(spark, d, "documents").select("doc_id", F.slice(parts, 1, 3).isNotNull().alias("listed"), big(F.size(parts)).alias("n"))
+    """Fields by the sentence that tells them, sentences in the order of their first field, three at most (two for every fifth row)."""
+    rows = table(spark, d, "documents").where("source IS NOT NULL")
+    lang, k = F.coalesce("lang", F.lit("?")), F.col("doc_id")
+    told = F.array(*[F.struct(F.lit(field).alias("field"), said.alias("said")) for field, said in (("amount", F.col("source")), ("round", lang), ("company", F.col("source")), ("hiring", F.when(k % 2 == 0, lang).otherwise(F.concat(F.lit("x"), k))))])
+    few, many = rendering.evidence_lines(told, 2), rendering.evidence_lines(told, 3)
+    return rows.select("doc_id", F.array_join(F.when(k % 5 == 0, few).otherwise(many), "|").alias("lines"))
