@@ -10,6 +10,8 @@ that stays is suppressed.  Everything happens within the row: no shuffle, no joi
 
 from __future__ import annotations
 
+from re import _parser as parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,27 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return sorted(out, key=lambda r: -r[3])
 
 
+#: What most rules' matches hold besides the keyword.
+COMMON = "licen"
+
+
+def must_hold(pattern: str, word: str) -> bool:
+    """Whether every match of a pattern holds word, as far as its parts tell."""
+
+    def part(op: object, value: tuple) -> bool:
+        if op is parser.SUBPATTERN:
+            return sequence(value[-1])
+        if op is parser.MAX_REPEAT or op is parser.MIN_REPEAT:
+            return value[0] > 0 and sequence(value[2])
+        return op is parser.BRANCH and all(sequence(x) for x in value[1])
+
+    def sequence(items: object) -> bool:
+        run = "".join(chr(value) if op is parser.LITERAL else "\0" for op, value in items)
+        return word in run or any(part(op, value) for op, value in items)
+
+    return sequence(parser.parse(pattern))
+
+
 def phrase_places(words: Column) -> Column:
     """(start, label) of each place where a base phrase stands in words."""
 
@@ -160,12 +183,18 @@ def phrase_places(words: Column) -> Column:
 
 def detections(lower: Column) -> Column:
     """(start, size, order, stop, label, weight) of all rules' matches in a text without runs of white space; size and order are negative, so that they sort."""
-    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight")) for a, k, p, n, w in rules()])
+    by_keyword: dict[str, list[tuple]] = {}
+    for rule in rules():
+        by_keyword.setdefault(rule[1], []).append(rule)
+    one = lambda a, p, n, w: F.struct(F.lit(a).alias("label"), F.lit(must_hold(p, COMMON)).alias("common"), F.lit(p).alias("pattern"), F.lit(-n).alias("order"), F.lit(w).alias("weight"))
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.array(*[one(a, p, n, w) for a, _, p, n, w in own]).alias("rules")) for k, own in by_keyword.items()])
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<order:int,size:int,start:int,stop:int,label:string,weight:double>>").alias("all"))
 
     def matches(rule: Column) -> Column:
-        # what stands between the matches, and the matches
-        gaps = F.transform(F.split(lower, rule["pattern"]), lambda x: F.length(x))
+        # what stands between the matches, and, if there are any, the matches
+        return F.get(F.transform(F.array(F.transform(F.split(lower, rule["pattern"]), lambda x: F.length(x))), lambda gaps: told(rule, gaps)), 0)
+
+    def told(rule: Column, gaps: Column) -> Column:
         sizes = F.transform(F.regexp_extract_all(lower, rule["pattern"], F.lit(0)), lambda x: F.length(x))
 
         def placed(acc: Column, s: Column) -> Column:
@@ -176,7 +205,10 @@ def detections(lower: Column) -> Column:
         steps = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda s: s["size"].isNotNull())
         return F.when(F.size(gaps) > 1, F.aggregate(steps, none, placed)["all"]).otherwise(none["all"])
 
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.contains(lower, r["keyword"])), matches))
+    # a keyword is looked for once for all its rules, and what most rules need once for all
+    at_hand = F.flatten(F.transform(F.filter(table, lambda k: F.contains(lower, k["keyword"])), lambda k: k["rules"]))
+    rest = F.when(F.contains(lower, F.lit(COMMON)), at_hand).otherwise(F.filter(at_hand, lambda r: ~r["common"]))
+    found = F.flatten(F.transform(rest, matches))
     return F.transform(found, lambda d: F.struct(d["start"].alias("start"), d["order"].alias("order"), d["size"].alias("size"), d["label"].alias("label"), d["stop"].alias("stop"), d["weight"].alias("weight")))
 
 
