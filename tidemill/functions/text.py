@@ -41,7 +41,8 @@ def ranges(chars: Iterable[str]) -> str:
 
 _ONE, _OTHER = _decomposed()
 #: Those that become several characters: a cheap test that most texts fail, and the exact one.
-_MAYBE_OTHER = ranges(c for c in _OTHER if c < "\u0250") + r"|[^\x{0}-\x{24F}]"
+_USUAL = "".join(c for c in "–—‘’“”„•€" if c not in _OTHER)
+_MAYBE_OTHER = ranges(c for c in _OTHER if c < "\u0250") + r"|[^\x{0}-\x{24F}" + _USUAL + "]"
 _OTHER_CLASS = ranges(_OTHER)
 #: Marks that combine; those of class 0 are signs like any other.
 _MARKS = r"(?:(?=\p{M})" + ranges(chr(c) for c in range(0x300, 0x1E94B) if unicodedata.combining(chr(c))) + ")+"
@@ -60,6 +61,8 @@ CONTRACTS = [
 ]
 #: Written numbers.
 NUMBERS = {w: n for n, ws in enumerate([("un", "une", "one"), ("deux", "two"), ("trois", "three"), ("quatre", "four"), ("cinq", "five"), ("six",), ("sept", "seven"), ("huit", "eight"), ("neuf", "nine"), ("dix", "ten")], 1) for w in ws}
+#: A character that no text should hold.
+_SIGN = "\uffff"
 #: Query parameters that only track.
 TRACKING = r"^(utm_(source|medium|campaign|term|content)|ref|source|fbclid|gclid|msclkid)(=|$)"
 
@@ -249,10 +252,10 @@ def description_excerpt(text: Column, most: int = 5000) -> Column:
 def places(text: Column, pattern: str) -> Column:
     """array<struct<start, stop, found>> of all matches of pattern, from left to right, characters from 0.
 
-    pattern has no groups of its own and matches no empty text.
+    pattern has no groups of its own and matches no empty text.  One pass puts a sign around
+    each match; the few texts that hold the sign themselves are searched match by match.
     """
     whole = rf"(?s)\G(.*?)({pattern})"  # \G: without it a text without a match is searched anew from each place
-    steps = F.arrays_zip(F.regexp_extract_all(text, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(whole), F.lit(2)).alias("hit"))
     none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("all"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -260,7 +263,17 @@ def places(text: Column, pattern: str) -> Column:
         stop = start + F.length(s["hit"])
         return F.struct(stop.alias("end"), F.concat(acc["all"], F.array(F.struct(start.alias("start"), stop.alias("stop"), s["hit"].alias("found")))).alias("all"))
 
-    return F.aggregate(steps, none, step)["all"]
+    def told(parts: Column) -> Column:
+        """From gap, match, gap, match and so on, with a gap at the end."""
+        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 3, F.lit(2)), lambda i: F.struct(F.get(parts, i).alias("gap"), F.get(parts, i + 1).alias("hit")))
+        return F.when(F.size(parts) < 3, none["all"]).otherwise(F.aggregate(pairs, none, step)["all"])
+
+    def matches(t: Column) -> Column:
+        slow = F.arrays_zip(F.regexp_extract_all(t, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(t, F.lit(whole), F.lit(2)).alias("hit"))
+        marked = let(F.split(F.regexp_replace(t, f"(?:{pattern})", f"{_SIGN}$0{_SIGN}"), _SIGN), told)
+        return F.when(F.contains(t, F.lit(_SIGN)), F.aggregate(slow, none, step)["all"]).when(t.isNotNull(), marked)
+
+    return let(text, matches)
 
 
 def snippet(text: Column, start: Column, stop: Column, most: int = 160) -> Column:

@@ -30,10 +30,38 @@ def flat(text: Column) -> Column:
 
 
 def any_of(phrases: Iterable[str]) -> str:
-    """A pattern of whole phrases of flat text, longer ones first; a star at the end of a word stands for any more letters."""
-    one = lambda p: r" +".join(re.escape(w.rstrip("*")) + (r"\p{L}*" if w.endswith("*") else "") for w in p.split(" "))
-    edge = lambda p: (r"(?<![\p{L}\p{N}])" if p[0].isalnum() else "") + one(p) + (r"(?![\p{L}\p{N}])" if p[-1].isalnum() or p[-1] == "*" else "")
-    return "(?:" + "|".join(edge(p) for p in sorted(phrases, key=lambda p: (-len(p), p))) + ")"
+    """A pattern of whole phrases of flat text, longer ones first; a star at the end of a word stands for any more letters.
+
+    What phrases begin with alike is written once, behind one test of the word's edge, so that a
+    place costs a step or two however many phrases there are.
+    """
+    listed = sorted(dict.fromkeys(phrases), key=lambda p: (-len(p), p))
+    words, signs = [p for p in listed if p[0].isalnum()], [p for p in listed if not p[0].isalnum()]
+    # phrases of different first letters never match at one place, so their order is free
+    return "(?:" + "|".join(([r"(?<![\p{L}\p{N}])" + _branches(words, 0)] if words else []) + ([_branches(signs, 0)] if signs else [])) + ")"
+
+
+def _rest(phrase: str, at: int) -> str:
+    """The pattern of a phrase from a place on, with its end."""
+    return "".join(_letter(c) for c in phrase[at:]) + (r"(?![\p{L}\p{N}])" if phrase[-1].isalnum() or phrase[-1] == "*" else "")
+
+
+def _letter(c: str) -> str:
+    return " +" if c == " " else r"\p{L}*" if c == "*" else re.escape(c)
+
+
+def _branches(phrases: list[str], at: int) -> str:
+    """Phrases that are equal up to a place, in order, from there on; where a star stands next, the order decides, and they are listed."""
+    if len(phrases) == 1:
+        return _rest(phrases[0], at)
+    if any(p[at : at + 1] == "*" for p in phrases):
+        return "(?:" + "|".join(_rest(p, at) for p in phrases) + ")"
+    groups: dict[str, list[str]] = {}
+    for p in phrases:
+        groups.setdefault(p[at : at + 1], []).append(p)
+    ended = groups.pop("", None)  # the shortest, so the last
+    parts = [_letter(c) + _branches(own, at + 1) for c, own in groups.items()] + ([_rest(ended[0], at)] if ended else [])
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 def each(*parts: str | Iterable[str]) -> list[str]:

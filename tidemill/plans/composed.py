@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions import funding as U
 from ..functions import text as T
+from ..functions import wording as W
 from ..operators import lifecycle, scoring, validation
 from ..operators.storage import shared_dir
 from ..sources import boards
@@ -33,7 +34,8 @@ def composed(given: dict[str, list[str]], told: dict[str, tuple[str, list[str]]]
     def add(f: Callable[[DataFrame], DataFrame]) -> object:
         def run(spark: SparkSession, d: str) -> DataFrame:
             table(spark, d, "orders").createOrReplaceTempView("_orders")
-            rows = spark.sql(_FROM.replace("FROM orders", "FROM _orders"))
+            # a row costs far more than its bytes tell: rows are dealt over all tasks, as a file may be a single one
+            rows = spark.sql(_FROM.replace("FROM orders", "FROM _orders")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
             return f(rows.select("o_orderkey", *[F.expr(case(options)).alias(name) for name, options in given.items()]))
 
         run.__name__ = f.__name__
@@ -106,9 +108,9 @@ _STORIES = [
     },
 )
 def funding_story_rows(rows: DataFrame) -> DataFrame:
-    s = F.col("s")
-    found = rows.withColumn("f", U.funding_sentence(s)).withColumn("named", U.company_before(s, F.col("f.anchor")))
-    return found.select("o_orderkey", "named", F.array_join(U.investors(s, F.col("named")), "|").alias("investors"), U.hiring(s).alias("hiring"), U.location(s).alias("place"), U.country(s, _COUNTRIES).alias("country"))
+    s, plain = F.col("s"), F.col("plain")
+    found = rows.withColumn("plain", W.flat(s)).withColumn("f", U.funding_sentence(s, plain)).withColumn("named", U.company_before(s, F.col("f.anchor")))
+    return found.select("o_orderkey", "named", F.array_join(U.investors(s, F.col("named"), plain), "|").alias("investors"), U.hiring(s, plain).alias("hiring"), U.location(s, plain).alias("place"), U.country(s, _COUNTRIES, plain).alias("country"))
 
 
 @composed(
