@@ -4,6 +4,7 @@ import json
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 from tidemill.sources import paged
 
 
@@ -59,3 +60,16 @@ def test_since_stops_the_listing(spark, folder, tmp_path):
 
 def test_an_empty_folder(spark, tmp_path):
     assert paged.paged(spark, f"file://{tmp_path}/none", keywords=[], departments=[]).collect() == []
+
+
+def test_an_export_needs_no_folder_a_page(spark, tmp_path):
+    """60 pages of two listings lie in two files, and are read as pages."""
+    where, n = tmp_path / "answers", 120
+    rows = spark.range(n).selectExpr("IF(id % 2 = 0, 'dev', 'ops') AS keyword", "'75' AS department", "format_string('2024-01-01T%04d', id) AS published", "id")
+    item = F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.col("published").alias("dateCreation")))
+    paged.export_answers(rows, f"file://{where}", item, 2, F.when(F.col("id") == 11, 400))
+    assert len(list(where.rglob("part-*.txt"))) == 2
+    got = {r.keyword: (r.pages, r.n, r.total, r.complete, r.ended_by) for r in paged.paged(spark, f"file://{where}", page=2, window=200, report=True).collect()}
+    assert got == {"dev": (30, 60, 60, True, "total"), "ops": (28, 54, 60, False, "error")}
+    read = paged.paged(spark, f"file://{where}", page=2, window=7, keywords=["dev"]).orderBy("place").collect()
+    assert [(r.place, r.published) for r in read] == [(k, f"2024-01-01T{118 - 2 * k:04d}") for k in range(7)]

@@ -1,13 +1,16 @@
 """Paged listings as a data source: one partition per (keyword, department), read page by page from a folder of answers.
 
 A listing is asked for each keyword in each department, newest first, with an offset; a source
-serves a window of offsets at most.  Answers lie in <path>/keyword=K/department=D/offset=N, a
-JSON object a line with the list of results and their total number.  No answer at an offset
-means that nothing more came; an answer with an error status ends the listing there.
+serves a window of offsets at most.  An answer is a JSON object with the list of results and
+their total number; it lies in <path>/keyword=K/department=D/offset=N, or, with its offset and
+a tab before it, in a line of <path>/keyword=K/department=D/block=B, which holds BLOCK pages.
+No answer at an offset means that nothing more came; an answer with an error status ends the
+listing there.
 """
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +24,8 @@ from pyspark.sql.types import StructType
 
 #: Results of a page, and how many results of a listing a source serves.
 PAGE, WINDOW = 150, 1150
+#: Pages of one exported file: a folder a page costs more than its rows.
+BLOCK = 1000
 ITEMS = "keyword string, department string, place int, published string, item string, complete boolean"
 REPORT = "keyword string, department string, pages int, n int, total int, complete boolean, ended_by string"
 
@@ -43,7 +48,8 @@ def export_answers(rows: DataFrame, where: str, item: Column, page: int = PAGE,
     pages = ranked.groupBy("keyword", "department", "offset").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("own"), F.max("status").alias("status")).join(totals, ["keyword", "department"])
     results = F.array_join(F.transform("own", lambda x: x["item"]), ",")
     value = F.when(F.col("status").isNotNull(), F.format_string('{"status":%d}', "status")).otherwise(F.format_string('{"total":%d,"results":[%s]}', "total", results))
-    pages.select("keyword", "department", "offset", value.alias("value")).repartition("keyword", "department", "offset").write.partitionBy("keyword", "department", "offset").text(where)
+    blocks = pages.select("keyword", "department", F.floor(F.col("offset") / (page * BLOCK)).alias("block"), F.format_string("%d\t%s", "offset", value).alias("value"))
+    blocks.repartition("keyword", "department", "block").write.partitionBy("keyword", "department", "block").text(where)
 
 
 class PagedListing(DataSource):
@@ -82,22 +88,34 @@ class PagedReader(DataSourceReader):
                 out.append(Listing(k, d))
         return out
 
-    def _answer(self, keyword: str, department: str, offset: int) -> dict | None:
+    def _files(self, keyword: str, department: str, folder: str) -> Iterator[io.BufferedReader]:
         files, base = pyarrow.fs.FileSystem.from_uri(self.where)
-        folder = f"{base}/keyword={quote(keyword)}/department={quote(department)}/offset={offset}"
-        for x in files.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
+        for x in files.get_file_info(pyarrow.fs.FileSelector(f"{base}/keyword={quote(keyword)}/department={quote(department)}/{folder}", allow_not_found=True)):
             if x.base_name.startswith("part-") and x.size:
-                with files.open_input_stream(x.path) as f:
-                    return json.loads(f.read())
-        return None
+                with files.open_input_file(x.path) as f:
+                    yield io.BufferedReader(f)
+
+    def _block(self, keyword: str, department: str, block: int) -> dict[int, bytes]:
+        """The answers of a block that the window can reach, by offset."""
+        lines = (line.rstrip(b"\n").partition(b"\t") for f in self._files(keyword, department, f"block={block}") for line in f)
+        return {int(offset): answer for offset, _, answer in lines if int(offset) < self.window}
+
+    def _answers(self, keyword: str, department: str) -> Iterator[tuple[int, dict | None]]:
+        """Offsets of the window with their answers, each read when it is asked for."""
+        known: tuple[int, dict[int, bytes]] = (-1, {})
+        for offset in range(0, self.window, self.page):
+            alone = next((f.read() for f in self._files(keyword, department, f"offset={offset}")), None)
+            if alone is None and known[0] != (block := offset // (self.page * BLOCK)):
+                known = block, self._block(keyword, department, block)
+            answer = alone if alone is not None else known[1].get(offset)
+            yield offset, None if answer is None else json.loads(answer)
 
     def read(self, partition: Listing | None) -> Iterator[tuple]:
         if partition is None:  # there is no listing at all
             return
         results: list[dict] = []
         total, pages, ended = None, 0, "window"
-        for offset in range(0, self.window, self.page):
-            answer = self._answer(partition.keyword, partition.department, offset)
+        for offset, answer in self._answers(partition.keyword, partition.department):
             if answer is None:
                 ended = "nothing"
                 break
