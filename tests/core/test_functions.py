@@ -133,6 +133,57 @@ def test_bound_is_never_too_small(spark):
         assert similarity.token_set(r.a, r.b) <= r.most + 1e-9
 
 
+def test_title_marks_never_rule_out_a_link(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7)))
+    pairs = [("", ""), ("", "a"), ("a a a", "a"), ("b a", "a  b")]
+    for _ in range(1500):
+        words = [word() for _ in range(rng.randrange(1, 12))]
+        other = [w if rng.random() < 0.8 else (w + "x" if rng.random() < 0.5 else word()) for w in words]
+        rng.shuffle(other)
+        pairs.append((" ".join(words), " ".join(other[: rng.randrange(1, 14)])))
+    rows = spark.createDataFrame([(*p, similarity.title_marks(p[0]), similarity.title_marks(p[1])) for p in pairs], "a string, b string, x array<long>, y array<long>")
+    got = rows.select("a", "b", *[similarity.may_reach(*([F.col(c)[i] for i in range(len(similarity.MARKS))] for c in "xy"), r).alias(f"r{r}") for r in (70, 85)]).collect()
+    for r in got:
+        assert all(r[f"r{least}"] or similarity.token_set(r.a, r.b) < least for least in (70, 85)), r
+    assert sum(similarity.token_set(r.a, r.b) >= 85 for r in got) > 100 and sum(not r.r85 for r in got) > 50
+
+
+def test_few_titles_of_a_block_are_compared_in_full(spark, monkeypatch):
+    """Titles of one language and length are told apart by their marks; the exact comparison gets few of the pairs."""
+    rng, asked = random.Random(6), []
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    posts = [(i, i // 20, "x", " ".join(rng.choice(words) for _ in range(12)), "lyon", str(i), "t", False) for i in range(200)]
+    frame = spark.createDataFrame(posts, "id long, at long, company string, title string, place string, fp string, text string, rejected boolean")
+    real = similarity.scored
+    monkeypatch.setattr(similarity, "scored", lambda pairs, *rest: asked.append(pairs.count()) or real(pairs, *rest))
+    similarity.links(frame, 30).collect()
+    assert asked[0] < 200 * 199 / 2 / 5
+
+
+def test_a_text_cut_behind_a_word_keeps_its_link(spark):
+    """The space at the cut is no word; the bound that counted it lost links of a similarity of 80."""
+    text = "a ab b c"
+    pairs = [(text + " ", other) for other in ("a ab b d", "ab b cc", "a b c e")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for r in rows.select("a", "b", similarity.bound(F.col("a"), F.col("b")).alias("most")).collect():
+        assert similarity.token_set(r.a, r.b) <= r.most + 1e-9
+    words = [f"w{i:03}" for i in range(250)]
+    posts = [(i, i, "x", "data engineer", "lyon", str(i), " ".join(t) + " z", False) for i, t in enumerate((words[:200], words[:160] + words[210:250]))]
+    frame = spark.createDataFrame(posts, "id long, at long, company string, title string, place string, fp string, text string, rejected boolean")
+    got = [(r.parent, r.child, r.similarity) for r in similarity.links(frame, 30).collect()]
+    assert [x[:2] for x in got] == ([(0, 1)] if similarity.token_set(posts[0][6][:1000], posts[1][6][:1000]) >= 80 else [])
+
+
+def test_full_buckets_are_dealt_over_tasks(spark, monkeypatch):
+    """Links do not depend on how a full bucket is dealt out."""
+    posts = [(i, i // 9, "x" if i % 4 else None, f"data engineer {i % 5}", "lyon", str(i % 50), f"some words of text {i % 7}", False) for i in range(120)]
+    frame = spark.createDataFrame(posts, "id long, at long, company string, title string, place string, fp string, text string, rejected boolean")
+    want = sorted(map(tuple, similarity.links(frame, 4).collect()))
+    monkeypatch.setattr(similarity, "FULL", 5)
+    assert sorted(map(tuple, similarity.links(frame, 4).collect())) == want and len(want) > 50
+
+
 def test_roots_and_upsert(spark):
     links = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (9, None)], "id long, parent long")
     assert {r.id: r.root for r in R.roots(links).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}

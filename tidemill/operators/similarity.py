@@ -1,10 +1,10 @@
 """Duplicates of postings: exact prints first, then token-set similarity within blocks; the first match wins.
 
-Pairs are made by a join that carries ids, times and titles only.  The time window is cut
-into buckets of its own length, so a posting meets those of its bucket and the one before,
+Pairs are made by a join that carries ids, times, titles and their marks only.  The time window
+is cut into buckets of its own length, so a posting meets those of its bucket and the one before,
 whatever the size of its block; a block that is still too full in one bucket is dealt over
-several tasks by salting.  A bound from built-ins spares most exact comparisons, and texts are
-fetched for the pairs that are left.
+several tasks by salting.  Marks, computed once per title, spare nine of ten exact comparisons by
+a few bit operations, and texts are fetched for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import places as P
 from .storage import cut
 
 #: The thresholds of titles and of descriptions, and how much of a description counts.
 TITLE_RATIO, TEXT_RATIO, TEXT_CHARS = 85.0, 80.0, 1000
-#: Tasks that one bucket of a block is dealt over.
-SALTS = 8
+#: Tasks that one bucket of a block is dealt over if it has more than FULL parents.
+SALTS, FULL = 8, 1000
+#: Words of 64 bits that hold the marks of a title.
+MARK_WORDS = 16
 
 
 def common_length(a: str, b: str) -> int:
@@ -113,8 +115,7 @@ def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(LongType())
-def _common(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+def _common_of(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     """Common lengths where they may reach least (null: not asked for); others are 0."""
     asked = np.flatnonzero(a.notna().to_numpy())
     out = np.zeros(len(a), dtype=np.int64)
@@ -126,6 +127,10 @@ def _common(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Called nondeterministic, or a filter on a ratio is moved below its words and sets and makes them again for each mention.
+_common = F.pandas_udf(_common_of, LongType()).asNondeterministic()
+
+
 def _letters(a: list[str], b: list[str]) -> np.ndarray:
     """Letters in common, whatever their order: no common subsequence is longer."""
     out = np.zeros(len(a), dtype=np.int64)
@@ -138,18 +143,18 @@ def _letters(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """token_set() of two columns of folded texts; one that cannot reach least may come out as any number below it.
+def _words(text: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.coalesce(text, F.lit("")), " +"), "")))
 
-    Sets, their order and the terms that have a closed form are built-ins; only the longest
-    common subsequence is Python, for all pairs of an Arrow batch at once.
-    """
-    words = lambda c: F.array_sort(F.array_distinct(F.array_remove(F.split(F.coalesce(c, F.lit("")), " +"), "")))
-    x, y = words(a), words(b)
-    both, left, right = (F.array_join(s, " ") for s in (F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)))
-    one, two = F.trim(F.concat_ws(" ", both, left)), F.trim(F.concat_ws(" ", both, right))
+
+def _sets(x: Column, y: Column) -> list[Column]:
+    """The common words of two lists of _words(), and those of one alone, each as a text."""
+    return [F.array_join(s, " ") for s in (F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x))]
+
+
+def _ratio(none: Column, both: Column, left: Column, right: Column, one: Column, two: Column, least: float) -> Column:
     n, n1, n2 = F.length(both).cast("double"), F.length(one).cast("double"), F.length(two).cast("double")
-    none, within = (F.size(x) == 0) | (F.size(y) == 0), (n > 0) & ((F.length(left) == 0) | (F.length(right) == 0))
+    within = (n > 0) & ((F.length(left) == 0) | (F.length(right) == 0))
     beginning = F.when(n > 0, F.greatest(200 * n / (n + n1), 200 * n / (n + n2))).otherwise(0.0)
     # the length that would change something: more than the beginnings give, and enough to reach least
     goal = F.greatest(beginning, F.lit(float(least))) * (n1 + n2) / 200 - 1e-6
@@ -158,24 +163,87 @@ def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(none, 0.0).when(within, 100.0).otherwise(F.greatest(beginning, 200.0 * common / (n1 + n2)))
 
 
+def _sides(both: Column, left: Column, right: Column) -> list[Column]:
+    return [F.trim(F.concat_ws(" ", both, own)) for own in (left, right)]
+
+
+def token_set_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """token_set() of two columns of folded texts; one that cannot reach least may come out as any number below it.
+
+    Sets, their order and the terms that have a closed form are built-ins; only the longest
+    common subsequence is Python, for all pairs of an Arrow batch at once.
+    """
+    x, y = _words(a), _words(b)
+    sets = _sets(x, y)
+    return _ratio((F.size(x) == 0) | (F.size(y) == 0), *sets, *_sides(*sets), least)
+
+
+def scored(pairs: DataFrame, name: str, a: str, b: str, least: float) -> DataFrame:
+    """The pairs (columns a and b) whose token_set_ratio() is at least least, which goes into a column name; words and sets are columns of their own, made once a pair."""
+    words = pairs.withColumn("_x", _words(F.col(a))).withColumn("_y", _words(F.col(b)))
+    sets = words.select(*pairs.columns, ((F.size("_x") == 0) | (F.size("_y") == 0)).alias("_none"), *[c.alias(n) for c, n in zip(_sets(F.col("_x"), F.col("_y")), ("_both", "_left", "_right"), strict=True)])
+    own = [F.col(c) for c in ("_both", "_left", "_right")]
+    sides = sets.select("*", *[c.alias(n) for c, n in zip(_sides(*own), ("_one", "_two"), strict=True)])
+    return sides.select(*pairs.columns, _ratio(F.col("_none"), *own, F.col("_one"), F.col("_two"), least).alias(name)).where(F.col(name) >= least)
+
+
 def bound(a: Column, b: Column) -> Column:
     """No token-set similarity of two texts is larger; all built-ins, to spare the exact test."""
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    x, y = _words(a), _words(b)
     size = lambda s: F.length(F.array_join(s, " ")).cast("double")
     both, left, right = size(F.array_intersect(x, y)), size(F.array_except(x, y)), size(F.array_except(y, x))
     la, lb = both + left + 1, both + right + 1
     return F.when((both > 0) & ((left == 0) | (right == 0)), 100.0).otherwise(100.0 * F.greatest(2 * F.least(la, lb) / (la + lb), F.when(both > 0, 2 * both / (2 * both + 1 + F.least(left, right))).otherwise(0.0)))
 
 
+def title_marks(text: str) -> list[int]:
+    """The pairs of letters of a text's distinct words, each word between two spaces, as MARK_WORDS words of bits; then the number of pairs, and of those that share a bit."""
+    grams: dict[tuple[int, int], int] = {}
+    bits = n = 0
+    for word in set(text.split(" ")) - {""}:
+        codes = [32, *map(ord, word), 32]
+        for gram in zip(codes, codes[1:]):
+            k = grams[gram] = grams.get(gram, 0) + 1  # a pair that comes again is another one
+            bits |= 1 << ((gram[0] * 0x9E3779B1 + gram[1] * 0x85EBCA77 + k * 0xC2B2AE3D & 0xFFFFFFFF) >> 7) % (64 * MARK_WORDS)
+            n += 1
+    return [*np.frombuffer(bits.to_bytes(8 * MARK_WORDS, "little"), dtype="<i8").tolist(), n, n - bits.bit_count()]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _marks(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else title_marks(x))
+
+
+#: The columns of title_marks(): plain numbers, as the join reads them for every pair.
+MARKS = [f"mark_{i}" for i in range(MARK_WORDS)] + ["n_marks", "n_lost"]
+
+
+def may_reach(a: list[Column], b: list[Column], least: float) -> Column:
+    """Whether token_set() of two texts may be least or more, by their title_marks().
+
+    A common subsequence of length c leaves 3c - n1 - n2 - 1 pairs of letters in common (a letter
+    left out ends two pairs on its side and one on the other), words in common leave all of theirs.
+    """
+    (*x, nx, lost_x), (*y, ny, lost_y) = a, b
+    shared = F.least(lost_x, lost_y)
+    for one, two in zip(x, y, strict=True):
+        shared = shared + F.bit_count(one.bitwiseAND(two))
+    n1, n2, r = nx - 1, ny - 1, least / 100
+    beginning = r / (2 - r) * F.least(n1, n2) + 1
+    return shared >= F.least(beginning, F.when(F.least(n1, n2) >= r / 2 * (n1 + n2) - 1e-4, (1.5 * r - 1) * (n1 + n2) - 1)) - 1e-4
+
+
 def _earlier(posts: DataFrame, window: int) -> DataFrame:
-    """parent, child ids with order of posts (block, order, as_parent, as_child, id, at, title, fp, place): pairs of one block, the parent before the child and within the window, titles similar, prints different."""
-    bucket = F.floor(F.col("at") / window)
-    parents = posts.where("as_parent").select("block", bucket.alias("bucket"), *[F.col(c).alias(f"{c}_a") for c in ("id", "at", "title", "fp", "place")], F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    children = posts.where("as_child").select("block", "order", *[F.col(c).alias(f"{c}_b") for c in ("id", "at", "title", "fp", "place")], F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-    children = children.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    """parent, child ids with order of posts (block, order, as_parent, as_child, id, at, title, fp, place, MARKS): pairs of one block, the parent before the child and within the window, titles similar, prints different."""
+    bucket, carried = F.floor(F.col("at") / window), ("id", "at", "title", "fp", "place", *MARKS)
+    parents = posts.where("as_parent").select("block", bucket.alias("bucket"), *[F.col(c).alias(f"{c}_a") for c in carried])
+    children = posts.where("as_child").select("block", "order", *[F.col(c).alias(f"{c}_b") for c in carried], F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    full = F.broadcast(parents.groupBy("block", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("block", "bucket", F.lit(SALTS).alias("salts")))  # a row for FULL parents at most
+    parents = parents.join(full, ["block", "bucket"], "left").withColumn("salt", F.pmod(F.xxhash64("id_a"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    children = children.join(full, ["block", "bucket"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1).cast("array<bigint>"))).drop("salts")
     first = (F.col("at_a") < F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("id_a") < F.col("id_b")))
-    near = parents.join(children, ["block", "bucket", "salt"]).where(first & (F.col("at_a") >= F.col("at_b") - window) & (F.col("fp_a") != F.col("fp_b")) & P.same_place(F.col("place_a"), F.col("place_b")) & (bound(F.col("title_a"), F.col("title_b")) >= TITLE_RATIO))
-    return near.select("order", "id_a", "at_a", "id_b", token_set_ratio(F.col("title_a"), F.col("title_b"), TITLE_RATIO).alias("t")).where(F.col("t") >= TITLE_RATIO)
+    near = parents.join(children, ["block", "bucket", "salt"]).where(first & (F.col("at_a") >= F.col("at_b") - window) & (F.col("fp_a") != F.col("fp_b")) & P.same_place(F.col("place_a"), F.col("place_b")) & may_reach(*([F.col(f"{c}_{side}") for c in MARKS] for side in "ab"), TITLE_RATIO))
+    return scored(near.select("order", "id_a", "at_a", "id_b", "title_a", "title_b"), "t", "title_a", "title_b", TITLE_RATIO).drop("title_a", "title_b")
 
 
 def links(posts: DataFrame, window: int) -> DataFrame:
@@ -188,7 +256,9 @@ def links(posts: DataFrame, window: int) -> DataFrame:
     An exact match goes before the company block, that before the title block.
     """
     known = posts.where(~F.coalesce("rejected", F.lit(False))).withColumn("company", F.coalesce("company", F.lit("")))
-    rows = cut(known.select("id", "at", "company", "title", "place", "fp"))
+    whole = cut(known.select("id", "at", "company", "title", "place", "fp", F.substring("text", 1, TEXT_CHARS).alias("text")))  # folded once
+    marked = whole.drop("text").withColumn("marks", _marks("title"))
+    rows = cut(marked.select("id", "at", "company", "title", "place", "fp", *[F.col("marks")[i].alias(c) for i, c in enumerate(MARKS)]))
     # equal prints: the one before the first has none; groups share one parent only by their order, so the earliest is the match
     first = rows.groupBy("fp").agg(F.min(F.struct("at", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("fp", F.col("m.id").alias("parent"))
     exact = rows.join(first, "fp").where("id <> parent").select("parent", F.col("id").alias("child"), F.lit("exact_fingerprint").alias("reason"), F.lit(1.0).alias("similarity"))
@@ -201,8 +271,7 @@ def links(posts: DataFrame, window: int) -> DataFrame:
     ]
     pairs = _earlier(blocks[0].unionByName(blocks[1]).unionByName(blocks[2]), window)
     unmatched = cut(pairs.join(exact.select(F.col("child").alias("id_b")), "id_b", "left_anti"))
-    texts = known.select("id", F.substring("text", 1, TEXT_CHARS).alias("text"))
-    scored = unmatched.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-    scored = scored.where(bound(F.col("text_a"), F.col("text_b")) >= TEXT_RATIO).select("order", "id_a", "at_a", "id_b", "t", token_set_ratio(F.col("text_a"), F.col("text_b"), TEXT_RATIO).alias("d")).where(F.col("d") >= TEXT_RATIO)
-    best = scored.groupBy(F.col("id_b").alias("child")).agg(F.min(F.struct("order", "at_a", "id_a", F.round((F.col("t") + F.col("d")) / 200, 3).alias("s"))).alias("m"))
+    texts = whole.select("id", "text")
+    both = unmatched.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    best = scored(both, "d", "text_a", "text_b", TEXT_RATIO).groupBy(F.col("id_b").alias("child")).agg(F.min(F.struct("order", "at_a", "id_a", F.round((F.col("t") + F.col("d")) / 200, 3).alias("s"))).alias("m"))
     return exact.unionByName(best.select(F.col("m.id_a").alias("parent"), "child", F.lit("fuzzy").alias("reason"), F.col("m.s").alias("similarity")))
