@@ -40,10 +40,8 @@ def ranges(chars: Iterable[str]) -> str:
 
 
 _ONE, _OTHER = _decomposed()
-#: Those that become several characters: a cheap test that most texts fail, and the exact one.
-_USUAL = "".join(c for c in "–—‘’“”„•€" if c not in _OTHER)
-_MAYBE_OTHER = ranges(c for c in _OTHER if c < "\u0250") + r"|[^\x{0}-\x{24F}" + _USUAL + "]"
-_OTHER_CLASS = ranges(_OTHER)
+#: Those that become several characters; a text that holds one is shorter without them.
+_SEVERAL = "".join(_OTHER)
 #: Marks that combine; those of class 0 are signs like any other.
 _MARKS = r"(?:(?=\p{M})" + ranges(chr(c) for c in range(0x300, 0x1E94B) if unicodedata.combining(chr(c))) + ")+"
 #: Legal forms that a company name loses.
@@ -85,7 +83,7 @@ def fold(text: Column) -> Column:
     """
     several = constant_map(_OTHER)
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
-    wide = F.when(text.rlike(_MAYBE_OTHER) & text.rlike(_OTHER_CLASS), spelled).otherwise(text)
+    wide = F.when(F.translate(text, _SEVERAL, "") != text, spelled).otherwise(text)
     for sign, letters in LIGATURES.items():
         wide = F.replace(wide, F.lit(sign), F.lit(letters))
     wide = F.translate(wide, "".join(_ONE), "".join(_ONE.values()))
