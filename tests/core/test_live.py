@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidemill.operators.published import BatchLog, Published
@@ -59,6 +60,54 @@ def test_rules_do_not_depend_on_the_batches(spark, rule):
     assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, want))
 
 
+class _Handle:
+    """The calls that a stream's state gets."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 14 * HOUR // 1000
+
+
+def test_one_call_takes_all_keys_of_a_bucket():
+    """A thousand offers in one call: their rows, what falls due among them, one read and one write of state, one timer."""
+    fold, handle = stateful.Fold(stateful.Lifecycle(5 * HOUR)), _Handle()
+    fold.init(handle)
+    rows = [(user, k * 10 * HOUR + user, 2 * user + k, "seen") for k in (1, 0) for user in range(1000)]
+    frames = [pd.DataFrame(rows[i : i + 700], columns=["key", "at", "number", "value"]) for i in range(0, 2000, 700)]
+    got = [tuple(r) for frame in fold.handleInputRows((0,), iter(frames), None) for r in frame.itertuples(index=False)]
+    want = [(user, *x) for user in range(1000) for x in plain(stateful.Lifecycle(5 * HOUR), [r[1:] for r in rows if r[0] == user], 0)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 3000
+    assert handle.calls == ["get", "put"] and handle.timers == [15 * HOUR // 1000]
+    assert sum(len(f) for f in fold.handleExpiredTimer((0,), handle, None)) == 0  # not before the watermark
+    handle.getCurrentWatermarkInMs = lambda: 16 * HOUR // 1000
+    assert sum(len(f) for f in fold.handleExpiredTimer((0,), handle, None)) == 1000 and handle.timers == []
+
+
 def notices(spark, where, n=3):
     rows = [(i, i // 4, i % 5) for i in range(12)]
     frame = spark.createDataFrame(rows, "number long, t long, user long").select("number", F.timestamp_seconds(F.col("t") * 86400).alias("ts"), "user")

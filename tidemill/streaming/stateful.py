@@ -6,8 +6,11 @@ next row is given in its place before that row; what is due when no row comes is
 timer once the watermark has passed it.  So the result depends on the rows' times alone, not on
 how they are cut into micro-batches, as long as no row is later than the watermark allows.
 
-A task holds the rows of one key and one micro-batch; the source's limits bound them
-(maxFilesPerTrigger, maxBytesPerTrigger).  State lives in the RocksDB store.
+Keys are dealt into a fixed number of buckets, and a call takes the rows of one bucket and one
+micro-batch: a call to Python and its state costs some milliseconds, whatever it holds.  So a
+stream of many keys needs no more calls than BUCKETS a micro-batch.  A task holds the rows of one
+bucket and one micro-batch, which the source's limits bound (maxFilesPerTrigger,
+maxBytesPerTrigger), and the states of the bucket's keys.  State lives in the RocksDB store.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HOUR = 3_600_000_000  # microseconds, the unit of all times here
+#: Buckets of keys; a stream keeps the number that it began with.
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -128,52 +134,56 @@ Rule = ChangeLog | Lifecycle | Queue
 
 
 class Fold(StatefulProcessor):
-    """Runs a rule: one value per key, and one timer for what falls due next."""
+    """Runs a rule: the states of a bucket's keys as one list, and one timer for what falls due next in the bucket."""
 
     def __init__(self, rule: Rule) -> None:
         self.rule = rule
         self.columns = ["key", *[x.split()[0] for x in rule.given.split(", ")]]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.value = handle, handle.getValueState("state", self.rule.state)
+        self.handle, self.states = handle, handle.getListState("states", f"key bigint, {self.rule.state}")
 
-    def _load(self) -> tuple | None:
-        return tuple(self.value.get()) if self.value.exists() else None
+    def _load(self) -> dict[int, tuple]:
+        return {row[0]: tuple(row[1:]) for row in self.states.get()}
 
-    def _fire_until(self, state: tuple | None, now: int, out: list[tuple]) -> tuple | None:
+    def _fire_until(self, key: int, state: tuple | None, now: int, out: list[tuple]) -> tuple | None:
         while (due := self.rule.due(state)) is not None and due <= now:
             state, rows = self.rule.fire(state, due)
-            out += rows
+            out += [(key, *row) for row in rows]
         return state
 
-    def _store(self, state: tuple | None) -> None:
-        if state is None:
-            self.value.clear()
+    def _store(self, states: dict[int, tuple | None]) -> None:
+        kept = {key: state for key, state in states.items() if state is not None}
+        if kept:
+            self.states.put([(key, *state) for key, state in kept.items()])
         else:
-            self.value.update(state)
+            self.states.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if (due := self.rule.due(state)) is not None:
+        if (due := min((x for x in map(self.rule.due, kept.values()) if x is not None), default=None)) is not None:
             self.handle.registerTimer(-(-due // 1000))
 
-    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in out], columns=self.columns, dtype=object)
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.columns, dtype=object)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        own = sorted((row for frame in rows for row in zip(frame["at"].tolist(), frame["number"].tolist(), frame["value"].tolist(), strict=True)), key=lambda r: r[:2])
-        state, out = self._load(), []
-        for at, number, value in own:
-            state = self._fire_until(state, at, out)
-            state, given = self.rule.step(state, (number, at, value))
-            out += given
-        self._store(state)
-        yield self._frame(key, out)
+        own = sorted((row for frame in rows for row in zip(*[frame[c].tolist() for c in ("key", "at", "number", "value")], strict=True)), key=lambda r: r[:3])
+        states, out = self._load(), []
+        for k, mine in groupby(own, key=lambda r: r[0]):
+            state = states.get(k)
+            for _, at, number, value in mine:
+                state = self._fire_until(k, state, at, out)
+                state, given = self.rule.step(state, (number, at, value))
+                out += [(k, *row) for row in given]
+            states[k] = state
+        self._store(states)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out: list[tuple] = []
-        state = self._fire_until(self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1000, out)
-        self._store(state)
-        yield self._frame(key, out)
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self._store({k: self._fire_until(k, state, now, out) for k, state in self._load().items()})
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -202,4 +212,4 @@ def fold(stream: DataFrame, rule: Rule, key: str, at: str, number: str, value: C
     """
     known = stream.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
     rows = known.select(F.col(key).cast("bigint").alias("key"), F.col(at).alias("moment"), F.unix_micros(at).alias("at"), F.col(number).cast("bigint").alias("number"), value.cast("string").alias("value"))
-    return rows.groupBy("key").transformWithStateInPandas(Fold(rule), f"key bigint, {rule.given}", "Append", "EventTime")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(Fold(rule), f"key bigint, {rule.given}", "Append", "EventTime")
