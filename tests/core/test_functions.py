@@ -142,6 +142,14 @@ def test_fold_tests_no_class_of_hundreds_of_ranges_on_a_text(spark):
     assert all(r.f == T.fold_plain(r.s) for r in rows.select("s", T.fold(F.col("s")).alias("f")).collect() if "_" not in r.f)
 
 
+def test_setters_read_the_table_once_a_step(spark, sf_dir):
+    """Six setters: the rows, and the ids of each; not the rows of all steps before, twice a step."""
+    from tidemill.plans.queries import QUERIES
+
+    plan = QUERIES["life_setters"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation parquet") <= 7, plan.count("Relation")
+
+
 def test_title_marks_never_rule_out_a_link(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7)))

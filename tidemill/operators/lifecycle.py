@@ -132,5 +132,6 @@ def set_life(rows: DataFrame, name: str, ids: DataFrame, at: Column) -> DataFram
 
 def reset_notified(rows: DataFrame, since: Column, duplicates: DataFrame) -> DataFrame:
     """rows (id, tier, notified_at and others): those kept, no duplicates (id), and notified from since on count as not notified."""
-    again = rows.where(F.col("tier").isin("ELIGIBLE", "STRETCH") & (F.col("notified_at") >= since)).join(duplicates.select("id"), "id", "left_anti")
-    return set_marks(rows, again.select("id"), notified_at=F.lit(None).cast("timestamp"))
+    known = rows.join(duplicates.select("id", F.lit(True).alias("_duplicate")).distinct(), "id", "left")
+    again = F.col("tier").isin("ELIGIBLE", "STRETCH") & (F.col("notified_at") >= since) & F.col("_duplicate").isNull()
+    return known.select(*[F.when(~F.coalesce(again, F.lit(False)), F.col(c)).alias(c) if c == "notified_at" else F.col(c) for c in rows.columns])

@@ -411,9 +411,10 @@ def life_setters(spark: SparkSession, d: str) -> DataFrame:
     """All six setters one after the other: checked, closed, open, notified, reopened, and notices reset since a day."""
     k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
     rows = table(spark, d, "orders").select(k.alias("id"), F.when(F.col("o_orderstatus") == "F", "REJECTED").otherwise("ELIGIBLE").alias("tier"), F.when(k % 4 == 0, day).alias("closed_at"), F.when(k % 2 == 0, day).alias("checked_at"), F.when(k % 5 != 0, day).alias("notified_at"))
+    ids = rows.select("id")  # those of the table; taken from the rows of the step before, they carry its joins along
     for i, name in enumerate(("mark_checked", "mark_closed", "mark_open", "mark_notified", "reopen")):
-        rows = lifecycle.set_life(rows, name, rows.where(F.col("id") % 11 == i), F.lit(_AT).cast("timestamp"))
-    reset = lifecycle.reset_notified(rows, F.lit("1996-01-01").cast("timestamp"), rows.where("id % 7 = 0"))
+        rows = lifecycle.set_life(rows, name, ids.where(F.col("id") % 11 == i), F.lit(_AT).cast("timestamp"))
+    reset = lifecycle.reset_notified(rows, F.lit("1996-01-01").cast("timestamp"), ids.where("id % 7 = 0"))
     return reset.select("id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("closed_at", "checked_at", "notified_at")])
 
 
