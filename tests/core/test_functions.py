@@ -181,7 +181,7 @@ def test_few_titles_of_a_block_are_compared_in_full(spark, monkeypatch):
 def test_a_text_cut_behind_a_word_keeps_its_link(spark):
     """The space at the cut is no word; the bound that counted it lost links of a similarity of 80."""
     text = "a ab b c"
-    pairs = [(text + " ", other) for other in ("a ab b d", "ab b cc", "a b c e")]
+    pairs = [(text + " ", other) for other in ("a ab b d", "ab b cc", "a b c e")] + [("aaaaaaaa bbb ", "aaaaaaaa " + 40 * "c")]
     rows = spark.createDataFrame(pairs, "a string, b string")
     for r in rows.select("a", "b", similarity.bound(F.col("a"), F.col("b")).alias("most")).collect():
         assert similarity.token_set(r.a, r.b) <= r.most + 1e-9
