@@ -268,12 +268,30 @@ def places(text: Column, pattern: str) -> Column:
 
     def matches(t: Column) -> Column:
         slow = F.arrays_zip(F.regexp_extract_all(t, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(t, F.lit(whole), F.lit(2)).alias("hit"))
-        marked = let(F.split(F.regexp_replace(t, f"(?:{pattern})", f"{_SIGN}$0{_SIGN}"), _SIGN), told)
+        # a match adds signs, so a text that stays as it was has none
+        marked = let(_marked(t, pattern), lambda m: F.when(m == t, none["all"]).otherwise(let(F.split(m, _SIGN), told)))
         return F.when(F.contains(t, F.lit(_SIGN)), F.aggregate(slow, none, step)["all"]).when(t.isNotNull(), marked)
 
     return let(text, matches)
 
 
+def _marked(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, f"(?:{pattern})", f"{_SIGN}$0{_SIGN}")
+
+
+def first_place(text: Column, pattern: str) -> Column:
+    """The first of places(), null without one, without the others."""
+
+    def told(parts: Column) -> Column:
+        start, hit = F.length(F.get(parts, 0)), F.get(parts, 1)
+        return F.when(F.size(parts) > 2, F.struct(start.alias("start"), (start + F.length(hit)).alias("stop"), hit.alias("found")))
+
+    def match(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(_SIGN)), F.get(places(t, pattern), 0)).otherwise(let(F.split(_marked(t, pattern), _SIGN, 3), told))
+
+    return let(text, match)
+
+
 def snippet(text: Column, start: Column, stop: Column, most: int = 160) -> Column:
     """The sentence around text[start:stop]: at most most characters, a longer one cut to a window with an ellipsis on each cut side."""
 

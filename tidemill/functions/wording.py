@@ -77,14 +77,24 @@ def says(text: Column, phrases: Iterable[str]) -> Column:
     return flat(text).rlike(any_of(phrases))
 
 
-def in_order(text: Column, *steps: Iterable[str]) -> Column:
-    """Whether text says one phrase of each step, one after the other."""
-    return flat(text).rlike("(?s)" + ".*".join(any_of(s) for s in steps))
+def gist(*lists: Iterable[str]) -> str:
+    """A pattern that finds something in every flat text that says one of the phrases: the longest word of each, whatever its edges.
+
+    A word stands whole in a sentence and in the text that it was cut from, so what a text
+    without one lacks need not be looked for in its sentences.
+    """
+    words = {max((w.rstrip("*") for w in p.split(" ")), key=len) for phrases in lists for p in phrases}
+    return "|".join(re.escape(w) for w in sorted(words) if not any(v != w and v in w for v in words))
+
+
+def in_order(plain: Column, *steps: Iterable[str]) -> Column:
+    """Whether a flat text says one phrase of each step, one after the other."""
+    return plain.rlike("(?s)" + ".*".join(any_of(s) for s in steps))
 
 
-def first_place(text: Column, pattern: str) -> Column:
-    """struct(start, stop, found) of the first match in flat text; null without one."""
-    return F.get(T.places(flat(text), pattern), 0)
+def first_place(text: Column, pattern: str, plain: Column | None = None) -> Column:
+    """struct(start, stop, found) of the first match in flat text; null without one.  plain is flat(text), where it is at hand."""
+    return T.first_place(flat(text) if plain is None else plain, pattern)
 
 
 def cut_out(text: Column, place: Column) -> Column:

@@ -96,14 +96,15 @@ def evaluate(rows: DataFrame, gate: Gate, *, title: Column, company: Column, con
     whole = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(text, F.lit("")))
     read = rows.withColumns(
         {
-            "required": X.required_years(title, text),
+            "_years_read": X.years_read(title, text),
             "family": title_family(title, gate.profile.titles)["family"],
             "reserved_by": X.reserved_sentence(whole),
             "recruiter": X.specialised_recruiter(company, whole, gate.recruiters) if gate.recruiters else F.lit(None).cast("string"),
             "client": X.end_client(text),
         }
     )
-    years = F.col("required.years")
+    read = read.withColumns({"_years": X.years_of(F.col("_years_read")), "_basis": X.basis_of(F.col("_years_read"))})
+    years = F.col("_years")
     gates = [
         ("NOT_RELEVANT", dev_role(title, gate.dev_titles, gate.role_titles) | ~relevant(title, text, gate.target_titles, skills)),
         ("TITLE", F.col("family") == "off_domain"),
@@ -114,7 +115,13 @@ def evaluate(rows: DataFrame, gate: Gate, *, title: Column, company: Column, con
     ]
     decided = read.withColumn("reasons", R.reasons(gates))
     stretch = (F.size("reasons") == 0) & F.coalesce((years > gate.have) & (years <= gate.have + gate.band), F.lit(False))
-    return decided.withColumn("stretch", stretch).withColumn("tier", F.when(F.size("reasons") > 0, "REJECTED").when(F.col("stretch"), "STRETCH").otherwise("ELIGIBLE")).drop("family", "reserved_by")
+    told = decided.withColumn("stretch", stretch).withColumn("tier", F.when(F.size("reasons") > 0, "REJECTED").when(F.col("stretch"), "STRETCH").otherwise("ELIGIBLE"))
+    # over columns the struct is cheap to take apart, so that a plan without the sentence, its dearest part, does not make it
+    required = F.struct(years.alias("years"), F.col("_basis").alias("basis"), X.sentence_of(F.col("_years_read"), title, text).alias("sentence"))
+    out = told.withColumn("required", required).drop("family", "reserved_by", "_years_read", "_years", "_basis")
+    others = [c for c in out.columns if c != "required"]
+    at = others.index("recruiter")
+    return out.select(*[F.col(f"`{c}`") for c in (*others[:at], "required", *others[at:])])
 
 
 def score(rows: DataFrame, title: Column, description: Column, profile: Profile) -> DataFrame:
