@@ -147,3 +147,17 @@ def test_html_extraction_of_pages(spark, sf_dir):
         article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html_extract.html.unescape(re.sub(r"</?b>", "", x))).strip() for x in re.split(r"</?(?:p|h1|br)>", re.sub(r"<[^>]*\Z", "", article)))
         assert r.text == "\n".join(x for x in blocks if x)
+
+
+def test_a_counting_task_of_the_language_model_holds_little_however_many_words_it_reads():
+    import tracemalloc
+
+    import pyarrow as pa
+    from tidemill.llm import brown_lm
+
+    batches = (pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}" for i in range(at, at + 50_000))])], names=["text"]) for at in range(0, 3_000_000, 50_000))
+    tracemalloc.start()
+    total = sum(sum(b.column("n").to_pylist()) for b in brown_lm._count(batches))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert total == 3_000_000 and peak < 90, peak  # 175 MB with 1,000,000 entries held

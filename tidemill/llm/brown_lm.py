@@ -47,7 +47,7 @@ HISTORIES = FIXED + CLASSES
 #: The class of rare and unknown words, and that of the end.
 RARE, END = CLASSES, CLASSES + 1
 #: Distinct words (or words after a history) that a counting task holds before it hands them on.
-HELD = 1_000_000
+HELD = 250_000
 SMOOTH = 0.5
 
 COUNTS = "word bigint, n bigint"
