@@ -106,7 +106,7 @@ def drop_words(folded: Column, words: Iterable[str]) -> Column:
 
 
 def company_name(name: Column) -> Column:
-    return drop_words(fold(F.regexp_replace(name, r"(?<=[A-Za-z])\.(?=[A-Za-z])", "")), LEGAL_FORMS)
+    return drop_words(fold(F.regexp_replace(name, r"\.(?<=[A-Za-z]\.)(?=[A-Za-z])", "")), LEGAL_FORMS)
 
 
 def title_name(title: Column) -> Column:
@@ -346,13 +346,24 @@ def word_sentences(text: Column) -> Column:
 ABBREVIATIONS = "M|Mme|Mlle|Dr|St|Inc|Ltd|Co|Corp|etc|env|cf|vs|n°"
 
 
+def prose_lines(text: Column) -> Column:
+    """The sentences of each line of French or English prose: lines and bullets are cuts, abbreviations are none, a missing space after a full stop is tolerated."""
+    # each pattern begins with what is rare at a place, and matches only what it changes
+    spaced = F.when(F.contains(text, F.lit("\u00a0")) | F.contains(text, F.lit("\u202f")), F.regexp_replace(text, "[\u00a0\u202f]", " ")).otherwise(text)
+    held = F.regexp_replace(F.regexp_replace(spaced, rf"(?i)\.(?<=\b(?:{ABBREVIATIONS})\.)", "\u0000"), r"(?=\s)(?:[^\S\n]{2,}|[^\S\n ])", " ")
+    cut = r"\s(?<=[.!?…]\s)\s*(?=[«\"“(A-ZÀ-Ý0-9])|(?=[«\"“A-ZÀ-Ý])(?<=[a-zà-ÿ0-9][.!?…])"
+
+    def sentences_of(line: Column) -> Column:
+        # a line has no line end, so its cuts may be told by one
+        parts = F.split(F.regexp_replace(F.trim(F.regexp_replace(line, r"^\s*[-•*–—]\s*", "")), cut, "\n"), "\n")
+        return F.filter(F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("\u0000"), F.lit(".")))), lambda p: p != "")
+
+    return F.transform(F.split(held, "\n"), sentences_of)
+
+
 def prose_sentences(text: Column) -> Column:
-    """Sentences of French or English prose: lines and bullets are cuts, abbreviations are none, a missing space after a full stop is tolerated."""
-    held = F.regexp_replace(F.regexp_replace(text, "[\u00a0\u202f]", " "), rf"(?i)\b({ABBREVIATIONS})\.", "$1\u0000")
-    cut = r"(?<=[.!?…])\s+(?=[«\"“(A-ZÀ-Ý0-9])|(?<=[a-zà-ÿ0-9][.!?…])(?=[«\"“A-ZÀ-Ý])"
-    lines = F.transform(F.split(held, "\n"), lambda x: F.regexp_replace(x, r"^\s*[-•*–—]\s*", ""))
-    parts = F.flatten(F.transform(lines, lambda x: F.split(F.trim(x), cut)))
-    return F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(F.replace(p, F.lit("\u0000"), F.lit(".")), r"\s+", " "))), lambda p: p != "")
+    """Sentences of prose_lines(), in order."""
+    return F.flatten(prose_lines(text))
 
 
 def slugs(name: Column) -> Column:

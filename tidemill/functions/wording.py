@@ -29,6 +29,11 @@ def flat(text: Column) -> Column:
     return F.translate(text, "".join(_PLAIN), "".join(_PLAIN.values()))
 
 
+def fold(text: Column, plain: Column) -> Column:
+    """T.fold() of a text by its flat form, where that is ASCII: the same letters then, so only signs are left to drop."""
+    return F.when(F.octet_length(plain) == F.char_length(plain), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))).otherwise(T.fold(text))
+
+
 def any_of(phrases: Iterable[str]) -> str:
     """A pattern of whole phrases of flat text, longer ones first; a star at the end of a word stands for any more letters.
 
@@ -38,7 +43,7 @@ def any_of(phrases: Iterable[str]) -> str:
     listed = sorted(dict.fromkeys(phrases), key=lambda p: (-len(p), p))
     words, signs = [p for p in listed if p[0].isalnum()], [p for p in listed if not p[0].isalnum()]
     # phrases of different first letters never match at one place, so their order is free
-    return "(?:" + "|".join(([r"(?<![\p{L}\p{N}])" + _branches(words, 0)] if words else []) + ([_branches(signs, 0)] if signs else [])) + ")"
+    return "(?:" + "|".join(([f"(?=[{_firsts(words)}])" + r"(?<![\p{L}\p{N}])" + _branches(words, 0)] if words else []) + ([_branches(signs, 0)] if signs else [])) + ")"
 
 
 def _rest(phrase: str, at: int) -> str:
@@ -87,6 +92,42 @@ def gist(*lists: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words) if not any(v != w and v in w for v in words))
 
 
+def hint(*lists: Iterable[str]) -> str:
+    """A pattern without edges that finds something in every flat text that says one of the phrases: one word of each, the fewest words that do.
+
+    It is a fraction of the work of the phrases, so it goes before them where most texts say none.
+    """
+    left = [{w.rstrip("*") for w in p.split(" ")} for phrases in lists for p in phrases]
+    left = [{w for w in words if len(w) > 2} or {max(words, key=len)} for words in left]
+    chosen: set[str] = set()
+    while left:
+        counts: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+        best = max(sorted(counts), key=lambda w: (counts[w], len(w)))
+        chosen.add(best)
+        left = [words for words in left if not any(best in w for w in words)]
+    words = sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+    return f"(?=[{_firsts(words)}]){_plain_branches(words, 0)}"
+
+
+def _firsts(words: list[str]) -> str:
+    """The letters that words begin with; to test one is quicker than to test an edge."""
+    return "".join(re.escape(c) for c in sorted({w[0] for w in words}))
+
+
+def _plain_branches(words: list[str], at: int) -> str:
+    """Words, of which none begins another, that are equal up to a place, from there on."""
+    if len(words) == 1:
+        return re.escape(words[0][at:])
+    groups: dict[str, list[str]] = {}
+    for w in words:
+        groups.setdefault(w[at], []).append(w)
+    parts = [re.escape(c) + _plain_branches(own, at + 1) for c, own in groups.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def in_order(plain: Column, *steps: Iterable[str]) -> Column:
     """Whether a flat text says one phrase of each step, one after the other."""
     return plain.rlike("(?s)" + ".*".join(any_of(s) for s in steps))
