@@ -264,7 +264,9 @@ def places(text: Column, pattern: str) -> Column:
     def told(parts: Column) -> Column:
         """From gap, match, gap, match and so on, with a gap at the end."""
         pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 3, F.lit(2)), lambda i: F.struct(F.get(parts, i).alias("gap"), F.get(parts, i + 1).alias("hit")))
-        return F.when(F.size(parts) < 3, none["all"]).otherwise(F.aggregate(pairs, none, step)["all"])
+        start, hit = F.length(F.get(parts, 0)), F.get(parts, 1)
+        one = F.array(F.struct(start.alias("start"), (start + F.length(hit)).alias("stop"), hit.alias("found")))  # most texts have one match, if any
+        return F.when(F.size(parts) < 3, none["all"]).when(F.size(parts) == 3, one).otherwise(F.aggregate(pairs, none, step)["all"])
 
     def matches(t: Column) -> Column:
         slow = F.arrays_zip(F.regexp_extract_all(t, F.lit(whole), F.lit(1)).alias("gap"), F.regexp_extract_all(t, F.lit(whole), F.lit(2)).alias("hit"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,11 +93,8 @@ def gist(*lists: Iterable[str]) -> str:
     return "|".join(re.escape(w) for w in sorted(words) if not any(v != w and v in w for v in words))
 
 
-def hint(*lists: Iterable[str]) -> str:
-    """A pattern without edges that finds something in every flat text that says one of the phrases: one word of each, the fewest words that do.
-
-    It is a fraction of the work of the phrases, so it goes before them where most texts say none.
-    """
+def _needed(lists: Iterable[Iterable[str]]) -> list[str]:
+    """Words of which every flat text that says one of the phrases holds one, in whatever edges: one word of each, the fewest that do."""
     left = [{w.rstrip("*") for w in p.split(" ")} for phrases in lists for p in phrases]
     left = [{w for w in words if len(w) > 2} or {max(words, key=len)} for words in left]
     chosen: set[str] = set()
@@ -108,10 +106,24 @@ def hint(*lists: Iterable[str]) -> str:
         best = max(sorted(counts), key=lambda w: (counts[w], len(w)))
         chosen.add(best)
         left = [words for words in left if not any(best in w for w in words)]
-    words = sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+    return sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+
+
+def hint(*lists: Iterable[str]) -> str:
+    """A pattern that finds something in every flat text that says one of the phrases.
+
+    It is a fraction of the work of the phrases, so it goes before them where most texts say none.
+    """
+    words = _needed(lists)
     return f"(?=[{_firsts(words)}]){_plain_branches(words, 0)}"
 
 
+def hinted(text: Column, *lists: Iterable[str]) -> Column:
+    """Whether a flat text holds a hint of the phrases; a few words are looked for one by one, which is quicker than a pattern."""
+    words = _needed(lists)
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]) if len(words) <= 8 else text.rlike(hint(*lists))
+
+
 def _firsts(words: list[str]) -> str:
     """The letters that words begin with; to test one is quicker than to test an edge."""
     return "".join(re.escape(c) for c in sorted({w[0] for w in words}))
